@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_digest
 from .exact import exact_dedup
+from .mixing import mix_sources
 from .secret_scan import secret_digest
 
 
@@ -14,14 +16,57 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(_table(spark, sf_dir, "documents"))
 
 
+_OP2 = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5('0:' || doc_id) as h
+  from documents),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+w as (
+  select source, source_size, [3, 1, 2][1 + ((row_number() over (order by source nulls last) - 1) % 3)] as weight
+  from s),
+-- Sources are clamped in the order of their size for a unit of weight.
+r as (select *, row_number() over (order by source_size / weight, source nulls last) as k from w),
+c as (
+  select *, coalesce(sum(2 * source_size) over (order by k rows between unbounded preceding and 1 preceding), 0) as clamped,
+         sum(weight) over (order by k rows between current row and unbounded following) as free,
+         1.5::double * sum(source_size) over () as total
+  from r),
+l as (select *, (total - clamped) / free as level from c),
+f as (select min(k) as k, min_by(level, k) as level from l where level * weight <= 2 * source_size),
+t as (
+  select r.source, r.source_size, case when r.k >= f.k then f.level * r.weight else (2 * r.source_size)::double end as target
+  from r left join f on true),
+u as (
+  select d.*, t.source_size, t.target, floor(target / nullif(t.source_size, 0)) as whole,
+         sum(size) over (partition by d.source order by h, doc_id rows unbounded preceding) as upto
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size::bigint as size, source_size, target,
+       (size * (coalesce(whole, 0) + case when 2 * upto - size <= 2 * case when coalesce(whole, 0) < 2 then target - coalesce(whole, 0) * source_size else 0 end then 1 else 0 end))::bigint as taken
+from u
+"""
+
 _OP4 = r"""
 with d as (
   select doc_id, length(coalesce(text, '')) as points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as content
@@ -34,8 +79,13 @@ window w as (partition by content order by points desc, doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_exact_dedup": op4_exact_dedup, "op7_secret_scan": op7_secret_scan}
+    return {
+        "op2_mix_sources": op2_mix_sources,
+        "op4_exact_dedup": op4_exact_dedup,
+        "op6_bpe": op6_bpe,
+        "op7_secret_scan": op7_secret_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": _OP4}
+    return {"op2_mix_sources": _OP2, "op4_exact_dedup": _OP4}
