@@ -13,6 +13,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from sieveline.session import ship
+
 from .common import column
 
 #: Fixed: white space as the tokenizer's patterns see it.
@@ -187,6 +189,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     are ignored. The driver compiles the automaton from the file at `path` and broadcasts it; its size is the vocabulary's.
     """
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(Tokenizer(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sieveline.session import ship
+
 #: Fixed: white space of the contracts, as a Java or RE2 character class and as bytes.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +37,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     Shuffle files of the write are removed once it has ended, where this Spark offers that.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/sieveline/{uuid.uuid4().hex}-{name}"
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
@@ -52,11 +55,12 @@ def forget(*tables: DataFrame) -> None:
     for df in tables:
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._saved_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes in a text column (one scan of that column)."""
+    ship(docs.sparkSession)
     return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 

@@ -10,6 +10,7 @@ from .bpe import bpe_digest
 from .exact import exact_dedup
 from .mixing import mix_sources
 from .secret_scan import secret_digest
+from .substring import substring_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,18 @@ select doc_id, size::bigint as size, source_size, target,
 from u
 """
 
+_OP3 = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+k as (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13),
+x as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as s from k),
+f as (select doc_id, i, min(doc_id) over (partition by s) as first_id from x),
+c as (select distinct doc_id, unnest(range(i, i + 13)) as p from f where first_id < doc_id),
+g as (select doc_id, list(p) as gone from c group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+       sha256(array_to_string(case when gone is null then w else [w[p] for p in range(1, len(w) + 1) if not list_contains(gone, p)] end, ' ')) as kept_sha256
+from d left join g using (doc_id)
+"""
+
 _OP4 = r"""
 with d as (
   select doc_id, length(coalesce(text, '')) as points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as content
@@ -81,6 +98,7 @@ window w as (partition by content order by points desc, doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_sources": op2_mix_sources,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_bpe": op6_bpe,
         "op7_secret_scan": op7_secret_scan,
@@ -88,4 +106,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": _OP2, "op4_exact_dedup": _OP4}
+    return {"op2_mix_sources": _OP2, "op3_substring_dedup": _OP3, "op4_exact_dedup": _OP4}
