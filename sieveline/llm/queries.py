@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digest
 from .exact import exact_dedup
+from .jaccard import ngram_jaccard
 from .mixing import mix_sources
 from .secret_scan import secret_digest
 from .substring import substring_digest
@@ -43,6 +44,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(_table(spark, sf_dir, "documents"), n_words=4, percent=85)
+
+
 _OP2 = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5('0:' || doc_id) as h
@@ -102,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op6_bpe": op6_bpe,
         "op7_secret_scan": op7_secret_scan,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 
