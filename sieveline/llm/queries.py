@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_digest
 from .exact import exact_dedup
 from .jaccard import ngram_jaccard
+from .language_id import language_id
 from .mixing import mix_sources
 from .secret_scan import secret_digest
 from .substring import substring_digest
@@ -36,6 +37,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -105,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": op2_mix_sources,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_language_id": op5_language_id,
         "op6_bpe": op6_bpe,
         "op7_secret_scan": op7_secret_scan,
         "op10_ngram_jaccard": op10_ngram_jaccard,
