@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digest
+from .embedding_dedup import near_embeddings
 from .exact import exact_dedup
 from .jaccard import ngram_jaccard
 from .language_id import language_id
@@ -25,6 +26,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -107,6 +112,7 @@ window w as (partition by content order by points desc, doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
         "op2_mix_sources": op2_mix_sources,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_exact_dedup": op4_exact_dedup,
