@@ -11,6 +11,8 @@ from .embedding_dedup import near_embeddings
 from .exact import exact_dedup
 from .jaccard import ngram_jaccard
 from .language_id import language_id
+from .license_scan import scan_licenses
+from .lm_scoring import cross_entropy_difference
 from .mixing import mix_sources
 from .secret_scan import secret_digest
 from .substring import substring_digest
@@ -54,6 +56,16 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    target = docs.join(labels.where("quality = 1 and toxic = 0").select("doc_id"), "doc_id", "left_semi")
+    return cross_entropy_difference(docs, target)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_table(spark, sf_dir, "documents"), n_words=4, percent=85)
 
@@ -119,6 +131,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_bpe": op6_bpe,
         "op7_secret_scan": op7_secret_scan,
+        "op8_license_scan": op8_license_scan,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
