@@ -15,20 +15,20 @@ from sieveline.llm.queries import tokenizer_path
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be told; text that is null or has no letter goes."""
-    found = identify(docs, learn(docs)).where("lang_pred != 'und'").select(F.col("doc_id").alias("_id"))
-    return docs.join(found.distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    found = identify(docs, learn(docs)).where("lang_pred != 'und'").select(F.col("doc_id").alias("sieveline_id"))
+    return docs.join(found.distinct(), docs["doc_id"].eqNullSafe(F.col("sieveline_id")), "left_semi")
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal without white space."""
-    gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("sieveline_id"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("sieveline_id")), "left_anti")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by similar sets of five-word shingles."""
-    gone = ngram_jaccard(docs, n_words=5, percent=80).where("component_id != doc_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
+    gone = ngram_jaccard(docs, n_words=5, percent=80).where("component_id != doc_id").select(F.col("doc_id").alias("sieveline_id"))
+    return docs.join(gone, docs["doc_id"] == F.col("sieveline_id"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

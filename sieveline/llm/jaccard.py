@@ -175,44 +175,89 @@ def _verified(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
-def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of rows (key, doc_id, n, c) with one key whose sizes allow similarity and whose components differ."""
-    other = right.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    found = left.join(other, "key").where((F.col("c") != F.col("c_b")) & (F.col("n") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n") * percent))
-    return found.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
-
-
-def similar_links(features: DataFrame, percent: int, every: bool = False, rounds: int = 8) -> DataFrame:
-    """Links (a, b) between sets; unless all are wanted, enough to connect what is linked.
-
-    All sets with one key are compared with one of them first; those found similar are one component from then on, and only
-    keys whose sets lie in several components go on. Keys that so become few sets, or don't after some rounds, have all
-    their pairs from different components compared. A pair of sets with a common key is never left out otherwise.
+def _may_link(percent: int, a: str, b: str):
+    """Can two sets of the given sizes (n_) and numbers of tokens that occur elsewhere (c_) be similar?"""
+    n_a, n_b, most = F.col(f"n_{a}"), F.col(f"n_{b}"), F.least(f"c_{a}", f"c_{b}")
+    return 100 * most >= percent * (n_a + n_b - most)
+
+
+def _postings(features: DataFrame) -> DataFrame:
+    """(key, doc_id, n, c) of the keys of several sets; of keys that the same sets have, one stays."""
+    rows = features.select("doc_id", "n", F.size("tokens").alias("c"), F.explode("keys").alias("key"))
+    which = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y")).where("k > 1")
+    return rows.join(which.groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def _pivots(postings: DataFrame) -> DataFrame:
+    """For each key the set with the smallest share of tokens of its own, which its relatives are likeliest to resemble."""
+    own = F.struct(((F.col("n") - F.col("c")) / F.col("n")).alias("o"), "doc_id", "n", "c")
+    return postings.groupBy("key").agg(F.min(own).alias("p")).select("key", F.col("p.doc_id").alias("b"), F.col("p.n").alias("n_b"), F.col("p.c").alias("c_b"))
+
+
+def _compare(percent: int):
+    """Links between the sets asked for and those stored in one block, as (set, component of a set it is linked with)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks().to_batches()
+        a, b = [], []
+        if t:
+            t = t[0]
+            ids, n, comp, asks = (column(t, x).to_numpy(zero_copy_only=False) for x in ("doc_id", "n", "comp", "asks"))
+            lists = column(t, "tokens")
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            words, flat = np.unique(flat, return_inverse=True)
+            stored, asked = np.flatnonzero(~asks), np.flatnonzero(asks)
+            if len(stored) and len(asked):
+                spans = [flat[offsets[i] : offsets[i + 1]] for i in stored]
+                starts = np.cumsum([0, *map(len, spans)])[:-1]
+                held, n_s, comp_s = np.concatenate(spans), n[stored], comp[stored]
+                mark = np.zeros(len(words), np.int32)
+                for i in asked:
+                    mine = flat[offsets[i] : offsets[i + 1]]
+                    mark[mine] = 1
+                    both = np.add.reduceat(mark[held], starts)
+                    mark[mine] = 0
+                    linked = (100 * both >= percent * (n[i] + n_s - both)) & (comp_s != comp[i])
+                    if linked.any():
+                        new = np.unique(comp_s[linked])
+                        a += [ids[i]] * len(new)
+                        b += new.tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def similar_links(features: DataFrame, percent: int, block_tokens: int = 500_000, block_asks: int = 512) -> DataFrame:
+    """Links (a, b) between similar sets, enough to connect all that are linked.
+
+    First all sets with one key are compared with one of them. Those found similar are a component from then on, and only
+    keys whose sets lie in several components go on. The sets that such keys connect are a family; its largest component
+    needs no more comparisons within. Every other set of the family is compared with all of the family, in blocks of
+    bounded size, except with its own component. No pair with a common key is left out otherwise.
     """
-    postings = features.select("doc_id", "n", F.explode("keys").alias("key"))
-    more = postings.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
-    postings = save(postings.join(more, "key").withColumn("c", F.col("doc_id")), "postings")
-    found, live = None, postings
-    for turn in range(rounds + 1):
-        n, pairs = live.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("k")).agg(F.sum("k"), F.sum(F.expr("k * (k - 1) / 2"))).first()
-        if not n:
-            break
-        last = every or turn == rounds or pairs <= 4 * n
-        if last:
-            candidates = _pairs(live, live, percent)
-        else:
-            mark = F.xxhash64(F.lit(turn), "doc_id")
-            one = live.groupBy("key").agg(F.min(F.struct(mark.alias("h"), "doc_id", "n", "c")).alias("p")).select("key", "p.doc_id", "p.n", "p.c")
-            candidates = _pairs(live, one, percent)
-        new = save(_verified(candidates, features, percent), "links-found")
-        found = new if found is None else found.unionByName(new)
-        if last:
-            break
-        comps = components(found).withColumnRenamed("id", "doc_id")
-        now = postings.drop("c").join(comps, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("c"))
-        open_ = now.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("key")
-        live = save(now.join(open_, "key"), "postings-live")
-    return found if found is not None else features.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where("false")
+    postings = save(_postings(features), "postings")
+    pivots = _pivots(postings)
+    side = postings.select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
+    pairs = side.join(pivots, "key").where((F.col("a") != F.col("b")) & _may_link(percent, "a", "b")).select("a", "b").distinct()
+    first = save(_verified(pairs, features, percent), "links-first")
+    comps = save(components(first), "components-first").select(F.col("id").alias("doc_id"), "component_id")
+    now = postings.join(comps, "doc_id", "left").select("key", "doc_id", "n", "c", F.coalesce("component_id", "doc_id").alias("comp"))
+    open_ = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
+    live = save(now.join(open_, "key", "left_semi"), "postings-open")
+    ties = live.join(_pivots(live), "key").select(F.col("doc_id").alias("a"), "b").distinct()
+    families = components(ties).select(F.col("id").alias("doc_id"), F.col("component_id").alias("family"))
+    members = save(live.select("doc_id", "comp", "c").distinct().join(families, "doc_id"), "families")
+    parts = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("t"))
+    sums = parts.groupBy("family").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), (F.sum("k") - F.max("k")).alias("asks"), F.sum("t").alias("t"))
+    blocks, chunks = F.ceil(F.col("t") / block_tokens), F.ceil(F.col("asks") / block_asks)
+    plan = members.join(sums.select("family", "most", blocks.cast("int").alias("blocks"), chunks.cast("int").alias("chunks")), "family")
+    at = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    stored = plan.select("doc_id", "comp", "family", F.lit(False).alias("asks"), at("blocks", 1).alias("block"), F.explode(upto("chunks")).alias("chunk"))
+    asking = plan.where("comp != most").select("doc_id", "comp", "family", F.lit(True).alias("asks"), F.explode(upto("blocks")).alias("block"), at("chunks", 2).alias("chunk"))
+    sets = features.select("doc_id", "n", "tokens")
+    found = stored.unionByName(asking).join(sets, "doc_id").groupBy("family", "block", "chunk").applyInArrow(_compare(percent), "a long, b long")
+    return first.unionByName(save(found.distinct(), "links-found"))
 
 
 def ngram_jaccard(docs: DataFrame, n_words: int = 5, percent: int = 80, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -67,6 +67,6 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 def mixed(docs: DataFrame, **kw) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Rows that repeat an id, null too, are all taken as often as the
     most taken of them, so that only unique ids keep to the targets."""
-    take = mix_sources(docs, **kw).where("repeats > 0 and size > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("repeats").alias("_n"))
-    d = docs.join(take, docs[kw.get("id_col", "doc_id")].eqNullSafe(F.col("_id")))
-    return d.withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
+    take = mix_sources(docs, **kw).where("repeats > 0 and size > 0").groupBy(F.col("doc_id").alias("sieveline_id")).agg(F.max("repeats").alias("sieveline_n"))
+    d = docs.join(take, docs[kw.get("id_col", "doc_id")].eqNullSafe(F.col("sieveline_id")))
+    return d.withColumn("sieveline_n", F.explode(F.sequence(F.lit(1), "sieveline_n"))).select(*docs.columns)

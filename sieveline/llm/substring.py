@@ -136,8 +136,8 @@ def _cut(docs: DataFrame, hits: DataFrame, n_words: int, blocks: int) -> DataFra
         hashes = np.concatenate([np.frombuffer(x, "<u8") for x in found.column("hashes").to_pylist()] or [np.zeros(0, np.uint64)])
         order = np.argsort(ids, kind="stable")
         ids, hashes = ids[order], hashes[order]
-        cuts = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1 if len(ids) else 0))
-        of = {int(ids[i]): hashes[i:j] for i, j in zip(cuts, [*cuts[1:], len(ids)], strict=True)}
+        cuts = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1)) if len(ids) else ids
+        of = {int(ids[i]): hashes[i:j] for i, j in zip(cuts, [*cuts[1:], len(ids)], strict=False)}
         out = []
         for batch in texts.to_batches():
             names = column(batch, "doc_id").to_pylist()
