@@ -62,7 +62,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    target = docs.join(labels.where("quality = 1 and toxic = 0").select("doc_id"), "doc_id", "left_semi")
+    target = docs.join(labels.where("quality = 1 and toxic = 0").select("doc_id").hint("merge"), "doc_id", "left_semi")  # labels grow with the corpus
     return cross_entropy_difference(docs, target)
 
 
