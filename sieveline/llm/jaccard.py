@@ -273,7 +273,7 @@ def ngram_jaccard(docs: DataFrame, n_words: int = 5, percent: int = 80, buckets:
     verified on whole sets.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = buckets or parts_for(text_bytes(d), 16 << 20)
+    buckets = buckets or parts_for(text_bytes(d), 6 << 20)
     sets = save(shingle_sets(d, n_words), "shingle-sets")
     classes = save(sets.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id")), "classes")
     shared = save(_shared(_tokens(d.where("doc_id is not null"), n_words, buckets), buckets), "shared-tokens")
