@@ -9,9 +9,17 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+_BYTES, _BYTES_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers wherever they run (once for each application)."""
+    """Make this package importable in Python workers wherever they run (once for each application).
+
+    Arrow batches are bounded by bytes too, unless the session says otherwise: a number of rows doesn't bound long texts.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BYTES, None) == _BYTES_DEFAULT:
+        spark.conf.set(_BYTES, str(8 << 20))
     if getattr(context, "_sieveline_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
