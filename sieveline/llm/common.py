@@ -126,8 +126,12 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (int64, rows + 1) of a string array; null is empty."""
-    arr = arr.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(arr.buffers()[1], np.int64, len(arr) + 1, arr.offset * 8)
+    if arr.null_count:
+        arr = arr.fill_null("")
+    wide = pa.types.is_large_string(arr.type)
+    if len(arr) == 0:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(arr.buffers()[1], np.int64 if wide else np.int32, len(arr) + 1, arr.offset * (8 if wide else 4)).astype(np.int64)
     data = arr.buffers()[2]
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
@@ -148,17 +152,18 @@ def _words(data: np.ndarray, starts_at: np.ndarray, lower: bool) -> tuple[np.nda
 def word_chunks(arr: pa.Array, lower: bool = False, size: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, 64-bit hash of each word, number of words of each row) for runs of rows of about `size` bytes.
 
-    A single longer text is one run; it is hashed in pieces cut at white space.
+    A single longer text is one run. Runs are hashed in pieces of a megabyte or two, cut at white space.
     """
     data, offsets = text_buffers(arr)
+    piece = min(size, 1 << 20)
     row, rows = 0, len(offsets) - 1
     while row < rows:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         found, at, lo = [], [], int(offsets[row])
         while lo < offsets[end]:
             hi = int(offsets[end])
-            if hi - lo > 2 * size:
-                cut = lo + size
+            if hi - lo > 2 * piece:
+                cut = lo + piece
                 while cut < hi and not _IS_SPACE[data[cut]]:
                     cut += 1
                 hi = cut
