@@ -15,7 +15,7 @@ from .components import components
 FREQUENT = 16
 #: Sets of at least LONG tokens are indexed by single tokens whatever their frequency (pairs would grow with the square of a
 #: set's size), those up to LONG over the similarity by pairs too; two similar sets so always share a scheme.
-LONG = 128
+LONG = 64
 
 _ROWS = "bucket int, ids binary, hashes binary, owners binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("hashes", pa.binary()), ("owners", pa.binary())])

@@ -275,7 +275,7 @@ def shingles(t, n):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize(("n", "percent", "frequent", "long"), [(4, 85, 16, 128), (5, 80, 1, 1000), (2, 60, 2, 30)])
+@pytest.mark.parametrize(("n", "percent", "frequent", "long"), [(4, 85, 16, 128), (5, 80, 1, 1000), (4, 85, 2, 64), (2, 60, 2, 30)])
 def test_jaccard(spark, docs, empty, nulls, monkeypatch, n, percent, frequent, long):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "LONG", long)
