@@ -1,0 +1 @@
+"""Streaming: the selection workflow has no streaming operator; everything works on batch DataFrames."""
