@@ -19,7 +19,8 @@ def nulls(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 
 def means(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("method",)) -> DataFrame:
-    return nulls(df, metrics).groupBy(*keys).agg(*[F.avg(m).alias(m) for m in metrics])
+    """Means to 12 places, so that the order of adding doesn't part equal ones."""
+    return nulls(df, metrics).groupBy(*keys).agg(*[F.round(F.avg(m), 12).alias(m) for m in metrics])
 
 
 def deviations(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("method",)) -> DataFrame:
@@ -47,7 +48,7 @@ def average_ranks(df: DataFrame, metrics: Sequence[str], lower: Sequence[str] =
 
 
 def pivot(df: DataFrame, metric: str, rows: str = "dataset", columns: str = "method", names: Sequence[str] | None = None) -> DataFrame:
-    return nulls(df, [metric]).groupBy(rows).pivot(columns, list(names) if names else None).agg(F.avg(metric))
+    return nulls(df, [metric]).groupBy(rows).pivot(columns, list(names) if names else None).agg(F.round(F.avg(metric), 12))
 
 
 def with_row_mean(wide: DataFrame, names: Sequence[str]) -> DataFrame:
