@@ -14,7 +14,7 @@ from .language_id import language_id
 from .license_scan import scan_licenses
 from .lm_scoring import cross_entropy_difference
 from .mixing import mix_sources
-from .secret_scan import secret_digest
+from .secret_scan import BASE, RULES, secret_digest
 from .substring import substring_digest
 
 
@@ -76,6 +76,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+_OP1 = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.95),
+c(id, root) as (select vec_id, vec_id from embeddings union select c.id, l.b from c join l on c.root = l.a),
+n as (select a, count(*) as n from l group by a)
+select id as vec_id, coalesce(any_value(n), 0)::bigint as n_links, min(root) as component_id, id = min(root) as kept
+from c left join n on n.a = c.id group by id
+"""
+
 _OP2 = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5('0:' || doc_id) as h
@@ -128,6 +137,39 @@ window w as (partition by content order by points desc, doc_id)
 """
 
 
+_OP10 = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, case when len(w) >= 4 then list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)])
+         when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s
+  from d),
+t as (select doc_id, len(s) as n, unnest(s) as t from s),
+l as (
+  select a.doc_id as a, b.doc_id as b from t a join t b on a.t = b.t and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id having 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+c(id, root) as (select doc_id, doc_id from documents union select c.id, l.b from c join l on c.root = l.a)
+select id as doc_id, any_value(len(s))::bigint as n_shingles, min(root) as component_id
+from c join s on s.doc_id = c.id group by id
+"""
+
+
+def _op7() -> str:
+    """Spans from the lengths of the matches and of what lies between them; all rules search every text."""
+    found = []
+    for k, r in enumerate(RULES):
+        p = r.pattern.replace("'", "''")
+        found.append(f"""select doc_id, {k} as k, unnest([{{'s': list_sum([length(x) for x in b[1:i]])::bigint + coalesce(list_sum([length(x) for x in w[1:i - 1]]), 0)::bigint, 'n': length(w[i]), 'g': length(g[i])}} for i in range(1, len(w) + 1)]) as m, {r.least} as least
+          from (select doc_id, string_split_regex(text, '{p}') as b, regexp_extract_all(text, '{p}') as w, regexp_extract_all(text, '{p}', {r.group}) as g from d)""")
+    names = "[" + ", ".join(f"'{r.kind}'" for r in RULES) + "]"
+    span = f"{names}[k + 1] || ':' || s || ':' || e"
+    counts = ", ".join(f"count(*) filter (k = {k}) as n_{r.kind}" for k, r in enumerate(BASE))
+    return f"""with d as (select doc_id, coalesce(text, '') as text from documents),
+    m as (select doc_id, k, m.s as s, m.s + m.n as e from ({" union all ".join(found)}) where m.g >= least),
+    a as (select doc_id, {counts}, string_agg({span}, ',' order by s, k) filter (k < {len(BASE)}) as base, string_agg({span}, ',' order by s, k) as spans from m group by doc_id)
+    select doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join a using (doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
@@ -145,4 +187,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": _OP2, "op3_substring_dedup": _OP3, "op4_exact_dedup": _OP4}
+    return {
+        "op1_embedding_dedup": _OP1,
+        "op2_mix_sources": _OP2,
+        "op3_substring_dedup": _OP3,
+        "op4_exact_dedup": _OP4,
+        "op7_secret_scan": _op7(),
+        "op10_ngram_jaccard": _OP10,
+    }
