@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
+from sieveline.session import shared_dir
+
 
 @dataclass(frozen=True)
 class FeatureFrame:
@@ -42,5 +45,12 @@ class FeatureFrame:
     def with_df(self, df: DataFrame) -> FeatureFrame:
         return replace(self, df=df)
 
+    def stored(self) -> FeatureFrame:
+        """The same table written to the shared folder, so that later passes read it rather than make it again."""
+        path = f"{shared_dir(self.df.sparkSession)}/sieveline/{uuid.uuid4().hex}-frame"
+        wide = self.wide()
+        wide.write.parquet(path)
+        return replace(self, df=wide.sparkSession.read.schema(wide.schema).parquet(path), row_id="row_id", label="y")
+
     def n_classes(self) -> int:
         return self.df.select(self.label).distinct().count()

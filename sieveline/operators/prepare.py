@@ -32,10 +32,43 @@ def label_codes(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(coded, df[column] == coded[_LEFT]).drop(_LEFT)
 
 
-def medians(frame: FeatureFrame) -> list[float | None]:
-    """Exact medians without missing values, one pass for all columns."""
-    row = frame.wide().agg(*[F.median(f"`{c}`").alias(f"m{i}") for i, c in enumerate(frame.features)]).first()
-    return list(row)
+def medians(frame: FeatureFrame, direct: int = 2_000_000, few: int = 10_000) -> list[float | None]:
+    """Exact medians without missing values, all columns in each pass.
+
+    Up to `direct` rows Spark's own exact median serves; its memory grows with the distinct values. Beyond, approximate
+    quantiles give each column a bracket around its middle, which passes narrow until it holds `few` values or one value.
+    """
+    w, cols = frame.wide(), [F.col(f"`{c}`") for c in frame.features]
+    sizes = list(w.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()) if cols else []
+    if max(sizes, default=0) <= direct:
+        return list(w.agg(*[F.median(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()) if cols else []
+    out: list[float | None] = [None] * len(cols)
+    # (lower, upper) bound of the bracket and the number of values below it
+    brackets = {i: (float("-inf"), float("inf"), 0, n) for i, n in enumerate(sizes) if n}
+    while brackets:
+        inside = {i: F.when((cols[i] >= lo) & (cols[i] <= hi), cols[i]) for i, (lo, hi, _, _) in brackets.items()}
+        small = [i for i, (lo, hi, _, n) in brackets.items() if n <= few or lo == hi]
+        if small:
+            lists = w.agg(*[(F.array_sort(F.collect_list(inside[i])) if brackets[i][3] <= few else F.array(F.lit(brackets[i][0]))).alias(f"v{i}") for i in small]).first()
+            for i, values in zip(small, lists, strict=True):
+                below, n = brackets.pop(i)[2], sizes[i]
+                at = lambda r, v=values, b=below: v[min(r - b, len(v) - 1)]
+                out[i] = (at((n - 1) // 2) + at(n // 2)) / 2
+            continue
+        ends = {}
+        for i, (_, _, below, n) in brackets.items():
+            middle = ((sizes[i] - 1) / 2 - below) / n
+            ends[i] = F.percentile_approx(inside[i], [max(0.0, middle - 0.001), min(1.0, middle + 0.001)], 10_000).alias(f"q{i}")
+        found = dict(zip(ends, w.agg(*ends.values()).first(), strict=True))
+        counts = w.agg(*[x for i, (lo, hi) in found.items() for x in (F.count_if(cols[i] < lo).alias(f"b{i}"), F.count_if((cols[i] >= lo) & (cols[i] <= hi)).alias(f"i{i}"))]).first()
+        for i, (lo, hi) in found.items():
+            below, n = counts[f"b{i}"], counts[f"i{i}"]
+            if below <= (sizes[i] - 1) // 2 and sizes[i] // 2 < below + n and n < brackets[i][3]:
+                brackets[i] = (lo, hi, below, n)
+            else:  # no narrower bracket is sure to hold the middle
+                low, high, below, _ = brackets.pop(i)
+                out[i] = w.select(inside[i].alias("x")).where("x is not null").agg(F.median("x")).first()[0] if low != high else low
+    return out
 
 
 def _each(frame: FeatureFrame, change) -> FeatureFrame:

@@ -197,7 +197,7 @@ def common_schema(spark, d):
 
 @query
 def standardise(spark, d):
-    return rounded(prepare.Standardiser().fit_transform(holes(orders_frame(spark, d))).df)
+    return rounded(prepare.Standardiser().fit_transform(holes(orders_frame(spark, d)).stored()).df)
 
 
 @query
@@ -426,7 +426,6 @@ def _selector_rows(spark, model: Selector) -> DataFrame:
 @query
 def prototype_modes(spark, d):
     frame, out = orders_frame(spark, d), []
-    frame = frame.with_df(frame.df.cache())
     for mode in ("composite", "relevance", "predictive", "greedy"):
         m = Selector(Config(n_representatives=3, n_bootstrap=0, prototype_by=mode, conditional_relevance=True)).fit(frame)
         out += [(mode, int(f)) for f in m.selected_features_]
@@ -849,7 +848,7 @@ def selection_trace(spark, d):
 @query
 def screening_flagship(spark, d):
     """Impute, standardise, correlate, weigh the graph, score by F and take the three best features: one row each."""
-    z = prepare.Standardiser().fit_transform(holes(orders_frame(spark, d)))
+    z = prepare.Standardiser().fit_transform(holes(orders_frame(spark, d)).stored()).stored()
     central = structure.weighted_degree(structure.edges(stats.correlation_pairs(z)), z.p)
     best = prepare.top_features(prepare.anova_f(z), 3)
     return rounded(best.join(central.select("f", F.col("score").alias("centrality")), "f"), 4)
