@@ -316,11 +316,11 @@ def test_embeddings(spark):
     comp = groups([(ids[a], ids[b]) for a, b in zip(*np.nonzero(near), strict=True) if a != b], ids)
     want = {(i, int(near[k].sum()) - 1, comp[i], comp[i] == i) for k, i in enumerate(ids)} | {(i, 0, i, True) for i, *_ in odd}
     for per_cell in (400, 20):
-        found = embedding_dedup.near_embeddings(df, per_cell=per_cell).collect()
+        found = embedding_dedup.near_embeddings(df, per_cell=per_cell, recall=1).collect()
         assert len(found) == len(data + odd) and set(map(tuple, found)) == want
     assert embedding_dedup.near_embeddings(df.where("false")).count() == 0
-    recall = [r["n_links"] for r in embedding_dedup.near_embeddings(df, per_cell=20, reach=0.1).collect()]
-    assert sum(recall) >= 0.9 * sum(n for _, n, *_ in want)
+    found = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_embeddings(df, per_cell=20).collect()}
+    assert all(found[i] <= n for i, n, *_ in want) and sum(found.values()) >= 0.99 * sum(n for _, n, *_ in want)
 
 
 def test_pipeline(spark, tmp_path, docs):
