@@ -8,15 +8,14 @@ from sieveline.llm.bpe import bpe_encode
 from sieveline.llm.common import save
 from sieveline.llm.exact import exact_dedup
 from sieveline.llm.jaccard import ngram_jaccard
-from sieveline.llm.language_id import identify, learn
+from sieveline.llm.language_id import learn, with_language
 from sieveline.llm.mixing import mixed
 from sieveline.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be told; text that is null or has no letter goes."""
-    found = identify(docs, learn(docs)).where("lang_pred != 'und'").select(F.col("doc_id").alias("sieveline_id"))
-    return docs.join(found.distinct(), docs["doc_id"].eqNullSafe(F.col("sieveline_id")), "left_semi")
+    return with_language(docs, learn(docs))
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,6 +200,19 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return d.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose language can be told (see identify); others go. No shuffle."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, _ = shared.value.predict([x.as_py() or "" for x in column(batch, text_col)])
+            yield batch.filter(pa.array([n != "und" for n in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, **kw) -> DataFrame:
     """Learn from the labelled rows of docs and predict the language of every row."""
     return identify(docs, learn(docs, **kw))
