@@ -12,21 +12,24 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", "")
 
 
-def _below(splitters: Column, key: Column, strict: bool) -> Column:
-    """How many of the ascending groups of splitters' entries are below key (or equal to it, if not strict).
+def _upto(splitters: Column, key: Column) -> Column:
+    """How many of the ascending groups of splitters' entries are up to key.
 
     Two levels: a whole group is skipped by its last entry, so a row costs twice the square root of their number.
     """
-    lower = (lambda s: s < key) if strict else (lambda s: s <= key)
+    lower = lambda s: s <= key
     whole = F.size(F.filter(splitters, lambda g: lower(F.element_at(g, -1))))
     return F.lit(0) + F.aggregate(F.slice(splitters, 1, whole), F.lit(0), lambda n, g: n + F.size(g)) + F.when(whole < F.size(splitters), F.size(F.filter(F.get(splitters, whole), lower))).otherwise(0)
 
 
-def _literal(keys: list[tuple]) -> Column:
+def _entry(key: tuple) -> Column:
+    return F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(key)])
+
+
+def _groups(keys: list[tuple]) -> Column:
     """Splitters as an array of arrays of structs."""
     size = max(1, round(len(keys) ** 0.5))
-    entry = lambda k: F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(k)])
-    return F.array(*[F.array(*map(entry, keys[i : i + size])) for i in range(0, len(keys), size)])
+    return F.array(*[F.array(*map(_entry, keys[i : i + size])) for i in range(0, len(keys), size)])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partition_bytes: int = 16 << 20, prefix: int = 32, per_splitter: int = 64, most_slices: int = 4096) -> DataFrame:
@@ -54,8 +57,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = F.struct(*order)
     if keys:
         whole = F.struct(*order[:2])
-        short = [k[:2] for k in keys]
-        d = d.withColumn("part", _below(_literal(keys), full, strict=False)).withColumn("edge", _below(_literal(short), whole, strict=True) < _below(_literal(short), whole, strict=False))
+        # Splitters of a row's own content can only be the last up to it or the first beyond it.
+        short = F.array(*[_entry(k[:2]) for k in keys])
+        d = d.withColumn("part", _upto(_groups(keys), full))
+        d = d.withColumn("edge", F.coalesce(F.get(short, F.col("part") - 1) == whole, F.lit(False)) | F.coalesce(F.get(short, "part") == whole, F.lit(False)))
     else:
         d = d.withColumn("part", F.lit(0)).withColumn("edge", F.lit(False))
 
