@@ -6,12 +6,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sieveline.frame import FeatureFrame
 from sieveline.functions import kernels as K
 from sieveline.session import ship
 
+from .ranking import running_count, stored
 from .stats import grams
 
 
@@ -52,12 +53,54 @@ def neighbour_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     return float(max(0.0, value))
 
 
-def mutual_information(frame: FeatureFrame, k: int = 3, weights: DataFrame | None = None) -> DataFrame:
-    """(f, score): information of each feature about the label. A feature's column (two numbers a row) is one group's memory."""
+def _digamma(n: Column) -> Column:
+    """Digamma of a positive whole number, plus Euler's constant: a table, then the asymptotic series."""
+    table = F.array(*[F.lit(float(v)) for v in np.concatenate(([0.0], np.cumsum(1.0 / np.arange(1, 30))))])
+    x = n.cast("double")
+    series = F.log(x) - 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x) + float(np.euler_gamma)
+    return F.when(n <= 30, F.get(table, (n - 1).cast("int"))).otherwise(series)
+
+
+def _spread_information(cells: DataFrame, k: int) -> DataFrame:
+    """neighbour_information for any number of rows, from cells (f, y, id, x): ranks, neighbours by rank, running counts."""
+    sizes = cells.groupBy("f", "y").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    own = running_count(cells.join(sizes, ["f", "y"]), ["f", "y"], ["x", "id"], "rank")
+    near = own.select("f", "y", "size", "id", "x", "rank", F.explode(F.sequence(F.lit(-k), F.lit(k))).alias("step"))
+    met = near.groupBy("f", "y", (F.col("rank") + F.col("step")).alias("at")).agg(F.first(F.when(F.col("step") == 0, F.struct("id", "x", "size")), True).alias("me"), F.collect_list(F.when(F.col("step") != 0, F.col("x"))).alias("others"))
+    gaps = F.array_sort(F.transform("others", lambda v: F.abs(v - F.col("me.x"))))
+    used = F.least(F.lit(k), F.col("me.size") - 1).cast("int")
+    rows = stored(met.where("me is not null").select("f", F.col("me.id").alias("id"), F.col("me.x").alias("x"), F.col("me.size").alias("size"), used.alias("k"), F.get(gaps, used - 1).alias("r")), "radii")
+    # A row marks where its values begin and end among all values of the feature; kind orders marks among equal values.
+    flat = F.col("r") <= 0
+    marks = F.array(
+        F.struct(F.col("x").alias("v"), F.lit(1).alias("kind"), F.lit(0).alias("sign")),
+        F.struct((F.col("x") - F.col("r")).alias("v"), F.when(flat, 0).otherwise(2).alias("kind"), F.lit(-1).alias("sign")),
+        F.struct((F.col("x") + F.col("r")).alias("v"), F.when(flat, 2).otherwise(0).alias("kind"), F.lit(1).alias("sign")),
+    )
+    line = rows.select("f", "id", F.explode(marks).alias("m")).select("f", "id", "m.*")
+    counted = running_count(line, ["f"], ["v", "kind"], "n", F.col("kind") == 1).where("sign != 0")
+    inside = counted.groupBy("f", "id").agg(F.sum(F.col("n") * F.col("sign")).alias("m"))
+    each = rows.join(inside, ["f", "id"])
+    n = F.count(F.lit(1))
+    value = _digamma(n) + F.avg(_digamma(F.col("k"))) - F.avg(_digamma(F.col("size"))) - F.avg(_digamma(F.col("m")))
+    return each.groupBy("f").agg(F.greatest(value, F.lit(0.0)).alias("score"))
+
+
+def mutual_information(frame: FeatureFrame, k: int = 3, weights: DataFrame | None = None, direct: int = 2_000_000) -> DataFrame:
+    """(f, score): information of each feature about the label.
+
+    Up to `direct` rows a feature's column is one group of numpy arrays; beyond, ranks and running counts over ranges of
+    values give the same numbers, and no task depends on a feature's or a class's rows.
+    """
     ship(frame.df.sparkSession)
-    cells = frame.long().where("x is not null")
+    cells = frame.long().where("x is not null").withColumn("id", F.col("row_id").cast("long"))
     if weights is not None:
-        cells = cells.join(weights.select("row_id", "w"), "row_id").withColumn("w", F.explode(F.sequence(F.lit(1), F.col("w").cast("int")))).drop("w")
+        cells = cells.join(weights.select("row_id", "w"), "row_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("w").cast("int")))).withColumn("id", F.col("id") * 4096 + F.col("copy"))
+    cells = cells.select(F.col("f").cast("int").alias("f"), "y", "id", "x")
+    if frame.df.count() > direct:
+        found = _spread_information(cells, k)
+        every = frame.df.sparkSession.range(frame.p).select(F.col("id").cast("int").alias("f"))
+        return every.join(found, "f", "left").select("f", F.coalesce("score", F.lit(0.0)).alias("score"))
 
     def one(table: pa.Table) -> pa.Table:
         value = neighbour_information(table.column("x").to_numpy(), table.column("y").to_numpy(), k)

@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sieveline.frame import FeatureFrame
 
+from .ranking import running_count
+
 
 def md5_resample(frame: FeatureFrame, resamples: int) -> DataFrame:
     """(b, row_id, w): multiplicities of rows drawn with replacement; slot s of resample b draws the row whose rank by row_id is
-    a hash of (b, s) modulo the number of rows. For tables whose ids one task can rank; stats.poisson_weights has no such bound.
+    a hash of (b, s) modulo the number of rows. It shuffles a row for each slot; stats.poisson_weights shuffles none.
     """
-    rows = frame.wide().select("row_id", (F.row_number().over(Window.orderBy("row_id")) - 1).alias("at"))
+    rows = running_count(frame.wide().select("row_id"), [], ["row_id"], "at")
     n = rows.count()
     spark = frame.df.sparkSession
     slots = spark.range(n).select(F.col("id").alias("slot")).crossJoin(spark.range(resamples).select(F.col("id").cast("int").alias("b")))

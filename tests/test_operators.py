@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sieveline.frame import FeatureFrame
 from sieveline.functions import kernels as K
 from sieveline.operators import baselines, causal, consensus, evaluate, prepare, report, stats, structure
+from sieveline.operators.ranking import running_count
 from sieveline.plans import Config, Selector, soft, strict
 from sieveline.plans import experiments as X
 from sieveline.sources import results as R
@@ -174,6 +175,15 @@ def test_information():
     assert causal.neighbour_information(np.ones(5), np.arange(5)) == 0
 
 
+def test_information_of_many_rows(spark, table):
+    want = {r["f"]: r["score"] for r in causal.mutual_information(table).collect()}
+    assert {r["f"]: r["score"] for r in causal.mutual_information(table, direct=0).collect()} == pytest.approx(want)
+    t = spark.createDataFrame([(i, i % 3, float(i * 7 % 10)) for i in range(50)], "i int, g int, x double")
+    got = {r["i"]: r["at"] for r in running_count(t, ["g"], ["x", "i"], "at").collect()}
+    rows = sorted((i % 3, float(i * 7 % 10), i) for i in range(50))
+    assert got == {i: sum(a == g and (b, j) < (x, i) for a, b, j in rows) for g, x, i in rows}
+
+
 def test_scores(spark):
     s = spark.createDataFrame([(0, 10.0), (1, 30.0), (2, 20.0)], "f int, score double")
     assert [r["score"] for r in causal.rank_normalise(s).orderBy("f").collect()] == [0, 1, 0.5]
