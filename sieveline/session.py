@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
 
 
+_made: set[str] = set()
 _BYTES, _BYTES_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
@@ -35,10 +38,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one is made only in local mode."""
+    """The folder all executors share (spark.checkpoint.dir).
+
+    Where it is unset, a temporary folder is made in local mode only, and removed when Python ends.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return os.path.join(tempfile.gettempdir(), f"sieveline-{spark.sparkContext.applicationId}")
+    path = os.path.join(tempfile.gettempdir(), f"sieveline-{spark.sparkContext.applicationId}")
+    if path not in _made:
+        _made.add(path)
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
