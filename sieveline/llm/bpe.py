@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sieveline.session import ship
 
-from .common import column
+from .common import column, trim
 
 #: Fixed: white space as the tokenizer's patterns see it.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -139,6 +139,11 @@ class Tokenizer:
             self._ready = re.compile("[\x1c-\x1f]"), split, _Words(self, regex.compile(self.pattern)), re.compile(f"[{_SPACE}]")
         return self._ready
 
+    def forget(self) -> None:
+        """Drop the words met so far."""
+        self._ready = None
+        self.automaton._known.clear()
+
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a text."""
         odd, split, cache, space = self._tools()
@@ -202,6 +207,8 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([t.decode(x.tolist()) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        t.forget()
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +18,11 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -108,6 +115,14 @@ def _ranges(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: int) -> n
     return mix((total[hi] - total[lo]) * _power(which, len(values) + 1, True)[lo] + (hi - lo).astype(np.uint64))
 
 
+def trim() -> None:
+    """Give memory that a task no longer uses back to the system, as Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_of, block_of_np, column, forget, from_sortable, mix, pack_small, pack_sorted, parts_for, save, signed, text_bytes, to_sortable, unpack_small, unpack_sorted, windows, word_chunks
+from .common import block_of, block_of_np, column, forget, from_sortable, mix, pack_small, pack_sorted, parts_for, save, signed, text_bytes, to_sortable, trim, unpack_small, unpack_sorted, windows, word_chunks
 from .components import components
 
 #: Tokens in more than this many sets are frequent: they are indexed by pairs.
@@ -57,6 +57,7 @@ def shingle_sets(docs: DataFrame, n_words: int) -> DataFrame:
         for batch in batches:
             for lo, hi, sizes, s1, s2, _ in _sets(column(batch, "text"), n_words):
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(signed(s1)), pa.array(signed(s2))], schema=_SETS)
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
 
@@ -86,6 +87,7 @@ def _tokens(docs: DataFrame, n_words: int, buckets: int) -> DataFrame:
                 table = pack_sorted(to_sortable(names))
                 rows = [(b, table, pack_sorted(h[cut[b] : cut[b + 1]]), pack_small(owner[cut[b] : cut[b + 1]])) for b in range(buckets) if cut[b] < cut[b + 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
+        trim()
 
     return docs.mapInArrow(run, _ROWS)
 
@@ -113,6 +115,8 @@ def _shared(tokens: DataFrame, buckets: int) -> DataFrame:
         h, owner, often, block = h[order], owner[order], often[order], block[order]
         cut = np.searchsorted(block, np.arange(buckets + 1))
         rows = [(b, pack_sorted(to_sortable(owner[i:j])), h[i:j].astype("<u8").tobytes(), pack_small(often[i:j])) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
+        del h, owner, often, block, order
+        trim()
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(_SCHEMA.types)], schema=_SCHEMA)
 
     return tokens.groupBy("bucket").applyInArrow(count, _ROWS)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sieveline.session import ship
 
-from .common import column
+from .common import column, trim
 
 #: Symbols of a text parsed at a time; a longer text is parsed in blocks, which adds a phrase for each at most.
 BLOCK = 1024
@@ -195,6 +195,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                     names, scores, part, size = names + a, scores + b, [], 0
             a, b = m.predict(part)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "held_out"), pa.array(names + a, pa.string()), pa.array(scores + b, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        trim()
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     return d.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -209,6 +210,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text")
         for batch in batches:
             names, _ = shared.value.predict([x.as_py() or "" for x in column(batch, text_col)])
             yield batch.filter(pa.array([n != "und" for n in names], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 

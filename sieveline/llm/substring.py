@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_of, block_of_np, column, from_sortable, pack_small, pack_sorted, parts_for, save, text_buffers, text_bytes, to_sortable, unpack_small, unpack_sorted, windows, word_chunks
+from .common import block_of, block_of_np, column, from_sortable, pack_small, pack_sorted, parts_for, save, text_buffers, text_bytes, to_sortable, trim, unpack_small, unpack_sorted, windows, word_chunks
 
 #: What a row of the exchange holds: a sorted run of one piece of a batch, rows found to be repeats, or a compacted run.
 _RUN, _HITS, _OLD = 0, 1, 2
@@ -79,6 +79,7 @@ def sorted_runs(docs: DataFrame, n_words: int, buckets: int) -> DataFrame:
                     if i < j:
                         out.append((b, _RUN, table, pack_sorted(kh[i:j]), pack_small(ko[i:j]), kc[i:j].tobytes()))
                 yield _rows(out)
+        trim()
 
     return docs.mapInArrow(run, _ROWS)
 
@@ -123,6 +124,8 @@ def merge_runs(runs: DataFrame, buckets: int, keep_index: bool) -> DataFrame:
                 out += _hit_rows(owner[hit], h[hit], buckets)
             if keep_index:
                 out.append((int(key[0].as_py()), _OLD, b"", pack_sorted(h[start]), b"", check[start].tobytes()))
+            del h, owner, check, order, new, start, least, hit
+            trim()
         return pa.Table.from_batches([_rows(out)])
 
     return runs.groupBy("bucket").applyInArrow(merge, _ROWS)
@@ -162,6 +165,7 @@ def _cut(docs: DataFrame, hits: DataFrame, n_words: int, blocks: int) -> DataFra
                     kept.append(b" ".join(own).decode())
                     removed.append(gone)
                 out.append(pa.RecordBatch.from_arrays([pa.array(names[lo:hi], pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema=_CUT))
+        trim()
         return pa.Table.from_batches(out, _CUT)
 
     left = docs.withColumn("block", block_of(F.col("doc_id"), blocks)).groupBy("block")
