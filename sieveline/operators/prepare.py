@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sieveline.frame import FeatureFrame
 
+from .moments import WIDE, all_moments, anova, class_moments
+
 _LEFT = "sieveline_value"
 
 
@@ -39,6 +42,9 @@ def medians(frame: FeatureFrame, direct: int = 2_000_000, few: int = 10_000) ->
     quantiles give each column a bracket around its middle, which passes narrow until it holds `few` values or one value.
     """
     w, cols = frame.wide(), [F.col(f"`{c}`") for c in frame.features]
+    if frame.p > WIDE and w.count() <= direct:
+        found = {r["f"]: r["m"] for r in frame.long().where("x is not null").groupBy("f").agg(F.median("x").alias("m")).collect()}
+        return [found.get(i) for i in range(frame.p)]
     sizes = list(w.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()) if cols else []
     if max(sizes, default=0) <= direct:
         return list(w.agg(*[F.median(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()) if cols else []
@@ -85,6 +91,9 @@ def impute(frame: FeatureFrame, values: list[float | None] | None = None) -> Fea
 
 def scale_stats(frame: FeatureFrame) -> list[tuple[float, float]]:
     """(mean, population standard deviation) of each feature, one pass."""
+    if frame.p > WIDE:
+        m = all_moments(frame)
+        return [(float(a), float(b)) for a, b in zip(m.mean, np.sqrt(m.squares / np.maximum(m.n, 1)), strict=True)]
     stats = [f for c in frame.features for f in (F.avg(f"`{c}`"), F.stddev_pop(f"`{c}`"))]
     row = list(frame.wide().agg(*[s.alias(f"s{i}") for i, s in enumerate(stats)]).first())
     return [(row[i] or 0.0, row[i + 1] or 0.0) for i in range(0, len(row), 2)]
@@ -120,7 +129,11 @@ def variance_cap(frame: FeatureFrame, most: int = 120) -> FeatureFrame:
     """The `most` features of the greatest population variance, in their order (ties: the later one)."""
     if frame.p <= most:
         return frame
-    row = frame.wide().agg(*[F.var_pop(f"`{c}`").alias(f"v{i}") for i, c in enumerate(frame.features)]).first()
+    if frame.p > WIDE:
+        m = all_moments(frame)
+        row = list(m.squares / np.maximum(m.n, 1))
+    else:
+        row = frame.wide().agg(*[F.var_pop(f"`{c}`").alias(f"v{i}") for i, c in enumerate(frame.features)]).first()
     return frame.take(sorted(sorted(range(frame.p), key=lambda i: (-(row[i] or 0.0), -i))[:most]))
 
 
@@ -166,6 +179,9 @@ def anova_f(frame: FeatureFrame) -> DataFrame:
 
     Values are taken off the overall mean first, so that squares don't cancel. Undefined statistics are 0.
     """
+    if frame.p > WIDE:
+        scores = anova(class_moments(frame))
+        return frame.df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(scores)], "f int, score double")
     means = frame.wide().agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(frame.features)]).first()
     off = _each(frame, lambda i, c: c - F.lit(means[i] or 0.0))
     sums = [f for c in frame.features for f in (F.count(f"`{c}`"), F.sum(f"`{c}`"), F.sum(F.col(f"`{c}`") * F.col(f"`{c}`")))]

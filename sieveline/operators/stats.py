@@ -12,6 +12,8 @@ from sieveline.frame import FeatureFrame
 from sieveline.functions.kernels import Gram
 from sieveline.session import ship
 
+from .moments import WIDE, class_moments
+
 _SCHEMA = pa.schema([("b", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())])
 _SPEC = "b int, part int, sums binary"
 
@@ -50,9 +52,16 @@ def grams(frame: FeatureFrame, resamples: int = 0, seed: int = 42, weights: Data
     """
     ship(frame.df.sparkSession)
     cols = [f"`{c}`" for c in frame.features]
-    means = frame.wide().agg(F.avg("y"), *[F.avg(c) for c in cols]).first()
-    shift = np.array([*(m or 0.0 for m in means[1:]), means[0] or 0.0])
     p = frame.p
+    if p > WIDE:
+        classes = class_moments(frame)
+        n = sum(m.n for m in classes.values())
+        total = sum(m.n * m.mean for m in classes.values()) / np.maximum(n, 1)
+        rows = {c: float(m.n.max(initial=0)) for c, m in classes.items()}
+        shift = np.append(total, sum(c * k for c, k in rows.items()) / max(1.0, sum(rows.values())))
+    else:
+        means = frame.wide().agg(F.avg("y"), *[F.avg(c) for c in cols]).first()
+        shift = np.array([*(m or 0.0 for m in means[1:]), means[0] or 0.0])
     filled = [F.coalesce(F.col(c) - F.lit(float(shift[i])), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)]
     data = frame.wide().select("row_id", *filled, (F.col("y") - F.lit(float(shift[p]))).alias(f"x{p}"))
     size = 1 + (p + 1) + (p + 1) ** 2

@@ -106,6 +106,19 @@ def test_anova(table):
     assert prepare.prefilter(table, 2)[1] == sorted(sorted(range(5), key=lambda f: -got[f])[:2])
 
 
+def test_wide_tables_go_by_arrays(table, monkeypatch):
+    from sieveline.operators import moments
+
+    want = prepare.medians(table), prepare.scale_stats(table), {r["f"]: r["score"] for r in prepare.anova_f(table).collect()}, prepare.variance_cap(table, 2).features, stats.gram(prepare.impute(table)).cross
+    for m in (moments, prepare, stats):
+        monkeypatch.setattr(m, "WIDE", 2)
+    assert prepare.medians(table) == pytest.approx(want[0])
+    assert np.array(prepare.scale_stats(table)) == pytest.approx(np.array(want[1]))
+    assert {r["f"]: r["score"] for r in prepare.anova_f(table).collect()} == pytest.approx(want[2])
+    assert prepare.variance_cap(table, 2).features == want[3]
+    assert stats.gram(prepare.impute(table)).cross == pytest.approx(want[4], abs=1e-8)
+
+
 def test_grams(table):
     x, y = matrix(prepare.impute(table))
     want = K.Gram.of(x, y)
