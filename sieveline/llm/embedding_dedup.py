@@ -59,8 +59,9 @@ class MultiIndex:
     def reach(self, sample: np.ndarray, cosine: float, recall: float, partners: int = 4, seed: int = 5) -> float:
         """The sum of bounds up to which cells must be visited to find a share `recall` of the least similar links.
 
-        Measured on partners of the sample's vectors at just this cosine in random directions; closer ones need less. With a
-        recall of 1 it is the squared distance itself, beyond which no link can lie.
+        Measured on partners of the sample's vectors at just this cosine in random directions, so it holds for vectors of even
+        variance only; links along directions of high variance cross borders farther. With a recall of 1 it is the squared
+        distance itself, beyond which no link can lie.
         """
         most = max(0.0, 2 - 2 * cosine) + 1e-9
         if recall >= 1 or sample.shape[1] < 3 or self.k == 1:
@@ -128,7 +129,7 @@ def _compare(cosine: float):
     return run
 
 
-def near_embeddings(vectors: DataFrame, cosine: float = 0.95, sample: int = 16384, per_cell: int = 400, recall: float = 0.9999, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_embeddings(vectors: DataFrame, cosine: float = 0.95, sample: int = 16384, per_cell: int = 400, recall: float = 1, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per input row: vec_id, n_links, component_id and kept.
 
     Vectors link if their cosine, in double precision, is at least `cosine`. n_links counts the other vectors linked directly,
@@ -138,9 +139,10 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, sample: int = 1638
     too, are ignored.
 
     Equal vectors are joined first. Codebooks are fitted on at most `sample` vectors, all vectors are indexed; the number of
-    cells grows with the vectors. Each vector visits the nearest cells, in order, until the share `recall` of links at exactly
-    the least cosine would be found (see MultiIndex.reach; 1 finds every link). Large cells are compared in blocks against
-    chunks of their visitors, and a block gives sums and a forest, never its pairs.
+    cells grows with the vectors. Each vector visits the nearest cells, in order, as far as a cell can hold a link. A `recall`
+    below 1 stops where that share of links in random directions would be found, and loses more in vectors of uneven variance
+    (see MultiIndex.reach). Large cells are compared in blocks against chunks of their visitors, and a block gives sums and a
+    forest, never its pairs.
     """
     spark = vectors.sparkSession
     ship(spark)

@@ -323,6 +323,17 @@ def test_embeddings(spark):
     assert all(found[i] <= n for i, n, *_ in want) and sum(found.values()) >= 0.99 * sum(n for _, n, *_ in want)
 
 
+def test_embeddings_of_uneven_variance(spark):
+    rng = np.random.default_rng(11)
+    scale = 1 / np.arange(1, 33)
+    x = rng.normal(size=(1500, 32)) * scale
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_embeddings(df, per_cell=6).collect()}
+    assert links.sum() > 100 and [found[i] for i in range(len(x))] == links.tolist()
+
+
 def test_pipeline(spark, tmp_path, docs):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline
