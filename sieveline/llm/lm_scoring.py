@@ -7,119 +7,201 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from sieveline.session import ship
 
-from .common import column, mix, pack_small, pack_sorted, trim, unpack_small, unpack_sorted, word_chunks
+from .common import column, mix, pack_sorted, parts_for, save, text_bytes, trim, unpack_sorted, word_chunks
 
-_PARTS = 32
 _START = np.uint64(0x5851F42D4C957F2D)
+#: Bytes of text that one piece, and one range of keys, stand for.
+PIECE = 16 << 20
+#: Kinds of rows: a piece of the corpus, and counts by key of words, of words as first of a pair, and of pairs.
+_BODY, _WORD, _FIRST, _PAIR = range(4)
+_BODIES = "piece long, words binary, at binary, counts binary, ids array<long>, scored array<boolean>, target array<boolean>"
+_ASKED = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("piece", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("t", pa.binary())])
+_REPLIES = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("piece", pa.int64()), ("n", pa.binary()), ("t", pa.binary()), ("distinct", pa.int64()), ("n_words", pa.int64()), ("t_words", pa.int64())])
 
 
 @dataclass(frozen=True)
 class Shape:
-    """The vocabulary that both models share: hash classes of words, and of pairs of words."""
+    """What both models share. Words and pairs are counted exactly, whatever the shape."""
 
-    words: int = 1 << 18
-    pairs: int = 1 << 21
+    words: int | None = None  #: size of the vocabulary in the add-one estimate; None takes the number of distinct words
+    pairs: int | None = None  #: no effect, since pairs have no classes
     weight: float = 0.7  #: of the bigram estimate against the unigram one
 
 
-def _grams(text: pa.Array, shape: Shape) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, counts of words, word class, class of the word before, pair class); a text's first follows a start."""
-    for lo, hi, h, counts in word_chunks(text, lower=True):
-        before = np.empty_like(h)
-        before[1:] = h[:-1]
-        first = np.cumsum(counts) - counts
-        before[first[counts > 0]] = _START
-        cut = lambda x, n: (x % np.uint64(n)).astype(np.int64)
-        yield lo, hi, counts, cut(h, shape.words), cut(before, shape.words), cut(mix(mix(before) + h), shape.pairs)
+def _pack(x: np.ndarray) -> bytes:
+    """Non-negative numbers as 1, 2, 4 or 8 bytes each."""
+    kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
 
 
-class Model:
-    """Counts of word classes, of classes as first of a pair, and of pairs; all documents count."""
+def _unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", -1, 1).astype(np.int64)
 
-    def __init__(self, shape: Shape, counts: np.ndarray) -> None:
-        self.shape = shape
-        self.words, self.firsts, self.pairs = np.split(counts, [shape.words, 2 * shape.words])
-        self.total = int(self.words.sum())
 
-    def loss(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Bits for each word: the bigram estimate mixed with the add-one unigram one, which alone serves after unseen words."""
-        s = self.shape
-        one = (self.words[word] + 1) / (self.total + s.words)
-        seen = self.firsts[before]
-        two = self.pairs[pair] / np.maximum(seen, 1)
-        return -np.log2(np.where(seen > 0, s.weight * np.minimum(two, 1) + (1 - s.weight) * one, one))
+def _keys(words: np.ndarray, at: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ascending keys, key of each word of the texts) for words, words before and pairs; a text's first follows a start."""
+    h = words[at]
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    first = (np.cumsum(counts) - counts)[counts > 0]
+    before[first] = _START
+    firsts = np.insert(words, start := int(np.searchsorted(words, _START)), _START)
+    which = np.empty_like(at)
+    which[1:] = at[:-1] + (at[:-1] >= start)
+    which[first] = start
+    return [(words, at), (firsts, which), np.unique(mix(mix(before) + h), return_inverse=True)]
 
 
-def train(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text") -> Model:
-    """Count n-grams of every text. Pieces of the corpus send sparse counts by range of classes; the driver gets the sums,
-    whose size is the shape's, whatever the corpus."""
-    ship(docs.sparkSession)
-    size = 2 * shape.words + shape.pairs
-    span = -(-size // _PARTS)
+def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of `parts` equal ranges of 64-bit keys begins and the last one ends."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    return np.searchsorted(part, np.arange(parts + 1))
+
+
+def _parts(parts: int) -> dict[int, int]:
+    return {_WORD: -(-parts // 8), _FIRST: -(-parts // 8), _PAIR: parts}
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Non-negative numbers in the least whole bytes that hold them."""
+    width = max(1, -(-int(x.max() if len(x) else 0).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _widen(b: bytes) -> np.ndarray:
+    full = np.zeros(((len(b) - 1) // b[0], 8), np.uint8)
+    full[:, : b[0]] = np.frombuffer(b, np.uint8, -1, 1).reshape(-1, b[0])
+    return full.view("<i8").ravel()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            total = np.zeros(size, np.int64) if total is None else total
-            for _, _, _, word, before, pair in _grams(column(batch, "text"), shape):
-                total += np.bincount(np.concatenate((word, before + shape.words, pair + 2 * shape.words)), minlength=size)
-        if total is not None:
-            rows = []
-            for p in range(_PARTS):
-                part = total[p * span : (p + 1) * span]
-                at = np.flatnonzero(part)
-                if len(at):
-                    rows.append((p, pack_sorted(at.astype(np.uint64)), part[at].astype("<i8").tobytes() if part.max() >= 2**32 else pack_small(part[at]), bool(part.max() >= 2**32)))
-            total = None
-            yield _packed(rows)
-            trim()
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(span, np.int64)
-        for p, at, n, wide in zip(*(c.to_pylist() for c in table.columns), strict=True):
-            total[unpack_sorted(at).astype(np.int64)] += np.frombuffer(n, "<i8") if wide else unpack_small(n)
-        at = np.flatnonzero(total)
-        return pa.Table.from_batches([_packed([(p, pack_sorted(at.astype(np.uint64)), total[at].astype("<i8").tobytes(), True)])])
-
-    counts = np.zeros(span * _PARTS, np.int64)
-    schema = "part int, at binary, n binary, wide boolean"
-    texts = docs.select(F.col(text_col).alias("text"))
-    for r in texts.mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect():
-        counts[r["part"] * span + unpack_sorted(bytes(r["at"])).astype(np.int64)] = np.frombuffer(bytes(r["n"]), "<i8")
-    return Model(shape, counts[:size])
-
-
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.binary(), pa.binary(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["part", "at", "n", "wide"])
-
-
-def score(docs: DataFrame, target: Model, background: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_tokens, target_loss, background_loss (bits a word) and score, their difference.
-
-    A low score means text more like the target than like the background. Text without words, null too, has null losses.
-    Null and repeated ids are kept as they are; other columns are ignored.
-    """
-    ship(docs.sparkSession)
-    models = docs.sparkSession.sparkContext.broadcast((target, background))
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of the corpus, a row each: distinct words as hashes, the words of all texts by them, and what marks the texts."""
+
+    def piece() -> pa.RecordBatch:
+        h, counts = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+        words, at = np.unique(h, return_inverse=True)
+        marks = [[v for x in held for v in x[i].to_pylist()] for i in (2, 3, 4)]
+        types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()))
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, pack_sorted(words), _narrow(at), _pack(counts), *marks), types, strict=True)], ["piece", "words", "at", "counts", "ids", "scored", "target"])
+
+    number, held, size = TaskContext.get().partitionId() << 24, [], 0
+    for batch in batches:
+        for lo, hi, h, counts in word_chunks(column(batch, "text"), lower=True):
+            held.append((h, counts, *(column(batch, c).slice(lo, hi - lo) for c in ("doc_id", "scored", "target"))))
+            size += 6 * len(h) + 64 * (hi - lo)
+            if size >= PIECE:
+                yield piece()
+                number, held, size = number + 1, [], 0
+                trim()
+    if held:
+        yield piece()
+    held = []
+    trim()
+
+
+def _asked(parts: int):
+    """Rows of pieces to background and target counts of their keys, a row for each range of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, counts, word, before, pair in _grams(column(batch, "text"), models.value[0].shape):
-                row = np.repeat(np.arange(hi - lo), counts)
-                with np.errstate(invalid="ignore"):
-                    losses = [np.bincount(row, m.loss(word, before, pair), hi - lo) / counts for m in models.value]
-                none = counts == 0
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(counts, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in (*losses, losses[0] - losses[1]))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                words, at, counts = unpack_sorted(r["words"]), _widen(r["at"]), _unpack(r["counts"])
+                marks = [np.repeat(np.array(r[c], bool), counts) for c in ("scored", "target")]
+                number = r["piece"] if any(r["scored"]) else None  # only pieces with texts to score ask for sums
+                for kind, (keys, key) in zip((_WORD, _FIRST, _PAIR), _keys(words, at, counts), strict=True):
+                    n, t = (np.bincount(key[m], minlength=len(keys)) for m in marks)
+                    ends, rows = _bounds(keys, _parts(parts)[kind]), []
+                    for p in range(len(ends) - 1):
+                        s = slice(ends[p], ends[p + 1])
+                        if s.start < s.stop:
+                            rows.append((kind, p, number, pack_sorted(keys[s]), _pack(n[s]), _pack(t[s])))
+                    for lo in range(0, len(rows), 64):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 64], strict=True), _ASKED, strict=True)], schema=_ASKED)
+                trim()
+
+    return run
+
+
+def _add(table: pa.Table) -> pa.Table:
+    """Sums by key over all pieces, sent back to each piece that asks, in the order of its keys."""
+    kind, part, piece, packed, n, t = (table.column(c).to_pylist() for c in ("kind", "part", "piece", "keys", "n", "t"))
+    keys = [unpack_sorted(b) for b in packed]
+    ends = np.cumsum([0, *map(len, keys)])
+    all_keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+    n, t = (np.bincount(at, np.concatenate([_unpack(b) for b in x]), len(all_keys)).astype(np.int64) for x in (n, t))
+    word = kind[0] == _WORD
+    rows = [(kind[0], part[0], None, None, None, len(all_keys), int(n.sum()), int(t.sum()))] if word else []
+    for i, p in enumerate(piece):
+        if p is not None:
+            mine = at[ends[i] : ends[i + 1]]
+            rows.append((kind[0], part[0], p, _pack(n[mine]), _pack(t[mine]), None, None, None))
+    out = pa.Table.from_pylist([dict(zip(_REPLIES.names, r, strict=True)) for r in rows], schema=_REPLIES)
+    del keys, all_keys, at, n, t
+    trim()
+    return out
+
+
+def _scorer(size: int, totals: tuple[int, int], weight: float):
+    """Rows of one piece, body and sums, to losses of its texts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sums, body = {_WORD: [], _FIRST: [], _PAIR: []}, None
+        for r in table.to_pylist():
+            if r["kind"] == _BODY:
+                body = r
+            else:
+                sums[r["kind"]].append((r["part"], _unpack(r["n"]), _unpack(r["t"])))
+        words, at, counts = unpack_sorted(body["words"]), _widen(body["at"]), _unpack(body["counts"])
+        keys = [k for _, k in _keys(words, at, counts)]
+        row = np.repeat(np.arange(len(counts)), counts)
+        losses = []
+        for which, total in ((2, totals[1]), (1, totals[0])):
+            word, seen, pair = (np.concatenate([x[which] for x in sorted(sums[s], key=lambda x: x[0])] or [np.zeros(0, np.int64)])[k] for s, k in zip((_WORD, _FIRST, _PAIR), keys, strict=True))
+            one = (word + 1) / (total + size)
+            # The bigram estimate mixed with the add-one unigram one, which alone serves after unseen words.
+            loss = -np.log2(np.where(seen > 0, weight * (pair / np.maximum(seen, 1)) + (1 - weight) * one, one))
+            with np.errstate(invalid="ignore"):
+                losses.append(np.bincount(row, loss, len(counts)) / counts)
+        none = counts == 0
+        out = pa.table({"doc_id": pa.array(body["ids"], pa.int64()), "n_tokens": pa.array(counts, pa.int64()), **{c: pa.array(x, pa.float64(), mask=none) for c, x in zip(("target_loss", "background_loss", "score"), (*losses, losses[0] - losses[1]), strict=True)}})
         trim()
+        return out.filter(pa.array(body["scored"], pa.bool_()))
+
+    return run
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
+def marked_difference(rows: DataFrame, size: int, shape: Shape = Shape()) -> DataFrame:
+    """Losses of the rows with `scored`, which make the background model, while those with `target` make the target model.
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, shape: Shape = Shape(), **kw) -> DataFrame:
-    """Score docs by a model of the target texts against one, of the same shape and smoothing, of all docs."""
-    return score(docs, train(target, shape, kw.get("text_col", "text")), train(docs, shape, kw.get("text_col", "text")), **kw)
+    Rows are doc_id, text, scored and target; size is about the bytes of their texts. Counts are kept by 64-bit hash of the
+    word or pair and grow with the corpus: pieces of the corpus send what they counted to ranges of keys, which add it up
+    and send each piece the sums of its own keys. As a piece sends a key once, frequent keys weigh no more than others.
+    """
+    ship(rows.sparkSession)
+    rows = rows.select("doc_id", "text", "scored", "target")
+    bodies = save(rows.mapInArrow(_bodies, _BODIES), "lm-pieces")
+    asked = bodies.mapInArrow(_asked(parts_for(size, PIECE)), "kind int, part int, piece long, keys binary, n binary, t binary")
+    replies = save(asked.groupBy("kind", "part").applyInArrow(_add, "kind int, part int, piece long, n binary, t binary, distinct long, n_words long, t_words long"), "lm-sums")
+    distinct, *totals = (x or 0 for x in replies.where("piece is null").agg(F.sum("distinct"), F.sum("n_words"), F.sum("t_words")).first())
+    run = _scorer(shape.words or max(1, distinct), tuple(totals), shape.weight)
+    own = bodies.where(F.exists("scored", lambda x: x)).withColumn("kind", F.lit(_BODY)).drop("target")
+    both = own.unionByName(replies.where("piece is not null").select("kind", "part", "piece", "n", "t"), allowMissingColumns=True)
+    return both.groupBy("piece").applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, shape: Shape = Shape(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, target_loss, background_loss (bits a word) and score, their difference.
+
+    Losses are those of a model of the target texts and of one, of the same vocabulary and smoothing, of all docs. A low score
+    means text more like the target than like the background. Text without words, null too, has null losses. Null and
+    repeated ids are kept as they are; other columns are ignored.
+    """
+    texts = lambda d, i, scored: d.select(i.cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(scored).alias("scored"), F.lit(not scored).alias("target"))
+    size = text_bytes(docs, text_col) + text_bytes(target, text_col)
+    return marked_difference(texts(docs, F.col(id_col), True).unionByName(texts(target, F.lit(None), False)), size, shape)

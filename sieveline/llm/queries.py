@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_digest
+from .common import text_bytes
 from .embedding_dedup import near_embeddings
 from .exact import exact_dedup
 from .jaccard import ngram_jaccard
 from .language_id import language_id
 from .license_scan import scan_licenses
-from .lm_scoring import cross_entropy_difference
+from .lm_scoring import marked_difference
 from .mixing import mix_sources
 from .secret_scan import BASE, RULES, secret_digest
 from .substring import substring_digest
@@ -62,8 +63,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    target = docs.join(labels.where("quality = 1 and toxic = 0").select("doc_id").hint("merge"), "doc_id", "left_semi")  # labels grow with the corpus
-    return cross_entropy_difference(docs, target)
+    target = labels.where("quality = 1 and toxic = 0").select(F.col("doc_id"), F.lit(True).alias("good")).distinct()
+    marked = docs.select("doc_id", "text").join(target.hint("merge"), "doc_id", "left")  # labels grow with the corpus
+    return marked_difference(marked.select(F.col("doc_id").cast("long"), "text", F.lit(True).alias("scored"), F.coalesce("good", F.lit(False)).alias("target")), text_bytes(docs))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

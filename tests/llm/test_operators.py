@@ -270,6 +270,29 @@ def test_lm(spark, docs, empty, nulls):
     assert lm_scoring.cross_entropy_difference(nulls, empty, shape).count() == nulls.count()
 
 
+def test_lm_counts_do_not_collide(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PIECE", 1 << 16, raising=False)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 400) % 400_000) for _ in range(800)]
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    shape = lm_scoring.Shape(64, 64)  # as hash classes these would be far too few
+    found = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(data, data.where("doc_id < 100"), shape).collect()}
+    own = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(data, data.where("doc_id < 100")).collect()}
+    for few, loss in ((100, "target_loss"), (800, "background_loss")):
+        w, f, p = Counter(), Counter(), Counter()
+        for t in texts[:few]:
+            x = [None, *t.split()]
+            w.update(x[1:]), f.update(x[:-1]), p.update(zip(x, x[1:], strict=False))
+        for got, size in ((found, 64), (own, len({x for t in texts for x in t.split()}))):
+            for i, t in enumerate(texts):
+                one = lambda b: (w[b] + 1) / (sum_w + size)  # noqa: B023, E731
+                sum_w = 400 * few
+                x = [None, *t.split()]
+                want = np.mean([-np.log2(0.7 * p[a, b] / f[a] + 0.3 * one(b) if f[a] else one(b)) for a, b in zip(x, x[1:], strict=False)])
+                assert got[i][loss] == pytest.approx(want, rel=1e-9)
+
+
+
 def shingles(t, n):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
