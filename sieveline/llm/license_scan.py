@@ -25,8 +25,12 @@ TEMPLATES = {
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "proprietary": ("All rights reserved.", "Copyright 2020 Example. All rights reserved.", "Confidential and proprietary. Unauthorized copying is prohibited."),
 }
-#: A paragraph without any of these words has no feature, so it isn't scored.
+#: Lines with any of these words are counted as paragraphs, and teach the unknown class.
 ANCHORS = ("licence", "license", "licenced", "licensed", "copyright", "permission", "permitted", "redistribution", "redistribute", "rights", "proprietary", "spdx", "gnu", "warranty")
+#: Words that say little; see _telling.
+_COMMON = frozenset("a all and any as by from in is it of or out the this to under with without you may not use work can be".split())
+#: Numbers of lines that are joined, and the most characters of a line that take part (more than any template has).
+_JOINED, _WIDE = (2, 3, 4, 6, 8, 12), 600
 _OTHER = ("The committee granted permission for the meeting.", "Human rights were discussed at length.", "The warranty covers two years.", "She has a driving licence.", "They may redistribute the seats.", "A copyright dispute ended today.", "No parking is permitted here.", "The license plate was missing.")
 
 
@@ -91,12 +95,55 @@ def train(spark: SparkSession, background: DataFrame | None = None, text_col: st
     return model
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """A row for each paragraph (line) of `text` that has an anchor word; other columns stay."""
-    anchor = "(?i)(?<![a-z0-9])(?:" + "|".join(ANCHORS) + ")(?![a-z0-9])"
-    lines = docs.where(F.regexp_like("text", F.lit(anchor)))
+def _holds(words: tuple | list) -> str:
+    return "(?i)(?<![a-z0-9])(?:" + "|".join(x.replace(".", "[.]") for x in words) + ")(?![a-z0-9])"
+
+
+def _telling(confirm: float) -> list[str]:
+    """Words of which a text must hold one to hold the share `confirm` of any template's words.
+
+    These are as many of each template's words, rare ones first, as no text may lack.
+    """
+    out = set()
+    for ts in TEMPLATES.values():
+        for t in ts:
+            bag = sorted(_bag(t), key=lambda w: (w in _COMMON, -len(w), w))
+            out.update(bag[: math.floor(len(bag) * (1 - confirm) + 1e-9) + 1])
+    return sorted(out)
+
+
+def paragraphs(docs: DataFrame, words: tuple | list = ANCHORS) -> DataFrame:
+    """A row for each line of `text` that has one of the words; other columns stay."""
+    found = docs.where(F.regexp_like("text", F.lit(_holds(words))))
     others = [c for c in docs.columns if c != "text"]
-    return lines.select(*others, F.posexplode(F.split("text", r"[\n\r]+")).alias("at", "paragraph")).where(F.regexp_like("paragraph", F.lit(anchor)))
+    return found.select(*others, F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("at", "paragraph")).where(F.regexp_like("paragraph", F.lit(_holds(words))))
+
+
+def joined(docs: DataFrame, confirm: float = 0.6) -> DataFrame:
+    """A row for each run of lines, between blank ones, that may hold a notice wrapped over them: at, last, paragraph.
+
+    Runs have a share `confirm` of the words, and of the pairs of neighbouring words, of a template.
+    """
+    holds = _holds(_telling(confirm))
+    others = [c for c in docs.columns if c != "text"]
+    lines = docs.where(F.regexp_like("text", F.lit(holds)) & F.regexp_like("text", F.lit(r"[\n\r]"))).select(*others, F.split("text", r"\r\n|\n|\r").alias("_lines"))
+    # Lines inside a run are part of the notice, so they are short; of the first and the last only the near ends matter.
+    fits = lambda x: F.when(~F.regexp_like(x, F.lit("[A-Za-z0-9]")), 0).when(F.length(x) > _WIDE, 1).otherwise(2)
+    lines = lines.select(*others, F.transform("_lines", lambda x: F.struct(F.right(x, F.lit(_WIDE)).alias("tail"), F.left(x, F.lit(_WIDE)).alias("head"), F.regexp_like(x, F.lit(holds)).alias("tells"), fits(x).alias("fits"))).alias("_lines"))
+    # Elements are taken one by one, since a slice inside a lambda copies the whole array.
+    lines = lines.select(*others, F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.array(*[F.get("_lines", i + k) for k in range(max(_JOINED))]))).alias("at", "_w"))
+    runs = lines.where(F.exists("_w", lambda x: F.coalesce(x["tells"], F.lit(False))))
+    runs = runs.select(*others, "at", F.explode(F.array(*map(F.lit, _JOINED))).alias("_n"), "_w").withColumn("_w", F.slice("_w", F.lit(1), F.col("_n")))
+    end, inside = F.get("_w", F.col("_n") - 1), F.slice("_w", F.lit(2), F.col("_n") - 2)
+    whole = (F.get("_w", F.lit(0))["fits"] > 0) & end["fits"].isNotNull() & (end["fits"] > 0) & F.forall(inside, lambda x: x["fits"] == 2)
+    runs = runs.where(whole & F.exists("_w", lambda x: x["tells"]))
+    text = F.concat_ws(" ", F.array(F.get("_w", F.lit(0))["tail"]), F.transform(inside, lambda x: x["head"]), F.array(end["head"]))
+    runs = runs.select(*others, "at", (F.col("at") + F.col("_n") - 1).alias("last"), text.alias("paragraph"))
+    # explode keeps the optimizer from computing words and grams again for each template.
+    runs = runs.select(*others, "at", "last", "paragraph", F.explode(F.array(words_of(F.col("paragraph")))).alias("_words"))
+    runs = runs.select(*others, "at", "last", "paragraph", F.explode(F.array(_grams(F.col("_words")))).alias("_grams"))
+    grams = F.array(*[F.array(*map(F.lit, _pairs(t))) for ts in TEMPLATES.values() for t in ts if len(_pairs(t)) > 1])
+    return runs.where(F.exists(grams, lambda t: F.size(F.array_intersect(t, F.col("_grams"))) >= F.lit(confirm) * F.size(t))).drop("_grams")
 
 
 def classify(rows: DataFrame, model: LicenseModel, confirm: float = 0.6) -> DataFrame:
@@ -127,16 +174,40 @@ def _bag(template: str) -> list[str]:
     return sorted(set(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", template.lower())))
 
 
+def _pairs(template: str) -> list[str]:
+    import re
+
+    w = re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", template.lower())
+    return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
+
+
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, licenses (the families found, sorted), n_paragraphs (with an anchor word), n_unknown.
+    """One row per input row: doc_id, licenses (the families found, sorted), n_paragraphs, n_unknown.
 
-    Paragraphs are the lines of a text. Null and empty texts have none. A model is trained, with docs as background, if none is
-    given. Rows that repeat an id, or whose id is null, share what is found in any of them. Other columns are ignored.
+    Every line that may hold a template's words is scored, and so are runs of lines between blank ones, for notices wrapped
+    over several. A run counts if no line of it is known by itself, and no overlapping run matches another family better.
+    n_paragraphs counts lines with an anchor word and other lines that are known; n_unknown those that are neither known nor
+    part of a run that is. Null and empty texts have none. A model is trained, with docs as background, if none is given. Rows
+    that repeat an id, or whose id is null, share what is found in any of them. Other columns are ignored.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = model or train(docs.sparkSession, d)
-    found = classify(paragraphs(d), model)
-    known = F.array_compact(F.collect_set(F.when(F.col("family") != UNKNOWN, F.col("family"))))
-    sums = found.groupBy("doc_id").agg(F.array_sort(known).alias("licenses"), F.count(F.lit(1)).alias("n_paragraphs"), F.count_if(F.col("family") == UNKNOWN).alias("n_unknown")).withColumnRenamed("doc_id", "_id")
+    marked = d.withColumn("row", F.xxhash64("text"))
+    lines = paragraphs(marked, sorted({*ANCHORS, *_telling(0.6)})).withColumn("last", F.col("at"))
+    both = lines.select("doc_id", "row", "at", "last", "paragraph").unionByName(joined(marked))
+    found = classify(both, model).withColumn("anchor", (F.col("at") == F.col("last")) & F.regexp_like("paragraph", F.lit(_holds(ANCHORS))))
+    # Calls are few: lines with an anchor, and whatever is known.
+    calls = found.where(F.col("anchor") | (F.col("family") != UNKNOWN)).groupBy("doc_id").agg(F.collect_list(F.struct("row", "at", "last", "family", "match", "anchor")).alias("calls"))
+    meets = lambda x, y: (x["row"] == y["row"]) & (x["at"] <= y["last"]) & (y["at"] <= x["last"])
+    line = lambda x: x["at"] == x["last"]
+    calls = calls.withColumn("known", F.filter("calls", lambda x: line(x) & (x["family"] != UNKNOWN)))
+    calls = calls.withColumn("runs", F.filter("calls", lambda x: ~line(x) & ~F.exists("known", lambda y: meets(x, y))))
+    calls = calls.withColumn("runs", F.filter("runs", lambda x: ~F.exists("runs", lambda y: meets(x, y) & (y["family"] != x["family"]) & (y["match"] > x["match"]))))
+    sums = calls.select(
+        F.col("doc_id").alias("_id"),
+        F.array_sort(F.array_distinct(F.transform(F.concat("known", "runs"), lambda x: x["family"]))).alias("licenses"),
+        F.size(F.filter("calls", line)).cast("long").alias("n_paragraphs"),
+        F.size(F.filter("calls", lambda x: line(x) & (x["family"] == UNKNOWN) & ~F.exists("runs", lambda y: meets(x, y)))).cast("long").alias("n_unknown"),
+    )
     out = d.select("doc_id").join(sums, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return out.select("doc_id", F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"))

@@ -239,6 +239,24 @@ def test_licenses(spark, docs, empty, nulls):
     assert license_scan.scan_licenses(empty).count() == 0 and license_scan.scan_licenses(nulls, model).count() == nulls.count()
 
 
+def test_wrapped_licenses(spark):
+    mit = """# Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction, including without limitation the rights"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+    gpl = """This program is free software: you can redistribute it and/or modify\r
+it under the terms of the GNU General Public License as published by\r
+the Free Software Foundation, either version 3 of the License, or\r
+(at your option) any later version."""
+    prose = "The old mill stood by the river.\nAll the people of the town came to use it."
+    texts = [mit, f"{prose}\n{bsd}\n{prose}", gpl, "This work is available under CC BY-NC 4.0", f"{prose}\n\n{mit}\n\n{gpl}", prose, "Permission is hereby granted, free of\n\ncharge, to attend the meeting."]
+    found = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), license_scan.train(spark)).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in found] == [["mit"], ["bsd"], ["gpl-3.0"], ["cc-by-nc"], ["gpl-3.0", "mit"], [], []]
+    assert [r["n_unknown"] for r in found[:6]] == [0] * 6
+
+
 def test_lm(spark, docs, empty, nulls):
     shape = lm_scoring.Shape(1 << 20, 1 << 20)
     target = docs.where("doc_id < 10")
