@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +44,37 @@ def save(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
+    for scope in _scopes:
+        scope.append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables saved inside are deleted at the end, less those taken out of the list."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+        forget(*made)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, and the name of that column, which clashes with none.
+
+    Rows of a stored table get the same numbers whenever it is read, as its splits depend on its files only.
+    """
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by save() that nothing reads any more."""
     for df in tables:
@@ -76,12 +106,15 @@ def block_of_np(ids: np.ndarray, n: int) -> np.ndarray:
 # --- numpy hashing ---------------------------------------------------------------------------
 
 _SEED = np.random.Generator(np.random.PCG64(20240229))
-_TABLE = _SEED.integers(0, 2**64, 256, dtype=np.uint64)
 _BASES = [int(x) * 8 + 5 for x in _SEED.integers(2**58, 2**60, 4, dtype=np.uint64)]
+_STARTS = _SEED.integers(0, 2**64, 4, dtype=np.uint64)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
-_LOWER_TABLE = _TABLE.copy()
-_LOWER_TABLE[65:91] = _TABLE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words beyond this many bytes are hashed one by one.
+_SHORT_WORD = 64
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -139,8 +172,30 @@ def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-def _words(data: np.ndarray, starts_at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word of data; a text begins at each of starts_at."""
+def _word_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, family: int) -> np.ndarray:
+    """64-bit hashes of the words data[lo:hi]; families are independent of each other.
+
+    Eight bytes at a time go through a bijective mix, so words of up to eight bytes and one length never collide, and longer
+    ones have no structure (unlike polynomials modulo 2**64) that makes them.
+    """
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    size = hi - lo
+    h = mix(_STARTS[family] ^ size.astype(np.uint64))
+    at, left = np.arange(len(lo)), size
+    for k in range(0, _SHORT_WORD, 8):
+        chosen = (left > k) & (size[at] <= _SHORT_WORD)
+        at, left = at[chosen], left[chosen]
+        if not len(at):
+            break
+        h[at] = mix((h[at] ^ (eight[lo[at] + k] & _FIRST_BYTES[np.minimum(left - k, 8)])) * np.uint64(_BASES[family]))
+    for i in np.flatnonzero(size > _SHORT_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(data[lo[i] : hi[i]].tobytes(), digest_size=8, salt=bytes([family])).digest(), "little")
+    return h
+
+
+def _words(data: np.ndarray, starts_at: np.ndarray, lower: bool, families: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (a row for each family) and start of every word of data; a text begins at each of starts_at."""
     black = ~_IS_SPACE[data]
     first = black.copy()
     first[1:] &= ~black[:-1]
@@ -149,13 +204,15 @@ def _words(data: np.ndarray, starts_at: np.ndarray, lower: bool) -> tuple[np.nda
     last = black.copy()
     last[:-1] &= ~black[1:] | first[1:]
     lo, hi = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return _ranges((_LOWER_TABLE if lower else _TABLE)[data], lo, hi, 0), lo
+    data = _LOWER[data] if lower else data
+    return np.stack([_word_hashes(data, lo, hi, f) for f in range(families)]), lo
 
 
-def word_chunks(arr: pa.Array, lower: bool = False, size: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_chunks(arr: pa.Array, lower: bool = False, size: int = 4 << 20, families: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, 64-bit hash of each word, number of words of each row) for runs of rows of about `size` bytes.
 
-    A single longer text is one run. Runs are hashed in pieces of a megabyte or two, cut at white space.
+    With several families the hashes have a row for each. A single longer text is one run. Runs are hashed in pieces of a
+    megabyte or two, cut at white space.
     """
     data, offsets = text_buffers(arr)
     piece = min(size, 1 << 20)
@@ -171,13 +228,13 @@ def word_chunks(arr: pa.Array, lower: bool = False, size: int = 4 << 20) -> Iter
                     cut += 1
                 hi = cut
             inside = offsets[row:end]
-            h, p = _words(data[lo:hi], inside[(inside >= lo) & (inside < hi)] - lo, lower)
+            h, p = _words(data[lo:hi], inside[(inside >= lo) & (inside < hi)] - lo, lower, families)
             found.append(h)
             at.append(p + lo)
             lo = hi
-        h = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        h = np.concatenate(found, 1) if found else np.zeros((families, 0), np.uint64)
         p = np.concatenate(at) if at else np.zeros(0, np.int64)
-        yield row, end, h, np.diff(np.searchsorted(p, offsets[row : end + 1]))
+        yield row, end, h if families > 1 else h[0], np.diff(np.searchsorted(p, offsets[row : end + 1]))
         row = end
 
 
@@ -213,14 +270,19 @@ def unpack_sorted(b: bytes) -> np.ndarray:
 
 
 def pack_small(x: np.ndarray) -> bytes:
-    """Small non-negative numbers as 1, 2 or 4 bytes each."""
-    most = int(x.max()) if len(x) else 0
-    kind = np.uint8 if most < 2**8 else np.uint16 if most < 2**16 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+    """Non-negative numbers as 1, 2, 4 or 8 bytes each."""
+    kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
 
 
 def unpack_small(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32}[b[0]], -1, 1)
+    return np.frombuffer(b, f"<u{b[0]}", -1, 1)
+
+
+def range_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where, in ascending 64-bit keys, each of `parts` equal ranges begins and the last one ends."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    return np.searchsorted(part, np.arange(parts + 1))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

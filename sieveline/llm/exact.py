@@ -37,10 +37,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical without white space; null counts as empty, so null, empty and blank texts are one
     group. Of a group the row with the most code points in its original text stays, ties going to the smallest id (a null
-    id comes last); rows that repeat an id are all kept or all dropped with it. Any other columns of docs are ignored.
+    id comes last); rows that repeat an id are all kept or all dropped with it. An id may be any sortable value, a struct too. Any other columns of docs are ignored.
 
     A bounded sample (`per_splitter` rows for each slice) gives the splitters, for four slices a partition and `most_slices` at
-    most, beyond which slices grow and their sorts spill. Rows are compared with them by the first `prefix` characters,
+    most, as they are part of the plan; if that isn't enough, each slice is dealt further by the hash of the content. Rows are compared with them by the first `prefix` characters,
     then by a hash of the whole, then by a salt: a group of copies that fills several slices is spread over them. Each slice
     is sorted by content on disk, and each row is compared in full with the one before it. Groups that touch a splitter are
     then put together across slices from one row for each slice.
@@ -49,6 +49,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = d.withColumn("salt", F.xxhash64("doc_id", "points"))
     partitions = max(2, -(-text_bytes(docs, text_col) // partition_bytes))
     n = max(2, min(4 * partitions, most_slices))
+    finer = -(-4 * partitions // n)
     order = [F.substring("content", 1, prefix).alias("k0"), F.xxhash64("content").alias("k1"), F.col("salt").alias("k2")]
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).orderBy(F.xxhash64(F.lit(7), "doc_id")).limit(n * per_splitter)
     chosen = chosen.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("points"), normalised(F.col("text")).alias("content")).withColumn("salt", F.xxhash64("doc_id", "points"))
@@ -64,9 +65,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         d = d.withColumn("part", F.lit(0)).withColumn("edge", F.lit(False))
 
+    if finer > 1:
+        d = d.withColumn("part", F.col("part") * finer + F.pmod(F.xxhash64(F.lit(3), "content"), F.lit(finer)).cast("int"))
+
     # The sort within a partition puts equal contents side by side, the row that stays first.
     sorted_ = Window.partitionBy("part").orderBy("content", F.desc("points"), F.asc_nulls_last("doc_id"))
-    d = d.repartition(min(partitions, n), "part").withColumn("new", F.coalesce(F.lag("content").over(sorted_) != F.col("content"), F.lit(True)))
+    d = d.repartition(partitions, "part").withColumn("new", F.coalesce(F.lag("content").over(sorted_) != F.col("content"), F.lit(True)))
     d = d.withColumn("run", F.sum(F.col("new").cast("int")).over(sorted_.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.select("doc_id", "points", "part", "edge", "new", "run", F.sha2(F.encode("content", "UTF-8"), 256).alias("text_sha256"), F.when(F.col("edge") & F.col("new"), F.col("content")).alias("content"))
     rows = save(d, "exact-rows")

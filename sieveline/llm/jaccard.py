@@ -6,20 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_of, block_of_np, column, forget, from_sortable, mix, pack_small, pack_sorted, parts_for, save, signed, text_bytes, to_sortable, trim, unpack_small, unpack_sorted, windows, word_chunks
+from .common import column, forget, mix, pack_small, pack_sorted, parts_for, range_bounds, save, signed, text_bytes, trim, unpack_small, unpack_sorted, windows, word_chunks
 from .components import components
 
-#: Tokens in more than this many sets are frequent: they are indexed by pairs.
-FREQUENT = 16
-#: Sets of at least LONG tokens are indexed by single tokens whatever their frequency (pairs would grow with the square of a
-#: set's size), those up to LONG over the similarity by pairs too; two similar sets so always share a scheme.
-LONG = 64
+#: Bytes of text that one piece of the documents, and one range of tokens, stand for.
+PIECE, RANGE = 4 << 20, 8 << 20
+#: Greatest count that is told apart from others; tokens beyond it are in the order of their hash.
+_MOST_COUNT = 65_535
 
-_ROWS = "bucket int, ids binary, hashes binary, owners binary"
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("hashes", pa.binary()), ("owners", pa.binary())])
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+_PIECES = "piece long, ids array<long>, n array<long>, s1 array<long>, s2 array<long>, rows binary, tokens binary"
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
 
@@ -50,125 +48,142 @@ def _sets(text: pa.Array, n_words: int) -> Iterator[tuple[int, int, np.ndarray,
         yield lo, hi, sizes, *sums, h
 
 
-def shingle_sets(docs: DataFrame, n_words: int) -> DataFrame:
-    """(doc_id, n, s1, s2): the size of each row's set and two 64-bit sums of its tokens, which identify it."""
+def _pieces(n_words: int):
+    """Pieces of the documents, a row each: every row's id, set size and two sums that identify its set, and the tokens of
+    one row (that of the smallest id) for each distinct set of the piece. Rows without an id lend no tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for lo, hi, sizes, s1, s2, _ in _sets(column(batch, "text"), n_words):
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(signed(s1)), pa.array(signed(s2))], schema=_SETS)
+            names = column(batch, "doc_id")
+            for lo, hi, sizes, s1, s2, h in _sets(column(batch, "text"), n_words):
+                own = names.slice(lo, hi - lo)
+                ids, known = own.fill_null(0).to_numpy(zero_copy_only=False), ~own.is_null().to_numpy(zero_copy_only=False)
+                order = np.lexsort((ids, ~known, s2, s1, sizes))
+                first = np.ones(hi - lo, bool)
+                first[1:] = (sizes[order][1:] != sizes[order][:-1]) | (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
+                stay = np.zeros(hi - lo, bool)
+                stay[order[first]] = True
+                stay &= (sizes > 0) & known
+                values = (number, own.to_pylist(), sizes, signed(s1), signed(s2), pack_small(np.flatnonzero(stay)), h[np.repeat(stay, sizes)].tobytes())
+                types = (pa.int64(), *[pa.list_(pa.int64())] * 4, pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], ["piece", "ids", "n", "s1", "s2", "rows", "tokens"])
+                number += 1
         trim()
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+    return run
 
 
-def _tokens(docs: DataFrame, n_words: int, buckets: int) -> DataFrame:
-    """The tokens of one row for each distinct set of a piece of docs, by range of hash."""
+def _asked(parts: int):
+    """Rows of pieces to counts of their tokens, a row for each range of tokens; a token is one entry however many sets have it."""
+    schema = pa.schema([("part", pa.int32()), ("piece", pa.int64()), ("keys", pa.binary()), ("k", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi, sizes, s1, s2, h in _sets(column(batch, "text"), n_words):
-                ids = all_ids[lo:hi]
-                order = np.lexsort((ids, s2, s1, sizes))
-                first = np.ones(hi - lo, bool)
-                first[1:] = (sizes[order][1:] != sizes[order][:-1]) | (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
-                stay = np.zeros(hi - lo, bool)
-                stay[order[first]] = True
-                stay &= sizes > 0
-                if not stay.any():
-                    continue
-                names, rank = np.unique(ids, return_inverse=True)
-                keep = np.repeat(stay, sizes)
-                owner, h = np.repeat(rank, sizes)[keep], h[keep]
-                by = np.argsort(h)
-                owner, h = owner[by], h[by]
-                cut = np.searchsorted(((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
-                table = pack_sorted(to_sortable(names))
-                rows = [(b, table, pack_sorted(h[cut[b] : cut[b + 1]]), pack_small(owner[cut[b] : cut[b + 1]])) for b in range(buckets) if cut[b] < cut[b + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
+            for piece, tokens in zip(column(batch, "piece").to_pylist(), column(batch, "tokens"), strict=True):
+                keys, k = np.unique(np.frombuffer(tokens.as_py(), "<u8"), return_counts=True)
+                ends = range_bounds(keys, parts)
+                rows = [(p, piece, pack_sorted(keys[i:j]), pack_small(k[i:j])) for p, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if i < j]
+                for lo in range(0, len(rows), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[lo : lo + 256], strict=True), schema, strict=True)], schema=schema)
         trim()
 
-    return docs.mapInArrow(run, _ROWS)
-
-
-def _shared(tokens: DataFrame, buckets: int) -> DataFrame:
-    """Tokens that occur more than once, with how often, by block of documents."""
-
-    def count(table: pa.Table) -> pa.Table:
-        hs, ids = [], []
-        for batch in table.to_batches():
-            for _, names, h, o in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hs.append(unpack_sorted(h))
-                ids.append(from_sortable(unpack_sorted(names))[unpack_small(o)])
-        h, owner = np.concatenate(hs), np.concatenate(ids)
-        hs.clear(), ids.clear()
-        order = np.argsort(h)
-        h, owner = h[order], owner[order]
-        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        size = np.diff(np.append(start, len(h)))
-        often = np.repeat(size, size)
-        keep = often > 1
-        h, owner, often = h[keep], owner[keep], often[keep]
-        block = block_of_np(owner, buckets)
-        order = np.lexsort((owner, block))
-        h, owner, often, block = h[order], owner[order], often[order], block[order]
-        cut = np.searchsorted(block, np.arange(buckets + 1))
-        rows = [(b, pack_sorted(to_sortable(owner[i:j])), h[i:j].astype("<u8").tobytes(), pack_small(often[i:j])) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
-        del h, owner, often, block, order
-        trim()
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(_SCHEMA.types)], schema=_SCHEMA)
+    return run
+
+
+def _add(table: pa.Table) -> pa.Table:
+    """Sums of one range's counts over all pieces, sent back to each piece in the order of its tokens."""
+    part, piece, packed, k = (table.column(c).to_pylist() for c in ("part", "piece", "keys", "k"))
+    keys = [unpack_sorted(b) for b in packed]
+    ends = np.cumsum([0, *map(len, keys)])
+    at = np.unique(np.concatenate(keys), return_inverse=True)[1]
+    del keys, packed
+    sums = np.minimum(np.bincount(at, np.concatenate([unpack_small(b) for b in k])), _MOST_COUNT).astype(np.uint16)
+    found = [pack_small(sums[at[i:j]]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    del at, sums
+    trim()
+    return pa.table({"part": pa.array(part, pa.int32()), "piece": pa.array(piece, pa.int64()), "k": pa.array(found, pa.binary())})
 
-    return tokens.groupBy("bucket").applyInArrow(count, _ROWS)
+
+def _combined(n: int, percent: int) -> list[int]:
+    """Numbers of groups by which a set of n tokens combines frequent tokens.
+
+    Sizes fall into classes between powers of two, each with one number of groups, about as many as a prefix must hold
+    combinations. A set takes part in its own class and in that of every larger set that can be similar.
+    """
+    out = []
+    for c in range(n.bit_length() - 1, (n * 100 // percent).bit_length()):
+        low, least = 1 << c, -(-percent * (1 << c) // 100)
+        out.append(max(1, min(low - least + 1, -(-percent * least // 100) - 1)))
+    return sorted(set(out))
 
 
-def _keys(n: int, often: np.ndarray, tokens: np.ndarray, percent: int) -> np.ndarray:
+def _keys(n: int, often: np.ndarray, tokens: np.ndarray, percent: int, frequent: int) -> np.ndarray:
     """The index keys of a set of n tokens, of which those given occur elsewhere too.
 
-    Similar sets share at least o = percent * n / 100 tokens, so at least two of the n - o + 2 that are rarest (ties by hash),
-    and one of n - o + 1. Tokens that occur nowhere else fill these places first and need no key.
+    Of two similar sets each lacks at most n - o tokens of the other, o = percent * n / 100. A prefix of the rarest tokens (ties
+    by hash) is long enough if taking n - o tokens away leaves a key of it: a rare token is a key by itself, and so counts for
+    one; frequent tokens, dealt to groups, are keys by pairs within a group, so a group of f counts for f - 1. Tokens that occur
+    nowhere else come first, count for one each and need no key. Then the set whose prefix ends first shares one of
+    its keys with the other.
     """
-    o = -(-percent * n // 100)
-    alone = n - len(tokens)
-    if n - o + 2 <= alone:
+    need = n + (-percent * n // 100) + 1 - (n - len(tokens))
+    if need <= 0:
         return np.zeros(0, np.uint64)
-    order = np.lexsort((tokens, often))[: n - o + 2 - alone]
+    order = np.lexsort((tokens, often))
     often, tokens = often[order], tokens[order]
-    out = []
-    if n < LONG * 100 // percent + 2:
-        rare = tokens[often <= FREQUENT]
-        out.append(mix(rare + np.uint64(1)))
-        rest = tokens[often > FREQUENT]
-        i, j = np.triu_indices(len(rest), 1)
-        out.append(mix(mix(rest[i] + np.uint64(2)) + rest[j]))
-    if n >= LONG:
-        out.append(mix(tokens[: max(0, n - o + 1 - alone)] + np.uint64(3)))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
-
-
-def _features(sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n, tokens, keys) of the sets that have keys; tokens are those that occur elsewhere too."""
-
-    def run(sets: pa.Table, found: pa.Table) -> pa.Table:
-        rows = list(zip(*(found.column(c).to_pylist() for c in ("ids", "hashes", "owners")), strict=True))
+    rare = int(np.searchsorted(often, frequent, "right")) if percent > 50 else len(tokens)
+    out = [mix(tokens[: min(rare, need)] + np.uint64(1))]
+    need, tokens = need - rare, tokens[rare:]
+    if need > 0:
+        for groups in _combined(n, percent):
+            group = (mix(tokens ^ np.uint64(groups)) % np.uint64(groups)).astype(np.int64)
+            counts = np.ones(len(tokens), bool)
+            counts[np.unique(group, return_index=True)[1]] = False
+            upto = int(np.searchsorted(np.cumsum(counts), need)) + 1
+            by = np.argsort(group[:upto], kind="stable")
+            group, dealt = group[:upto][by], tokens[:upto][by]
+            for k in range(1, len(dealt)):  # pairs k apart
+                same = group[k:] == group[:-k]
+                if not same.any():
+                    break
+                out.append(mix(mix(dealt[:-k][same] + np.uint64(2)) + dealt[k:][same]))
+    return np.unique(np.concatenate(out))
+
+
+def _features(percent: int, frequent: int):
+    """Rows of one piece (its tokens, their counts and the ids that stand for a set) to (doc_id, n, tokens, keys) of the sets
+    that have keys; tokens are those that occur elsewhere too."""
+
+    def run(table: pa.Table) -> pa.Table:
+        body, counts, stand = None, [], set()
+        for r in table.to_pylist():
+            if r["tokens"] is not None:
+                body = r
+            elif r["k"] is not None:
+                counts.append((r["part"], r["k"]))
+            else:
+                stand.update(r["stand"])
         out = []
-        if rows:
-            ids = np.concatenate([from_sortable(unpack_sorted(i)) for i, _, _ in rows])
-            h = np.concatenate([np.frombuffer(x, "<u8") for _, x, _ in rows])
-            often = np.concatenate([unpack_small(x) for _, _, x in rows])
-            rows.clear()
-            order = np.argsort(ids, kind="stable")
-            ids, h, often = ids[order], h[order], often[order]
-            names, sizes = (sets.column(c).to_numpy() for c in ("doc_id", "n"))
-            i, j = np.searchsorted(ids, names), np.searchsorted(ids, names, "right")
-            for name, n, lo, hi in zip(names, sizes, i, j, strict=True):
-                if lo < hi:
-                    keys = _keys(int(n), often[lo:hi], h[lo:hi], percent)
+        if stand:
+            tokens = np.frombuffer(body["tokens"], "<u8")
+            at = np.unique(tokens, return_inverse=True)[1]
+            often = np.concatenate([unpack_small(k) for _, k in sorted(counts, key=lambda x: x[0])])[at]
+            rows = unpack_small(body["rows"])
+            ends = np.cumsum([0, *(body["n"][i] for i in rows)])
+            for i, lo, hi in zip(rows, ends[:-1], ends[1:], strict=True):
+                if body["ids"][i] in stand:
+                    more = often[lo:hi] > 1
+                    h = tokens[lo:hi][more]
+                    keys = _keys(body["n"][i], often[lo:hi][more], h, percent, frequent)
                     if len(keys):
-                        out.append((name, n, np.sort(signed(h[lo:hi])), signed(keys)))
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(_FEATURES.types)], schema=_FEATURES)
+                        out.append((body["ids"][i], body["n"][i], signed(h), signed(keys)))
+        result = pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(_FEATURES.types)], schema=_FEATURES)
+        del out, body
+        trim()
+        return result
 
-    return sets.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, "doc_id long, n long, tokens array<long>, keys array<long>")
+    return run
 
 
 def _verified(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
@@ -264,7 +279,7 @@ def similar_links(features: DataFrame, percent: int, block_tokens: int = 500_000
     return first.unionByName(save(found.distinct(), "links-found"))
 
 
-def ngram_jaccard(docs: DataFrame, n_words: int = 5, percent: int = 80, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_jaccard(docs: DataFrame, n_words: int = 5, percent: int = 80, frequent: int = 16, range_bytes: int = RANGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles (size of its set) and component_id.
 
     A document's set has its distinct runs of n_words words, with A-Z in lower case; a shorter text is one run; null, empty
@@ -273,17 +288,23 @@ def ngram_jaccard(docs: DataFrame, n_words: int = 5, percent: int = 80, buckets:
     component_id; rows that repeat an id are taken for one document. Other columns are ignored.
 
     Equal sets (by size and two 64-bit sums) are joined first, and one row stands for them. Tokens are counted over all
-    documents; a set is indexed by its rarest tokens: single ones if rare, pairs if frequent; see _keys. Candidates are
-    verified on whole sets.
+    documents: pieces send the counts of their own tokens to ranges of tokens and get the sums back, so a token that every
+    document has is one entry a piece. A set is indexed by its rarest tokens: those in at most `frequent` sets, whose postings
+    so stay short, by themselves, others by pairs; see _keys. (At 50 percent or less, where pairs can't be complete, all go by
+    themselves.) Candidates are verified on whole sets.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = buckets or parts_for(text_bytes(d), 6 << 20)
-    sets = save(shingle_sets(d, n_words), "shingle-sets")
-    classes = save(sets.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id")), "classes")
-    shared = save(_shared(_tokens(d.where("doc_id is not null"), n_words, buckets), buckets), "shared-tokens")
-    reps = classes.select(F.col("class_id").alias("doc_id"), "n", block_of(F.col("class_id"), buckets).alias("block"))
-    features = save(_features(reps, shared.withColumnRenamed("bucket", "block"), percent), "features")
-    forget(shared)
+    parts = parts_for(text_bytes(d), range_bytes)
+    pieces = save(d.mapInArrow(_pieces(n_words), _PIECES), "shingle-pieces")
+    sets = pieces.select("piece", F.explode(F.arrays_zip("ids", "n", "s1", "s2")).alias("x")).select("piece", F.col("x.ids").alias("doc_id"), "x.n", "x.s1", "x.s2")
+    least = F.min(F.struct("doc_id", "piece")).alias("x")
+    classes = save(sets.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(least).select("n", "s1", "s2", F.col("x.doc_id").alias("class_id"), "x.piece"), "classes")
+    asked = pieces.select("piece", "tokens").mapInArrow(_asked(parts), "part int, piece long, keys binary, k binary")
+    counts = save(asked.groupBy("part").applyInArrow(_add, "part int, piece long, k binary"), "token-counts")
+    stand = classes.groupBy("piece").agg(F.collect_list("class_id").alias("stand"))
+    both = pieces.select("piece", "ids", "n", "rows", "tokens").unionByName(counts, allowMissingColumns=True).unionByName(stand, allowMissingColumns=True)
+    features = save(both.groupBy("piece").applyInArrow(_features(percent, frequent), "doc_id long, n long, tokens array<long>, keys array<long>"), "features")
+    forget(counts)
     comps = components(similar_links(features, percent)).withColumnRenamed("id", "class_id")
-    out = sets.join(classes, ["n", "s1", "s2"], "left").join(comps, "class_id", "left")
+    out = sets.join(classes.drop("piece"), ["n", "s1", "s2"], "left").join(comps, "class_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "class_id", "doc_id")).alias("component_id"))

@@ -121,6 +121,9 @@ class LanguageModel:
         out[:, order] = count
         return out
 
+    def has_letter(self, text: str) -> bool:
+        return bool(self.letter[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         names, scores, blocks, owner = ["und"] * len(texts), [0.0] * len(texts), [], []
         total = np.zeros(len(texts))
@@ -201,15 +204,25 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return d.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose language can be told (see identify); others go. No shuffle."""
+def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose language can be told (see identify), with that language in lang_col; others go. No shuffle.
+
+    If nothing was learned, rows with a letter stay as they are.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for batch in batches:
-            names, _ = shared.value.predict([x.as_py() or "" for x in column(batch, text_col)])
-            yield batch.filter(pa.array([n != "und" for n in names], pa.bool_()))
+            at = batch.schema.get_field_index(lang_col)
+            if m.languages:
+                names, _ = m.predict([x.as_py() or "" for x in column(batch, text_col)])
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(names, pa.string()).cast(batch.schema.field(at).type))
+                stay = [n != "und" for n in names]
+            else:
+                stay = [m.has_letter(x.as_py() or "") for x in column(batch, text_col)]
+            yield batch.filter(pa.array(stay, pa.bool_()))
         trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sieveline.session import ship
 
-from .common import column, mix, pack_sorted, parts_for, save, text_bytes, trim, unpack_sorted, word_chunks
+from .common import column, mix, pack_small, pack_sorted, parts_for, range_bounds, save, text_bytes, trim, unpack_small, unpack_sorted, word_chunks
 
 _START = np.uint64(0x5851F42D4C957F2D)
 #: Bytes of text that one piece, and one range of keys, stand for.
@@ -33,14 +33,8 @@ class Shape:
     weight: float = 0.7  #: of the bigram estimate against the unigram one
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Non-negative numbers as 1, 2, 4 or 8 bytes each."""
-    kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
-    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", -1, 1).astype(np.int64)
+def _counts_of(b: bytes) -> np.ndarray:
+    return unpack_small(b).astype(np.int64)
 
 
 def _keys(words: np.ndarray, at: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -57,12 +51,6 @@ def _keys(words: np.ndarray, at: np.ndarray, counts: np.ndarray) -> list[tuple[n
     return [(words, at), (firsts, which), np.unique(mix(mix(before) + h), return_inverse=True)]
 
 
-def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of `parts` equal ranges of 64-bit keys begins and the last one ends."""
-    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    return np.searchsorted(part, np.arange(parts + 1))
-
-
 def _parts(parts: int) -> dict[int, int]:
     return {_WORD: -(-parts // 8), _FIRST: -(-parts // 8), _PAIR: parts}
 
@@ -87,7 +75,7 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, at = np.unique(h, return_inverse=True)
         marks = [[v for x in held for v in x[i].to_pylist()] for i in (2, 3, 4)]
         types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()))
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, pack_sorted(words), _narrow(at), _pack(counts), *marks), types, strict=True)], ["piece", "words", "at", "counts", "ids", "scored", "target"])
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, pack_sorted(words), _narrow(at), pack_small(counts), *marks), types, strict=True)], ["piece", "words", "at", "counts", "ids", "scored", "target"])
 
     number, held, size = TaskContext.get().partitionId() << 24, [], 0
     for batch in batches:
@@ -111,16 +99,16 @@ def _asked(parts: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
-                words, at, counts = unpack_sorted(r["words"]), _widen(r["at"]), _unpack(r["counts"])
+                words, at, counts = unpack_sorted(r["words"]), _widen(r["at"]), _counts_of(r["counts"])
                 marks = [np.repeat(np.array(r[c], bool), counts) for c in ("scored", "target")]
                 number = r["piece"] if any(r["scored"]) else None  # only pieces with texts to score ask for sums
                 for kind, (keys, key) in zip((_WORD, _FIRST, _PAIR), _keys(words, at, counts), strict=True):
                     n, t = (np.bincount(key[m], minlength=len(keys)) for m in marks)
-                    ends, rows = _bounds(keys, _parts(parts)[kind]), []
+                    ends, rows = range_bounds(keys, _parts(parts)[kind]), []
                     for p in range(len(ends) - 1):
                         s = slice(ends[p], ends[p + 1])
                         if s.start < s.stop:
-                            rows.append((kind, p, number, pack_sorted(keys[s]), _pack(n[s]), _pack(t[s])))
+                            rows.append((kind, p, number, pack_sorted(keys[s]), pack_small(n[s]), pack_small(t[s])))
                     for lo in range(0, len(rows), 64):
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 64], strict=True), _ASKED, strict=True)], schema=_ASKED)
                 trim()
@@ -134,13 +122,13 @@ def _add(table: pa.Table) -> pa.Table:
     keys = [unpack_sorted(b) for b in packed]
     ends = np.cumsum([0, *map(len, keys)])
     all_keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-    n, t = (np.bincount(at, np.concatenate([_unpack(b) for b in x]), len(all_keys)).astype(np.int64) for x in (n, t))
+    n, t = (np.bincount(at, np.concatenate([_counts_of(b) for b in x]), len(all_keys)).astype(np.int64) for x in (n, t))
     word = kind[0] == _WORD
     rows = [(kind[0], part[0], None, None, None, len(all_keys), int(n.sum()), int(t.sum()))] if word else []
     for i, p in enumerate(piece):
         if p is not None:
             mine = at[ends[i] : ends[i + 1]]
-            rows.append((kind[0], part[0], p, _pack(n[mine]), _pack(t[mine]), None, None, None))
+            rows.append((kind[0], part[0], p, pack_small(n[mine]), pack_small(t[mine]), None, None, None))
     out = pa.Table.from_pylist([dict(zip(_REPLIES.names, r, strict=True)) for r in rows], schema=_REPLIES)
     del keys, all_keys, at, n, t
     trim()
@@ -156,8 +144,8 @@ def _scorer(size: int, totals: tuple[int, int], weight: float):
             if r["kind"] == _BODY:
                 body = r
             else:
-                sums[r["kind"]].append((r["part"], _unpack(r["n"]), _unpack(r["t"])))
-        words, at, counts = unpack_sorted(body["words"]), _widen(body["at"]), _unpack(body["counts"])
+                sums[r["kind"]].append((r["part"], _counts_of(r["n"]), _counts_of(r["t"])))
+        words, at, counts = unpack_sorted(body["words"]), _widen(body["at"]), _counts_of(body["counts"])
         keys = [k for _, k in _keys(words, at, counts)]
         row = np.repeat(np.arange(len(counts)), counts)
         losses = []

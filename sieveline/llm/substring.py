@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_of, block_of_np, column, from_sortable, pack_small, pack_sorted, parts_for, save, text_buffers, text_bytes, to_sortable, trim, unpack_small, unpack_sorted, windows, word_chunks
+from .common import block_of, block_of_np, column, from_sortable, pack_small, pack_sorted, parts_for, range_bounds, save, text_buffers, text_bytes, to_sortable, trim, unpack_small, unpack_sorted, windows, word_chunks
 
 #: What a row of the exchange holds: a sorted run of one piece of a batch, rows found to be repeats, or a compacted run.
 _RUN, _HITS, _OLD = 0, 1, 2
@@ -17,13 +17,10 @@ _SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.bi
 
 
 def _check(words: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Second hashes of windows, from the words' second hashes."""
     return (windows(words, counts, n, 2)[2] >> np.uint64(32)).astype(np.uint32)
 
 
-def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-
-
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)] if rows else [pa.array([], t) for t in _SCHEMA.types], schema=_SCHEMA)
 
@@ -35,7 +32,8 @@ def _hit_rows(ids: np.ndarray, hashes: np.ndarray, n: int) -> list[tuple]:
     block, ids, hashes = block[order], ids[order], hashes[order]
     out = []
     for lo, hi in zip(cuts := np.flatnonzero(np.diff(block, prepend=-1)), [*cuts[1:], len(block)], strict=True):
-        out.append((int(block[lo]), _HITS, ids[lo:hi].astype("<i8").tobytes(), hashes[lo:hi].astype("<u8").tobytes(), b"", b""))
+        names, k = np.unique(ids[lo:hi], return_counts=True)
+        out.append((int(block[lo]), _HITS, pack_sorted(to_sortable(names)), hashes[lo:hi].astype("<u8").tobytes(), pack_small(k), b""))
     return out
 
 
@@ -49,12 +47,12 @@ def sorted_runs(docs: DataFrame, n_words: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi, words, counts in word_chunks(column(batch, "text")):
+            for lo, hi, (words, second), counts in word_chunks(column(batch, "text"), families=2):
                 names, rank = np.unique(all_ids[lo:hi], return_inverse=True)
                 rows, _, h = windows(words, counts, n_words)
                 if not len(h):
                     continue
-                owner, check = rank[rows].astype(np.uint32), _check(words, counts, n_words)
+                owner, check = rank[rows].astype(np.uint32), _check(second, counts, n_words)
                 order = np.argsort(h, kind="stable")
                 h, owner, check = h[order], owner[order], check[order]
                 start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
@@ -72,12 +70,11 @@ def sorted_runs(docs: DataFrame, n_words: int, buckets: int) -> DataFrame:
                     keep = keep[np.argsort(h[keep], kind="stable")]
                 out = _hit_rows(names[owner[hit]], h[hit], buckets) if hit.any() else []
                 kh, ko, kc = h[keep], owner[keep], check[keep]
-                cut = np.searchsorted(_bucket(kh, buckets), np.arange(buckets + 1))
-                table = pack_sorted(to_sortable(names))
-                for b in range(buckets):
+                cut = range_bounds(kh, buckets)
+                for b in np.flatnonzero(cut[1:] > cut[:-1]):
                     i, j = cut[b], cut[b + 1]
-                    if i < j:
-                        out.append((b, _RUN, table, pack_sorted(kh[i:j]), pack_small(ko[i:j]), kc[i:j].tobytes()))
+                    used, own = np.unique(ko[i:j], return_inverse=True)
+                    out.append((int(b), _RUN, pack_sorted(to_sortable(names[used])), pack_sorted(kh[i:j]), pack_small(own), kc[i:j].tobytes()))
                 yield _rows(out)
         trim()
 
@@ -135,7 +132,7 @@ def _cut(docs: DataFrame, hits: DataFrame, n_words: int, blocks: int) -> DataFra
     """Documents without the words that their repeats cover."""
 
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
-        ids = np.concatenate([np.frombuffer(x, "<i8") for x in found.column("ids").to_pylist()] or [np.zeros(0, np.int64)])
+        ids = np.concatenate([np.repeat(from_sortable(unpack_sorted(i)), unpack_small(k)) for i, k in zip(found.column("ids").to_pylist(), found.column("owners").to_pylist(), strict=True)] or [np.zeros(0, np.int64)])
         hashes = np.concatenate([np.frombuffer(x, "<u8") for x in found.column("hashes").to_pylist()] or [np.zeros(0, np.uint64)])
         order = np.argsort(ids, kind="stable")
         ids, hashes = ids[order], hashes[order]
@@ -146,7 +143,7 @@ def _cut(docs: DataFrame, hits: DataFrame, n_words: int, blocks: int) -> DataFra
             names = column(batch, "doc_id").to_pylist()
             text = column(batch, "text")
             data, offsets = text_buffers(text)
-            for lo, hi, words, counts in word_chunks(text):
+            for lo, hi, words, counts in word_chunks(text, size=1 << 20):
                 rows, start, h = windows(words, counts, n_words)
                 edge = np.searchsorted(rows, np.arange(hi - lo + 1))
                 before = np.cumsum(counts) - counts
@@ -168,7 +165,8 @@ def _cut(docs: DataFrame, hits: DataFrame, n_words: int, blocks: int) -> DataFra
         trim()
         return pa.Table.from_batches(out, _CUT)
 
-    left = docs.withColumn("block", block_of(F.col("doc_id"), blocks)).groupBy("block")
+    spread = F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")  # rows without an id have no repeats
+    left = docs.withColumn("block", F.when(F.col("doc_id").isNull(), spread).otherwise(block_of(F.col("doc_id"), blocks))).groupBy("block")
     return left.cogroup(hits.groupBy("block")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
@@ -185,19 +183,19 @@ def substring_dedup(docs: DataFrame, n_words: int = 13, history: DataFrame | Non
     Words are stretches without white space, unchanged. Null and empty texts have no words; shorter texts have no window.
     Rows with a null id neither lose words nor make others lose any. Rows that repeat an id are one document: they don't make
     each other lose words. Windows are equal if two hashes, of 64 and 32 bits, agree: the first places them in the sorted
-    runs, the second verifies. Other columns are ignored.
+    runs, the second verifies; they start from independent hashes of the words themselves. Other columns are ignored.
 
     Each piece of the input becomes sorted runs, one for each range of hashes, in which every hash occurs once; so a passage
     in many documents sends one entry for each piece. Repeats go to the block of their document, where texts are read again.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if buckets is None:
-        buckets = parts_for(text_bytes(d), 16 << 20)
+        buckets = parts_for(text_bytes(d), 8 << 20)
     runs = sorted_runs(d.where("doc_id is not null"), n_words, buckets)
     if history is not None:
         runs = runs.unionByName(history)
     merged = save(merge_runs(runs, buckets, keep_index), "substring-merged")
-    hits = merged.where(f"kind = {_HITS}").select(F.col("bucket").alias("block"), "ids", "hashes")
+    hits = merged.where(f"kind = {_HITS}").select(F.col("bucket").alias("block"), "ids", "hashes", "owners")
     return _cut(d, hits, n_words, buckets), merged.where(f"kind = {_OLD}") if keep_index else None
 
 

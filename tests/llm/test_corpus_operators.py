@@ -316,10 +316,51 @@ def shingles(t, n):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize(("n", "percent", "frequent", "long"), [(4, 85, 16, 128), (5, 80, 1, 1000), (4, 85, 2, 64), (2, 60, 2, 30)])
-def test_jaccard(spark, docs, empty, nulls, monkeypatch, n, percent, frequent, long):
-    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
-    monkeypatch.setattr(jaccard, "LONG", long)
+def thue_morse(k):
+    """Two different words that polynomial hashes modulo 2**64 can't tell apart, whatever their base."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << k)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = thue_morse(10)
+    texts = [f"{w} {' '.join(BASE[:12])}" for w in (a, b)]
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.ngram_jaccard(df, 4, 85).collect()} == {(1, 1), (2, 2)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["n_removed"] for r in substring.substring_dedup(df, 13)[0].collect()} == {0}
+    names = [f"{'x' * k}{i}{'y' * (k // 2)}" for k in range(90) for i in range(40)] + [a, b]
+    import pyarrow as pa
+
+    ((_, _, h, _),) = word_chunks(pa.array([" ".join(names)]), families=2)
+    assert h.shape == (2, len(names)) and len(np.unique(h)) == 2 * len(names)
+
+
+@pytest.mark.parametrize(("percent", "frequent"), [(85, 0), (80, 3), (60, 0), (51, 2), (50, 0), (30, 1)])
+def test_similar_sets_share_a_key(percent, frequent):
+    rng = np.random.default_rng(percent)
+    tokens = rng.integers(0, 2**64, 900, dtype=np.uint64)
+    often = np.where(rng.random(900) < 0.2, 1, rng.integers(2, 9, 900))
+    for _ in range(1500):
+        size = int(rng.integers(1, rng.choice([4, 12, 60, 500])))
+        a = rng.choice(900, size, replace=False)
+        same = rng.integers(0, 2) * size if size < 3 else int(rng.integers(size * percent // 100, size + 1))
+        more = int(rng.integers(0, size))
+        b = np.concatenate((a[:same], rng.choice(900, more, replace=False)))
+        a, b = set(a.tolist()), set(b.tolist())
+        if a == b or not b or 100 * len(a & b) < percent * len(a | b):
+            continue
+        keys = []
+        for x in map(sorted, (a, b)):
+            i = np.array(x)
+            # A token in one set alone must not be in both.
+            k = np.where((often[i] == 1) & np.isin(i, list(a & b)), 2, often[i])
+            keys.append(jaccard._keys(len(x), k[k > 1], tokens[i][k > 1], percent, frequent))
+        assert np.intersect1d(*keys).size
+
+
+@pytest.mark.parametrize(("n", "percent", "frequent"), [(4, 85, 16), (5, 80, 1), (4, 85, 2), (2, 60, 2), (1, 45, 2)])
+def test_jaccard(spark, docs, empty, nulls, n, percent, frequent):
     rng = np.random.default_rng(3)
     words = np.array([f"v{i}" for i in range(60)])
     more = []
@@ -334,7 +375,7 @@ def test_jaccard(spark, docs, empty, nulls, monkeypatch, n, percent, frequent, l
     sets = {i: shingles(t, n) for i, t, *_ in data}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     want = groups(links, sets)
-    found = jaccard.ngram_jaccard(df, n, percent, buckets=3).collect()
+    found = jaccard.ngram_jaccard(df, n, percent, frequent).collect()
     assert Counter(map(tuple, found)) == Counter((i, len(sets[i]), want[i]) for i, *_ in data)
     assert jaccard.ngram_jaccard(empty).count() == 0
     assert {r["component_id"] for r in jaccard.ngram_jaccard(nulls).collect()} == {None}
@@ -380,24 +421,36 @@ def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
     from tokenizers import Tokenizer
 
-    data = rows()[:-2]
-    df = spark.createDataFrame([(*r, 1) for r in data], "doc_id long, text string, lang string, source string, n_chars long")
-    df.write.parquet(str(tmp_path / "documents.parquet"))
+    other = "five words of a text that nobody else has in this small corpus of rows"
+    twice = [(5, other, None, "s1"), (5, f"another {other[::-1]}", None, "s2"), (None, "only null row here, and it is unique", None, "s1"), (None, other[:40], "de", None), (3, rows()[0][1], "en", "s1")]
+    data = [(*r, k) for k, r in enumerate([*rows(), *twice])]
+    df = spark.createDataFrame([(*r[:4], 1, *r[4:]) for r in data], "doc_id long, text string, lang string, source string, n_chars long, number long")
+    df = df.withColumns({c: F.lit(1) for c in [*CLASH, "sieveline_id", "sieveline_n", "row", "row_", "rank", "least", "no"]})
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     kept = [r for r in data if r[1] and any(c.isalpha() for c in r[1])]
+    rank = lambda r: (r[0] is None, r[0] or 0, r[4])
     by = {}
-    for r in sorted(kept, key=lambda r: (-len(r[1]), r[0])):
+    for r in sorted(kept, key=lambda r: (-len(r[1]), rank(r))):
         by.setdefault(re.sub(r"\s", "", r[1]), r)
-    left = {r[0]: r for r in by.values()}
+    left = {r[4]: r for r in by.values()}
     sets = {i: shingles(r[1], 5) for i, r in left.items()}
     comp = groups([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], sets)
-    left = {i: r for i, r in left.items() if comp[i] == i}
-    taken = {r["doc_id"]: r["repeats"] for r in mixing.mix_sources(spark.createDataFrame(list(left.values()), "doc_id long, text string, lang string, source string")).collect() if r["size"]}
-    assert Counter(r["doc_id"] for r in found) == Counter({i: n for i, n in taken.items() if n})
+    best = {}
+    for i in sorted(left, key=lambda i: rank(left[i])):
+        best.setdefault(comp[i], i)
+    left = [left[i] for i in best.values()]
+    assert {other, "only null row here, and it is unique"} < {r[1] for r in left}
+    schema = "doc_id long, text string, lang string, source string, number long"
+    taken = {r["number"]: r["repeats"] for r in mixing.mix_sources(spark.createDataFrame(left, schema), keep="number").collect() if r["size"]}
     lib = Tokenizer.from_file(corpus_pipeline.tokenizer_path())
     lib.no_truncation()
-    for r in found:
-        assert r["ids"] == lib.encode(left[r["doc_id"]][1], add_special_tokens=False).ids
+    want = Counter({(r[0], tuple(lib.encode(r[1], add_special_tokens=False).ids)): taken[r[4]] for r in left if taken[r[4]]})
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in found) == want
     for (_, stage), last in zip(corpus_pipeline.STAGES, [False] * 4 + [True], strict=True):
         out = stage(spark, df.where("false"), str(tmp_path))
         assert out.count() == 0 and (last or out.columns == df.columns)
+    # Nothing labelled: there is no language to tell, but texts with letters stay. Otherwise the label is the prediction.
+    bare = corpus_pipeline.language(spark, df.withColumn("lang", F.lit(None).cast("string")), "")
+    assert bare.count() == len(kept)
+    assert {r["lang"] for r in corpus_pipeline.language(spark, df, "").collect()} <= {"en", "de"}
