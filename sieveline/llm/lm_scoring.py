@@ -16,7 +16,7 @@ from .common import column, mix, pack_small, pack_sorted, parts_for, range_bound
 
 _START = np.uint64(0x5851F42D4C957F2D)
 #: Bytes of text that one piece, and one range of keys, stand for.
-PIECE = 16 << 20
+PIECE = 6 << 20
 #: Kinds of rows: a piece of the corpus, and counts by key of words, of words as first of a pair, and of pairs.
 _BODY, _WORD, _FIRST, _PAIR = range(4)
 _BODIES = "piece long, words binary, at binary, counts binary, ids array<long>, scored array<boolean>, target array<boolean>"
@@ -28,8 +28,7 @@ _REPLIES = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("piece", pa.i
 class Shape:
     """What both models share. Words and pairs are counted exactly, whatever the shape."""
 
-    words: int | None = None  #: size of the vocabulary in the add-one estimate; None takes the number of distinct words
-    pairs: int | None = None  #: no effect, since pairs have no classes
+    words: int | None = None  #: size of the vocabulary in the add-one estimate; None takes the distinct words and one unknown
     weight: float = 0.7  #: of the bigram estimate against the unigram one
 
 
@@ -135,8 +134,14 @@ def _add(table: pa.Table) -> pa.Table:
     return out
 
 
+def _own(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How often each occurrence's key occurs in its own text."""
+    _, at, k = np.unique(row * (int(key.max(initial=0)) + 1) + key, return_inverse=True, return_counts=True)
+    return k[at]
+
+
 def _scorer(size: int, totals: tuple[int, int], weight: float):
-    """Rows of one piece, body and sums, to losses of its texts."""
+    """Rows of one piece, body and sums, to losses of its texts. A text that a model has counted is left out of it."""
 
     def run(table: pa.Table) -> pa.Table:
         sums, body = {_WORD: [], _FIRST: [], _PAIR: []}, None
@@ -148,10 +153,11 @@ def _scorer(size: int, totals: tuple[int, int], weight: float):
         words, at, counts = unpack_sorted(body["words"]), _widen(body["at"]), _counts_of(body["counts"])
         keys = [k for _, k in _keys(words, at, counts)]
         row = np.repeat(np.arange(len(counts)), counts)
-        losses = []
-        for which, total in ((2, totals[1]), (1, totals[0])):
-            word, seen, pair = (np.concatenate([x[which] for x in sorted(sums[s], key=lambda x: x[0])] or [np.zeros(0, np.int64)])[k] for s, k in zip((_WORD, _FIRST, _PAIR), keys, strict=True))
-            one = (word + 1) / (total + size)
+        own, losses = [_own(row, k) for k in keys], []
+        for which, total, counted in ((2, totals[1], body["target"]), (1, totals[0], body["scored"])):
+            mine = np.array(counted, np.int64)
+            word, seen, pair = (np.concatenate([x[which] for x in sorted(sums[s], key=lambda x: x[0])] or [np.zeros(0, np.int64)])[k] - mine[row] * o for s, k, o in zip((_WORD, _FIRST, _PAIR), keys, own, strict=True))
+            one = (word + 1) / ((total - mine * counts)[row] + size)
             # The bigram estimate mixed with the add-one unigram one, which alone serves after unseen words.
             loss = -np.log2(np.where(seen > 0, weight * (pair / np.maximum(seen, 1)) + (1 - weight) * one, one))
             with np.errstate(invalid="ignore"):
@@ -167,7 +173,10 @@ def _scorer(size: int, totals: tuple[int, int], weight: float):
 def marked_difference(rows: DataFrame, size: int, shape: Shape = Shape()) -> DataFrame:
     """Losses of the rows with `scored`, which make the background model, while those with `target` make the target model.
 
-    Rows are doc_id, text, scored and target; size is about the bytes of their texts. Counts are kept by 64-bit hash of the
+    Rows are doc_id, text, scored and target; size is about the bytes of their texts. A row is scored by models of all other
+    rows: what it lent to a model is taken off again, so that target rows don't look like the target for being in it. Both
+    models share one vocabulary, all distinct words and one unknown, and one smoothing, and their estimates add up to one. The
+    background is all rows, not a sample of the target's size, so that its counts cover the corpus. Counts are kept by 64-bit hash of the
     word or pair and grow with the corpus: pieces of the corpus send what they counted to ranges of keys, which add it up
     and send each piece the sums of its own keys. As a piece sends a key once, frequent keys weigh no more than others.
     """
@@ -177,8 +186,8 @@ def marked_difference(rows: DataFrame, size: int, shape: Shape = Shape()) -> Dat
     asked = bodies.mapInArrow(_asked(parts_for(size, PIECE)), "kind int, part int, piece long, keys binary, n binary, t binary")
     replies = save(asked.groupBy("kind", "part").applyInArrow(_add, "kind int, part int, piece long, n binary, t binary, distinct long, n_words long, t_words long"), "lm-sums")
     distinct, *totals = (x or 0 for x in replies.where("piece is null").agg(F.sum("distinct"), F.sum("n_words"), F.sum("t_words")).first())
-    run = _scorer(shape.words or max(1, distinct), tuple(totals), shape.weight)
-    own = bodies.where(F.exists("scored", lambda x: x)).withColumn("kind", F.lit(_BODY)).drop("target")
+    run = _scorer(shape.words or distinct + 1, tuple(totals), shape.weight)
+    own = bodies.where(F.exists("scored", lambda x: x)).withColumn("kind", F.lit(_BODY))
     both = own.unionByName(replies.where("piece is not null").select("kind", "part", "piece", "n", "t"), allowMissingColumns=True)
     return both.groupBy("piece").applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
@@ -186,8 +195,9 @@ def marked_difference(rows: DataFrame, size: int, shape: Shape = Shape()) -> Dat
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, shape: Shape = Shape(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, target_loss, background_loss (bits a word) and score, their difference.
 
-    Losses are those of a model of the target texts and of one, of the same vocabulary and smoothing, of all docs. A low score
-    means text more like the target than like the background. Text without words, null too, has null losses. Null and
+    Losses are those of a model of the target texts and of one, of the same vocabulary and smoothing, of all other docs. A low
+    score means text more like the target than like the background. Where the target is part of docs, mark its rows and use
+    marked_difference, which leaves a row out of the target too. Text without words, null too, has null losses. Null and
     repeated ids are kept as they are; other columns are ignored.
     """
     texts = lambda d, i, scored: d.select(i.cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(scored).alias("scored"), F.lit(not scored).alias("target"))

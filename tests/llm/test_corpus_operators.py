@@ -257,58 +257,47 @@ the Free Software Foundation, either version 3 of the License, or\r
     assert [r["n_unknown"] for r in found[:6]] == [0] * 6
 
 
+def bigrams(t):
+    x = [None, *WORD.findall((t or "").lower())]
+    return Counter(x[1:]), Counter(x[:-1]), Counter(zip(x, x[1:], strict=False))
+
+
+def loss(t, models, size, counted):
+    """Bits a word under the counts of all texts of a model, this one left out if it was counted."""
+    w, f, p = [m - o if counted else m for m, o in zip(models, bigrams(t), strict=True)]
+    x = [None, *WORD.findall((t or "").lower())]
+    one = lambda b: (w[b] + 1) / (sum(w.values()) + size)
+    return np.mean([-np.log2(0.7 * p[a, b] / f[a] + 0.3 * one(b) if f[a] else one(b)) for a, b in zip(x, x[1:], strict=False)])
+
+
 def test_lm(spark, docs, empty, nulls):
-    shape = lm_scoring.Shape(1 << 20, 1 << 20)
-    target = docs.where("doc_id < 10")
-    found = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(docs, target, shape).collect()}
-
-    def counts(texts):
-        w, f, p = Counter(), Counter(), Counter()
-        for t in texts:
-            x = [None, *WORD.findall((t or "").lower())]
-            w.update(x[1:]), f.update(x[:-1]), p.update(zip(x, x[1:], strict=False))
-        return w, f, p
-
-    def loss(t, m):
-        w, f, p = m
-        x = [None, *WORD.findall((t or "").lower())]
-        one = lambda b: (w[b] + 1) / (sum(w.values()) + shape.words)
-        return np.mean([-np.log2(shape.weight * p[a, b] / f[a] + (1 - shape.weight) * one(b) if f[a] else one(b)) for a, b in zip(x, x[1:], strict=False)])
-
-    models = counts(t for i, t, *_ in rows() if i < 10), counts(t for _, t, *_ in rows())
-    wrong = 0
+    found = {(r["doc_id"]): r for r in lm_scoring.cross_entropy_difference(docs, docs.where("doc_id < 10"), lm_scoring.Shape(1 << 20)).collect()}
+    every, few = [[sum(c, Counter()) for c in zip(*(bigrams(t) for i, t, *_ in rows() if i < end), strict=True)] for end in (10**9, 10)]
     for i, t, *_ in rows():
         if WORD.findall(t or ""):
-            wrong += any(found[i][c] != pytest.approx(loss(t, m), rel=2e-2) for c, m in zip(("target_loss", "background_loss"), models, strict=True))
+            assert found[i]["target_loss"] == pytest.approx(loss(t, few, 1 << 20, False))
+            assert found[i]["background_loss"] == pytest.approx(loss(t, every, 1 << 20, True))
             assert found[i]["score"] == pytest.approx(found[i]["target_loss"] - found[i]["background_loss"])
         else:
             assert found[i]["score"] is None and found[i]["n_tokens"] == 0
-    assert wrong <= 1  # words that share a hash class are counted together
-    assert lm_scoring.cross_entropy_difference(empty, empty, shape).count() == 0
-    assert lm_scoring.cross_entropy_difference(nulls, empty, shape).count() == nulls.count()
+    assert lm_scoring.cross_entropy_difference(empty, empty).count() == 0
+    assert lm_scoring.cross_entropy_difference(nulls, empty).count() == nulls.count()
 
 
-def test_lm_counts_do_not_collide(spark, monkeypatch):
+def test_lm_of_marked_rows(spark, monkeypatch):
+    """Small pieces and ranges, exact counts, and every row left out of the models that it is part of."""
     monkeypatch.setattr(lm_scoring, "PIECE", 1 << 16, raising=False)
     rng = np.random.default_rng(6)
-    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 400) % 400_000) for _ in range(800)]
-    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    shape = lm_scoring.Shape(64, 64)  # as hash classes these would be far too few
-    found = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(data, data.where("doc_id < 100"), shape).collect()}
-    own = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(data, data.where("doc_id < 100")).collect()}
-    for few, loss in ((100, "target_loss"), (800, "background_loss")):
-        w, f, p = Counter(), Counter(), Counter()
-        for t in texts[:few]:
-            x = [None, *t.split()]
-            w.update(x[1:]), f.update(x[:-1]), p.update(zip(x, x[1:], strict=False))
-        for got, size in ((found, 64), (own, len({x for t in texts for x in t.split()}))):
-            for i, t in enumerate(texts):
-                one = lambda b: (w[b] + 1) / (sum_w + size)  # noqa: B023, E731
-                sum_w = 400 * few
-                x = [None, *t.split()]
-                want = np.mean([-np.log2(0.7 * p[a, b] / f[a] + 0.3 * one(b) if f[a] else one(b)) for a, b in zip(x, x[1:], strict=False)])
-                assert got[i][loss] == pytest.approx(want, rel=1e-9)
-
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 100) % 400_000) for _ in range(500)]
+    texts[7] = texts[300]
+    data = [(i, t, True, i < 100) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "doc_id long, text string, scored boolean, target boolean").repartition(3)
+    found = {r["doc_id"]: r for r in lm_scoring.marked_difference(df, 1 << 18).collect()}
+    size = len({x for t in texts for x in t.split()}) + 1
+    every, few = [[sum(c, Counter()) for c in zip(*(bigrams(t) for t in texts[:end]), strict=True)] for end in (500, 100)]
+    for i in range(0, 500, 7):
+        assert found[i]["target_loss"] == pytest.approx(loss(texts[i], few, size, i < 100), rel=1e-9)
+        assert found[i]["background_loss"] == pytest.approx(loss(texts[i], every, size, True), rel=1e-9)
 
 
 def shingles(t, n):
