@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import save
+
 try:
     from re import _constants as sre, _parser as parser
 except ImportError:  # before Python 3.11
@@ -122,65 +125,92 @@ def trigrams(query: object) -> list[str]:
     return [] if query is None else [query] if isinstance(query, str) else sorted({t for q in query[1] for t in trigrams(q)})
 
 
-def build_index(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (trigram, doc_id) of the trigrams in vocabulary: a row for each that occurs in the text's lower case."""
-    low = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("low"))
+def build_index(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_col: str = "text", per_block: int = 16_384) -> DataFrame:
+    """The inverted index (block, trigram, ids): postings of the trigrams in vocabulary, in blocks of about `per_block` ids.
+
+    An id is posted if one of its rows has the trigram in its lower case. Rows with a null id aren't posted.
+    """
+    blocks = max(12, -(-docs.count() // per_block))
+    low = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("low"))
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in vocabulary]))
-    return low.select(F.explode(held).alias("trigram"), "doc_id")
+    rows = low.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(held).alias("trigram"), "doc_id")
+    return rows.groupBy("block", "trigram").agg(F.collect_set("doc_id").alias("ids"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, rules): for each document, a bit for each rule whose query its postings fulfil."""
-    queries = [trigram_query(r.pattern) for r in rules]
-    words = sorted({t for q in queries for t in trigrams(q)})
-    if len(words) > 62:
-        raise ValueError("more than 62 trigrams; scan the rules in several calls")
-    number = F.create_map(*[x for i, t in enumerate(words) for x in (F.lit(t), F.lit(1 << i))])
-    lists = index.select("doc_id", number[F.col("trigram")].alias("bit")).groupBy("doc_id").agg(F.bit_or("bit").alias("held"))
+    """(doc_id, rules): for each id in the result of a rule's query, intersections and unions of postings, the numbers of such rules."""
+    queries = [(i, q) for i, q in enumerate(trigram_query(r.pattern) for r in rules) if q is not None]
+    postings = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "ids"))).alias("of"))
+    none = F.filter(F.flatten(F.map_values("of")), lambda x: F.lit(False))
 
-    def fulfilled(q: object) -> Column:
+    def found(q: object) -> Column:
         if isinstance(q, str):
-            return F.col("held").bitwiseAND(F.lit(1 << words.index(q))) != 0
-        return reduce((lambda a, b: a & b) if q[0] == "and" else (lambda a, b: a | b), map(fulfilled, q[1]))
+            return F.coalesce(F.col("of")[F.lit(q)], none)
+        return reduce(F.array_intersect if q[0] == "and" else F.array_union, map(found, q[1]))
+
+    each = F.array(*[F.struct(F.lit(i).alias("rule"), found(q).alias("ids")) for i, q in queries])
+    rows = postings.select(F.explode(each).alias("x")).select("x.rule", F.explode("x.ids").alias("doc_id"))
+    return rows.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
+
 
-    bits = [F.when(fulfilled(q), F.lit(1 << i)).otherwise(F.lit(0)) for i, q in enumerate(queries) if q is not None]
-    if not bits:
-        return lists.select("doc_id", F.lit(0).alias("rules")).where("false")
-    return lists.select("doc_id", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("rules")).where("rules != 0")
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _spans(text: Column, number: int, rule: Rule) -> Column:
-    """array<struct<start, kind, end>> of a rule's matches, from the lengths of the matches and of what lies between them."""
-    zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("part"))
+    """array<struct<start, kind, end>> of a rule's matches, from the lengths of the matches and of what lies between them.
+
+    Lengths are added up in chunks of the square root of their number, and chunks after that, as an array that grows by one
+    element a step would be copied every time.
+    """
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("whole")
+    part = [F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("part")] if rule.group else []
+    zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("between"), whole, *part)
+    fits = lambda m: F.coalesce(F.length(m["part" if part else "whole"]) >= rule.least, F.lit(False))
+    lengths = F.transform(zipped, lambda m: F.struct(F.length(m["between"]).alias("gap"), F.coalesce(F.length(m["whole"]), F.lit(0)).alias("own"), fits(m).alias("fits")))
 
     def step(a: Column, m: Column) -> Column:
-        start = a["at"] + F.length(m["between"])
-        end = start + F.coalesce(F.length(m["whole"]), F.lit(0))
+        start = a["at"] + m["gap"]
+        end = start + m["own"]
         found = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(m["part"]) >= rule.least, F.concat(a["out"], found)).otherwise(a["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(m["fits"], F.concat(a["out"], found)).otherwise(a["out"]).alias("out"))
+
+    def chunked(x: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(x))).cast("int")
+        chunk = lambda i: F.aggregate(F.slice(x, i * size + 1, size), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / size).cast("int") - 1), chunk)
 
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])).otherwise(none)
+    def shifted(a: Column, c: Column) -> Column:
+        moved = F.transform(c["out"], lambda s: F.struct((s["start"] + a["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + a["at"]).alias("end")))
+        return F.struct((a["at"] + c["at"]).alias("at"), F.concat(a["outs"], F.array(moved)).alias("outs"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,kind:int,end:int>>>").alias("outs"))
+    found = F.aggregate(_bound(lengths, chunked), start, shifted, lambda a: F.flatten(a["outs"]))
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), found).otherwise(none)
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", index: DataFrame | None = None) -> DataFrame:
     """One row per input row: doc_id, text and spans, an array of (start, kind number, end) in order; ends are exclusive.
 
-    Matches are those that a leftmost, non-overlapping search for each rule finds, less those too short. Only rows whose
-    postings fulfil a rule's trigram query are searched for it; rules that need no trigram search every row. Null text is
-    empty and has no spans. Rows with a null or repeated id are searched like others: an id's postings are those of all its
-    rows. Spans of one row gather in one array, so a text needs memory in proportion to its own matches.
+    Matches are those that a leftmost, non-overlapping search for each rule finds, less those too short. Only rows whose id is
+    in the result of a rule's trigram query are searched for it; rules that need no trigram search every row. The index may
+    be given (see build_index), or is built and stored. Null text is empty and has no spans. An id's postings are those of all
+    its rows; rows with a null id are searched for every rule. Spans of one row gather in one array, so a text needs memory in
+    proportion to its own matches.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     words = sorted({t for q in queries for t in trigrams(q)})
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if words:
-        found = candidates(index if index is not None else build_index(d, words), rules)
-        d = d.join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+        found = candidates(index if index is not None else save(build_index(d, words), "trigram-index"), rules)
+        d = d.join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     else:
-        d = d.withColumn("rules", F.lit(0))
+        d = d.withColumn("rules", F.lit(None).cast("array<int>"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    each = [_spans(F.col("text"), i, r) if queries[i] is None else F.when(F.col("rules").bitwiseAND(F.lit(1 << i)) != 0, _spans(F.col("text"), i, r)).otherwise(none) for i, r in enumerate(rules)]
+    searched = lambda i: F.col("doc_id").isNull() | F.coalesce(F.array_contains("rules", F.lit(i)), F.lit(False))
+    each = [_spans(F.col("text"), i, r) if queries[i] is None else F.when(searched(i), _spans(F.col("text"), i, r)).otherwise(none) for i, r in enumerate(rules)]
     return d.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("spans"))
 
 
@@ -195,5 +225,3 @@ def secret_digest(docs: DataFrame, **kw) -> DataFrame:
     found = scan_secrets(docs, **kw).select("doc_id", "spans")
     of = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
     return found.select("doc_id", *[of(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)], F.sha2(spans_text(F.filter("spans", lambda s: s["kind"] < len(BASE))), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
-
-

@@ -222,6 +222,27 @@ def test_secrets(spark, docs, empty, nulls):
     assert [r["spans"].split(":")[0] for r in secret_scan.secret_digest(key).orderBy("doc_id").collect()] == ["pem", "github", "jwt"]
 
 
+def test_secrets_in_a_text_of_many(spark):
+    import time
+
+    text = " ".join(f"{'ab' * (8 + k % 3)}{' token=' + 'x' * (k % 30) if k % 50 == 0 else ''}" for k in range(60_000))
+    df = spark.createDataFrame([(None, text), (1, text[:5000])], "doc_id long, text string")
+    start = time.time()
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(df).collect()}
+    assert time.time() - start < 60
+    for i, t in ((None, text), (1, text[:5000])):
+        want = [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{16,}", t)] + [(m.start(), 0, m.end()) for m in re.finditer(secret_scan.BASE[0].pattern, t) if len(m[2]) >= 12]
+        assert [tuple(s) for s in found[i]] == sorted(want)
+
+
+def test_trigram_index(spark):
+    df = spark.createDataFrame([(1, "a foo here"), (2, "foo and bar"), (3, "BAR"), (4, None), (None, "foo"), (2, "zzz")], "doc_id long, text string")
+    index = secret_scan.build_index(df, ["foo", "bar", "zzz"])
+    assert {(r["trigram"], i) for r in index.collect() for i in r["ids"]} == {("foo", 1), ("foo", 2), ("bar", 2), ("bar", 3), ("zzz", 2)}
+    rules = tuple(secret_scan.Rule(p, p) for p in ("foo", "foo.*bar", "(foo|bar)", "zzz.foo"))
+    assert {r["doc_id"]: sorted(r["rules"]) for r in secret_scan.candidates(index, rules).collect()} == {1: [0, 2], 2: [0, 1, 2, 3], 3: [2]}
+
+
 def test_trigram_queries():
     q = secret_scan.trigram_query
     assert q("abcd") == ("and", ("abc", "bcd")) and q("[0-9a-f]+") is None and q("ab*c") is None
