@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,11 @@ from .common import column, trim
 BLOCK = 1024
 
 
-def suffix_automaton(texts: list[list[int]], symbols: int) -> np.ndarray:
-    """Transitions (states x symbols, -1 if none) of the automaton of all substrings of the texts; state 0 is the root."""
+def suffix_automaton(texts: list[list[int]]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The automaton of all substrings of the texts: number of states, and state, symbol and next state of each arc.
+
+    State 0 is the root. There are at most two states and three arcs for each symbol of the texts.
+    """
     after: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     for text in texts:
@@ -54,16 +58,58 @@ def suffix_automaton(texts: list[list[int]], symbols: int) -> np.ndarray:
                 if new >= 0:
                     link[new] = q
             last = new if new >= 0 else q
-    table = np.full((len(after), symbols), -1, np.int32)
-    for i, x in enumerate(after):
-        table[i, list(x)] = list(x.values())
-    return table
+    sizes = np.fromiter(map(len, after), np.int64)
+    symbol, to = (np.fromiter(chain.from_iterable(x), np.int64, int(sizes.sum())) for x in (after, (x.values() for x in after)))
+    return len(after), np.repeat(np.arange(len(after)), sizes), symbol, to
+
+
+class Arcs:
+    """Next states by (state, symbol), -1 if there is none: a whole table if it has at most `most` bytes, else a hash table of the
+    arcs alone, which takes no more space for a large alphabet."""
+
+    def __init__(self, states: int, symbols: int, start: np.ndarray, symbol: np.ndarray, to: np.ndarray, most: int = 64 << 20) -> None:
+        self.symbols = symbols
+        keys = start * symbols + symbol
+        self.table = self.keys = None
+        if 4 * states * symbols <= most:
+            self.table = np.full(states * symbols, -1, np.int32)
+            self.table[keys] = to
+            return
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            took = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[took]], self.to[slot[took]] = keys[took], to[took]
+            left = np.ones(len(keys), bool)
+            left[took] = False
+            keys, to, slot = keys[left], to[left], (slot[left] + 1) & ((1 << bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def follow(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        keys = state * self.symbols + symbol
+        if self.table is not None:
+            return self.table[keys]
+        flat = keys.ravel()
+        slot = self._slot(flat)
+        out, at = np.full(len(flat), -1, np.int32), np.arange(len(flat))
+        while len(at):
+            held = self.keys[slot]
+            hit = held == flat[at]
+            out[at[hit]] = self.to[slot[hit]]
+            on = ~hit & (held >= 0)
+            at, slot = at[on], (slot[on] + 1) & (len(self.keys) - 1)
+        return out.reshape(keys.shape)
 
 
 class LanguageModel:
     """Suffix automata of labelled texts, one for each language, over one alphabet of lower-case letters and a separator."""
 
-    def __init__(self, samples: dict[str, list[str]]) -> None:
+    def __init__(self, samples: dict[str, list[str]], most: int = 64 << 20) -> None:
         self.languages = sorted(samples)
         letters = sorted({c for texts in samples.values() for t in texts for c in map(_lower, t) if c.isalpha()})
         code = {c: i + 1 for i, c in enumerate(letters)}
@@ -72,16 +118,16 @@ class LanguageModel:
         self.letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool)
         for c in np.flatnonzero(self.letter):
             self.symbol[c] = code.get(_lower(chr(c)), self.unknown)
-        tables, roots, scale, at = [], [], [], 0
+        arcs, roots, scale, at = [], [], [], 0
         for name in self.languages:
             coded = [self.symbols(np.frombuffer(t.encode("utf-32-le"), np.uint32)) for t in samples[name]]
-            table = suffix_automaton([c[c != self.unknown].tolist() for c in coded], self.unknown + 1)
-            tables.append(np.where(table < 0, -1, table + at))
+            states, start, symbol, to = suffix_automaton([c[c != self.unknown].tolist() for c in coded])
+            arcs.append((start + at, symbol, to + at))
             roots.append(at)
             scale.append(math.log2(max(2, sum(map(len, coded)))))
-            at += len(table)
-        self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros((0, 1), np.int32)
-        self.roots, self.scale = np.array(roots, np.int32), np.array(scale)
+            at += states
+        self.arcs = Arcs(at, self.unknown + 1, *(np.concatenate([x[i] for x in arcs] or [np.zeros(0, np.int64)]) for i in range(3)), most)
+        self.roots, self.scale = np.array(roots, np.int64), np.array(scale)
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
         s = self.symbol[points]
@@ -101,18 +147,17 @@ class LanguageModel:
             grid[i, : sizes[b]] = blocks[b]
         grid = np.ascontiguousarray(grid.T)
         active = np.searchsorted(-sizes[order], -np.arange(1, width + 1), "right")
-        flat, wide = self.table.ravel(), self.table.shape[1]
         root = np.repeat(self.roots[:, None], len(blocks), 1)
         state, count = root.copy(), np.zeros(root.shape, np.int32)
         for k in range(width):
             n = active[k]
             s, r, c = state[:, :n], root[:, :n], grid[k, :n]
-            to = flat[s * wide + c]
+            to = self.arcs.follow(s, c)
             dead = to < 0
             if dead.any():
                 i, j = np.nonzero(dead)
                 count[i, j] += s[i, j] != r[i, j]  # the phrase before this symbol has ended
-                again = flat[r[i, j] * wide + c[j]]
+                again = self.arcs.follow(r[i, j], c[j])
                 count[i, j] += again < 0  # a symbol the language doesn't have is a phrase of its own
                 to[i, j] = np.where(again < 0, r[i, j], again)
             state[:, :n] = to
@@ -159,19 +204,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, bins: int = 64, points: int = 32_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def learn(docs: DataFrame, bins: int = 64, points: int = 32_000, whole: int = 32, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on a bounded sample of labelled rows that aren't held out.
 
-    For each language, `bins` hash ranges of ids give one row each, whose first `points` / `bins` code points are learned
-    from; with many languages the bound falls so that all automata together keep to eight languages' size.
+    For each language, `bins` hash ranges of ids give one row each, of which a stretch of `points` / `bins` code points, at a
+    place by hash, is learned from. Beyond `whole` languages stretches get shorter, so that all automata together keep to the
+    size of `whole` full ones, but no language gets less than a sixteenth of a full one.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    h = F.xxhash64(F.lit(11), F.col(id_col))
-    one = F.min(F.struct(h.alias("h"), F.substring(text_col, 1, points // bins).alias("t"))).alias("x")
+    h, size = F.xxhash64(F.lit(11), F.col(id_col)), points // bins
+    begin = 1 + F.pmod(F.xxhash64(F.lit(12), F.col(id_col)), F.greatest(F.length(text_col) - size, F.lit(0)) + 1)
+    one = F.min(F.struct(h.alias("h"), F.substring(F.col(text_col), begin.cast("int"), F.lit(size)).alias("t"))).alias("x")
     found: dict[str, list[tuple[int, str]]] = {}
     for r in rows.groupBy(F.col(lang_col).alias("lang"), F.pmod(h, F.lit(bins)).alias("bin")).agg(one).select("lang", "x.h", "x.t").collect():
         found.setdefault(r["lang"], []).append((r["h"], r["t"]))
-    share = min(points // bins, 8 * points // bins // max(1, len(found)))
+    share = max(size // 16, min(size, size * whole // max(1, len(found))), 1)
     return LanguageModel({name: [t[:share] for _, t in sorted(x)] for name, x in found.items()})
 
 

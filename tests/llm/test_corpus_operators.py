@@ -159,7 +159,13 @@ def test_language(spark, empty):
 def test_suffix_automaton_and_phrases():
     rng = np.random.default_rng(2)
     texts = [rng.integers(0, 3, rng.integers(1, 40)).tolist() for _ in range(6)]
-    table = language_id.suffix_automaton(texts, 3)
+    states, start, symbol, to = language_id.suffix_automaton(texts)
+    assert states <= 2 * sum(map(len, texts)) and len(to) <= 3 * sum(map(len, texts))
+    arcs = [language_id.Arcs(states, 3, start, symbol, to, most) for most in (1 << 20, 0)]
+    assert arcs[0].keys is None and arcs[1].table is None
+    at = np.repeat(np.arange(states), 3), np.tile(np.arange(3), states)
+    assert (arcs[0].follow(*at) == arcs[1].follow(*at)).all()
+    table = arcs[1].follow(*at).reshape(states, 3)
     inside = {tuple(t[i:j]) for t in texts for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
 
     def accepts(s):
@@ -171,7 +177,12 @@ def test_suffix_automaton_and_phrases():
     for _ in range(3000):
         s = tuple(rng.integers(0, 3, rng.integers(1, 8)).tolist())
         assert accepts(s) == (s in inside)
+    wide = language_id.LanguageModel({"zh": ["".join(map(chr, range(0x4E00, 0x5DA0))), "".join(map(chr, range(0x5DA0, 0x4E00, -1)))], "en": ["some plain words"]})
+    assert wide.arcs.table is None and wide.arcs.keys.nbytes < 4 << 20
+    names, scores = wide.predict(["中丁乏", "plain", "12", "丁 words some"])
+    assert names == ["zh", "en", "und", "en"] and scores[2] == 0
     model = language_id.LanguageModel({"x": ["abcabd", "dda"], "y": ["cab"]})
+    hashed = language_id.LanguageModel({"x": ["abcabd", "dda"], "y": ["cab"]}, most=0)
     blocks = [model.symbols(np.frombuffer(t.encode("utf-32-le"), np.uint32)) for t in ("abcabd dabz", "zz", "a")]
 
     def phrases(text, samples):
@@ -184,7 +195,12 @@ def test_suffix_automaton_and_phrases():
         return n
 
     want = [[phrases(t, s) for t in ("abcabd dabz", "zz", "a")] for s in (["abcabd", "dda"], ["cab"])]
-    assert model.phrases(blocks).tolist() == want
+    assert model.phrases(blocks).tolist() == hashed.phrases(blocks).tolist() == want
+    # The score is one less the winner's cost over the runner-up's.
+    cost = [w[0] * s for w, s in zip(want, (np.log2(9), np.log2(3)), strict=True)]
+    assert model.scale.tolist() == [np.log2(9), np.log2(3)]
+    names, scores = model.predict(["abcabd dabz"])
+    assert names == [["x", "y"][int(np.argmin(cost))]] and scores[0] == pytest.approx(1 - min(cost) / max(cost))
 
 
 def test_bpe(docs, empty):
