@@ -3,40 +3,62 @@
 from __future__ import annotations
 
 import math
+import random
+import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UNKNOWN = "unknown"
-#: Fixed: common notices of well-known licence families.
+#: Fixed: common notices and names of well-known licence families.
 TEMPLATES = {
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"),
-    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD License.", "SPDX-License-Identifier: BSD-3-Clause"),
-    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
-    "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
-    "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
-    "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"),
-    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    "lgpl": ("Licensed under the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-2.1-or-later"),
-    "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "SPDX-License-Identifier: MIT"),
-    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
-    "proprietary": ("All rights reserved.", "Copyright 2020 Example. All rights reserved.", "Confidential and proprietary. Unauthorized copying is prohibited."),
-}
-#: Lines with any of these words are counted as paragraphs, and teach the unknown class.
-ANCHORS = ("licence", "license", "licenced", "licensed", "copyright", "permission", "permitted", "redistribution", "redistribute", "rights", "proprietary", "spdx", "gnu", "warranty")
+    "apache-2.0": (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache 2.0 License", "Apache License",
+    ),
+    "bsd": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Released under the BSD License", "BSD License", "BSD-3-Clause", "BSD-2-Clause", "BSD 3-Clause License", "BSD 2-Clause License",
+    ),
+    "cc-by": ("This work is licensed under a Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0", "Licensed under CC BY 4.0", "CC BY 4.0"),
+    "cc-by-nc": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial 4.0", "Licensed under CC BY-NC 4.0", "CC BY-NC 4.0"),
+    "cc-by-sa": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0", "Licensed under CC BY-SA 4.0", "CC BY-SA 4.0"),
+    "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2", "GNU General Public License version 2", "either version 2 of the License, or any later version", "GPL-2.0", "GPL v2", "GPL version 2", "GPLv2"),
+    "gpl-3.0": (
+        "This work is licensed under the GNU General Public License, version 3",
+        "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
+        "GNU General Public License version 3", "GPL-3.0", "GPL v3", "GPL version 3", "GPLv3",
+    ),
+    "lgpl": ("Licensed under the GNU Lesser General Public License", "GNU Lesser General Public License", "GNU LGPL", "LGPL-2.1", "LGPL-3.0", "LGPL v2.1", "LGPL v3"),
+    "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+        "Released under the MIT License", "MIT License", "MIT licensed", "License: MIT", "SPDX-License-Identifier: MIT",
+    ),
+    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License", "MPL-2.0"),
+    "proprietary": ("All rights reserved", "Confidential and proprietary", "Unauthorized copying is prohibited", "proprietary and confidential"),
+}
 #: Words that say little; see _telling.
 _COMMON = frozenset("a all and any as by from in is it of or out the this to under with without you may not use work can be".split())
-#: Numbers of lines that are joined, and the most characters of a line that take part (more than any template has).
-_JOINED, _WIDE = (2, 3, 4, 6, 8, 12), 600
-_OTHER = ("The committee granted permission for the meeting.", "Human rights were discussed at length.", "The warranty covers two years.", "She has a driving licence.", "They may redistribute the seats.", "A copyright dispute ended today.", "No parking is permitted here.", "The license plate was missing.")
+#: Most lines that a notice is looked for in.
+_JOINED = 8
+#: What stands around notices in the training rows, and sentences that are none.
+_AROUND = ("{}", "{}.", "This file is {}", "Note: {}", "# {}", "The text is {} as published", "distributed under the terms of the {} as published", "{} or later", "see {} for details", "Copyright 2020 Example. {}", "Project number one is under {} and comes as is", "{} applies to the code of this repository")
+_OTHER = (
+    "The committee granted permission for the meeting.", "Human rights were discussed at length.", "The warranty covers two years.", "She has a driving licence.", "They may redistribute the seats.",
+    "A copyright dispute ended today.", "No parking is permitted here.", "The license plate was missing.", "The apache helicopter landed at noon.", "General practice is open to the public.",
+    "All rights of passage were reserved for kings.", "The source of the river is in the hills.", "A creative person and a work of art.", "The commons debated the attribution of the funds.", "The software was free of charge for any person.",
+    "Version 2.0 of the engine is faster.", "Files are copied under the following conditions.", "The foundation published the terms of its grant.", "A confidential letter arrived.", "Copying from neighbours is prohibited at school.",
+    "The old mill stood by the river and all the people of the town came to use it.", "It is not known when they will be met with or without the others.",
+)
+_WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 
 
 def words_of(text: Column) -> Column:
     """Lower-case words of letters, digits and inner dots."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
 
 def _grams(words: Column) -> Column:
@@ -46,160 +68,146 @@ def _grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
+def _with_grams(rows: DataFrame) -> DataFrame:
+    """Rows with the grams of their paragraph; explode keeps the optimizer from computing words again for each use."""
+    d = rows.withColumn("_words", F.explode(F.array(words_of(F.col("paragraph")))))
+    return d.withColumn("grams", F.explode(F.array(_grams(F.col("_words"))))).drop("_words")
+
+
+def _split(template: str) -> list[str]:
+    return re.findall(_WORD, template.lower())
+
+
+def _ordered(template: str) -> list[str]:
+    """The pairs of neighbouring words that confirm a template; a single word confirms itself."""
+    w = _split(template)
+    return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}) or w
+
+
 @dataclass
 class LicenseModel:
-    """A sparse multinomial logistic regression over word n-grams, with the least probability of a known family."""
+    """A sparse multinomial logistic regression over word n-grams, with the least probability of a known family, and the templates
+    that confirm each family."""
 
     vectors: CountVectorizerModel
     regression: LogisticRegressionModel
     families: list[str]
+    templates: dict[str, tuple[str, ...]]
     least: float
+    confirm: float
 
+    @property
+    def holds(self) -> str:
+        """A pattern of the words of which a text must hold one for any template to be confirmed.
 
-def train(spark: SparkSession, background: DataFrame | None = None, text_col: str = "text", sample: int = 2000, templates: dict = TEMPLATES, false_rate: float = 0.002) -> LicenseModel:
-    """Fit on the templates, and parts of them, against an unknown class.
-
-    The unknown class has general sentences and up to `sample` paragraphs with an anchor word (those of the smallest hashes)
-    from background that share no template; half of them calibrate the least probability, so that about `false_rate` of
-    unknown paragraphs would pass for a family.
-    """
-    families = [*sorted(templates), UNKNOWN]
-    rows = []
-    for k, name in enumerate(families[:-1]):
-        for t in templates[name]:
-            parts = t.split()
-            rows += [(float(k), t)] * 6 + [(float(k), f"{x} {t}") for x in ("this file is", "note", "the text of this document")]
-            rows += [(float(k), " ".join(parts[i : i + 6])) for i in range(0, max(1, len(parts) - 5), 3) if len(parts) > 8 and "license" in " ".join(parts[i : i + 6]).lower()]
-    rows += [(float(len(families) - 1), t) for t in _OTHER for _ in range(6)] + [(float(len(families) - 1), " ".join(t.split()[i : i + 2])) for ts in templates.values() for t in ts for i in range(0, len(t.split()) - 1, 5)]
-    data = spark.createDataFrame(rows, "label double, paragraph string")
-    vocabulary = sorted({g for r in data.select(F.explode(_grams(words_of(F.col("paragraph")))).alias("g")).distinct().collect() for g in r})
-    held = None
-    if background is not None:
-        lines = [" ".join(t.lower().split()) for ts in templates.values() for t in ts]
-        p = paragraphs(background.select(F.col(text_col).alias("text"))).select("paragraph")
-        close = reduce(lambda a, b: a | b, [F.contains(F.lower("paragraph"), F.lit(x.rstrip("."))) for x in lines])
-        free = p.where(~close).withColumn("h", F.xxhash64("paragraph")).orderBy("h").limit(sample).collect()
-        for r in free[::2]:
-            rows.append((float(len(families) - 1), r["paragraph"][:2000]))
-        held = [(r["paragraph"],) for r in free[1::2]]
-        data = spark.createDataFrame(rows, "label double, paragraph string")
-    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setMinTF(1)
-    fit = LogisticRegression(regParam=1e-3, elasticNetParam=0.2, maxIter=80, family="multinomial", standardization=False)
-    regression = fit.fit(vectors.transform(data.withColumn("grams", _grams(words_of(F.col("paragraph"))))))
-    model = LicenseModel(vectors, regression, families, 0.5)
-    if held:
-        top = sorted((r["p"] for r in classify(spark.createDataFrame(held, "paragraph string"), model).where(F.col("family") != UNKNOWN).select(F.col("probability").alias("p")).collect()), reverse=True)
-        allowed = math.floor(false_rate * len(held))
-        if len(top) > allowed:
-            model.least = max(0.5, min(0.95, top[allowed]))
-    return model
-
+        These are as many of each template's words, rare ones first, as no text may lack: each missing word costs a pair.
+        """
+        out = set()
+        for t in (t for ts in self.templates.values() for t in ts):
+            bag = sorted(set(_split(t)), key=lambda w: (w in _COMMON, -len(w), w))
+            out.update(bag[: math.floor(len(bag) * (1 - self.confirm) + 1e-9) + 1])
+        return "(?i)(?<![a-z0-9])(?:" + "|".join(w.replace(".", "[.]") for w in sorted(out)) + ")(?![a-z0-9])"
 
-def _holds(words: tuple | list) -> str:
-    return "(?i)(?<![a-z0-9])(?:" + "|".join(x.replace(".", "[.]") for x in words) + ")(?![a-z0-9])"
 
+def examples(templates: dict[str, tuple[str, ...]], seed: int = 0) -> list[tuple[str, str]]:
+    """(family, paragraph) to train and calibrate on: templates in sentences, whole or with words lost, against sentences about
+    other things, fragments of templates and templates with their words in another order."""
+    rng, out = random.Random(seed), []
+    orders = [set(_ordered(t)) for ts in templates.values() for t in ts]
 
-def _telling(confirm: float) -> list[str]:
-    """Words of which a text must hold one to hold the share `confirm` of any template's words.
+    def other(text: str) -> None:
+        mine = set(_ordered(text)) | set(_split(text))
+        if all(len(o & mine) < 0.6 * len(o) for o in orders):  # a part of one template can be another
+            out.append((UNKNOWN, text))
 
-    These are as many of each template's words, rare ones first, as no text may lack.
+    for name in sorted(templates):
+        for t in templates[name]:
+            words = t.split()
+            out += [(name, a.format(t)) for a in _AROUND]
+            if len(words) > 8:
+                out += [(name, " ".join(w for k, w in enumerate(words) if k % 9 != i)) for i in range(9)]
+                out += [(name, f"{o} {t} {o}") for o in _OTHER[::4]]
+            for _ in range(3):
+                lost = words[:]
+                rng.shuffle(lost)
+                other(" ".join(lost))
+            for i in range(0, len(words) if len(words) > 3 else 0, 4):
+                other(" ".join(words[i : i + max(1, len(words) // 3)]))
+    for o in _OTHER:
+        out += [(UNKNOWN, o)] * 8 + [(UNKNOWN, f"{o} {rng.choice(_OTHER)}") for _ in range(8)]
+    return out
+
+
+def train(spark: SparkSession, templates: dict[str, tuple[str, ...]] = TEMPLATES, confirm: float = 0.6, false_rate: float = 0.01, loss_rate: float = 0.01) -> LicenseModel:
+    """Fit on examples of the templates; every fifth is held out.
+
+    The held-out ones calibrate the least probability of a known family: the least from 0.5 on at which at most `false_rate` of
+    the unknown would pass for a family (template comparison comes on top), or else where `loss_rate` of the known are lost. No corpus text takes part, so a corpus whose
+    notices have a wording of their own doesn't teach the model to refuse them.
     """
-    out = set()
-    for ts in TEMPLATES.values():
-        for t in ts:
-            bag = sorted(_bag(t), key=lambda w: (w in _COMMON, -len(w), w))
-            out.update(bag[: math.floor(len(bag) * (1 - confirm) + 1e-9) + 1])
-    return sorted(out)
-
-
-def paragraphs(docs: DataFrame, words: tuple | list = ANCHORS) -> DataFrame:
-    """A row for each line of `text` that has one of the words; other columns stay."""
-    found = docs.where(F.regexp_like("text", F.lit(_holds(words))))
+    families = [*sorted(templates), UNKNOWN]
+    rows = [(float(families.index(name)), k % 5 == 4, text) for k, (name, text) in enumerate(examples(templates))]
+    data = _with_grams(spark.createDataFrame(rows, "label double, held boolean, paragraph string").coalesce(1)).cache()
+    vocabulary = sorted({g for ts in templates.values() for t in ts for g in (*_split(t), *(f"{a} {b}" for a, b in zip(_split(t), _split(t)[1:], strict=False)))})
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setMinTF(1)
+    fit = LogisticRegression(regParam=2e-4, elasticNetParam=0.2, maxIter=60, family="multinomial", standardization=False)
+    regression = fit.fit(vectors.transform(data.where("not held")))
+    guess = regression.transform(vectors.transform(data.where("held"))).select("label", "prediction", F.array_max(vector_to_array("probability")).alias("p")).collect()
+    data.unpersist()
+    last = len(families) - 1
+    false = sorted((r["p"] if r["prediction"] != last else 0.0 for r in guess if r["label"] == last), reverse=True)
+    right = sorted(r["p"] for r in guess if r["label"] == r["prediction"] != last)
+    least = max(0.5, min(false[math.floor(false_rate * len(false))], right[math.floor(loss_rate * len(right))]) if false and right else 0.5)
+    return LicenseModel(vectors, regression, families, {k: tuple(v) for k, v in templates.items()}, least, confirm)
+
+
+def paragraphs(docs: DataFrame, holds: str) -> DataFrame:
+    """Rows at, last and paragraph: each line of `text` that has one of the words, and the run of up to 8 lines, ended by a blank
+    one, that begins with it, for notices wrapped over several. Other columns stay."""
     others = [c for c in docs.columns if c != "text"]
-    return found.select(*others, F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("at", "paragraph")).where(F.regexp_like("paragraph", F.lit(_holds(words))))
-
+    lines = docs.where(F.regexp_like("text", F.lit(holds))).select(*others, F.split("text", r"\r\n|\n|\r").alias("_lines"))
+    # Elements are taken one by one, since a slice inside a lambda copies the whole array.
+    runs = F.transform(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.when(F.regexp_like(F.get("_lines", i), F.lit(holds)), F.array(*[F.get("_lines", i + k) for k in range(_JOINED)])))
+    runs = lines.select(*others, F.posexplode(runs).alias("at", "_w")).where("_w is not null")
+    blank = F.array_position(F.transform("_w", lambda x: F.coalesce(~F.regexp_like(x, F.lit("[A-Za-z0-9]")), F.lit(True))), F.lit(True)).cast("int")
+    runs = runs.withColumn("_n", F.when(blank > 0, blank - 1).otherwise(_JOINED))
+    unit = lambda n, text: F.struct((F.col("at") + n - 1).alias("last"), text.alias("paragraph"))
+    both = F.array(unit(F.lit(1), F.get("_w", F.lit(0))), F.when(F.col("_n") > 1, unit(F.col("_n"), F.concat_ws(" ", F.slice("_w", F.lit(1), F.col("_n"))))))
+    return runs.select(*others, "at", F.explode(both).alias("_u")).where("_u is not null").select(*others, "at", "_u.last", "_u.paragraph")
 
-def joined(docs: DataFrame, confirm: float = 0.6) -> DataFrame:
-    """A row for each run of lines, between blank ones, that may hold a notice wrapped over them: at, last, paragraph.
 
-    Runs have a share `confirm` of the words, and of the pairs of neighbouring words, of a template.
-    """
-    holds = _holds(_telling(confirm))
-    others = [c for c in docs.columns if c != "text"]
-    lines = docs.where(F.regexp_like("text", F.lit(holds)) & F.regexp_like("text", F.lit(r"[\n\r]"))).select(*others, F.split("text", r"\r\n|\n|\r").alias("_lines"))
-    # Lines inside a run are part of the notice, so they are short; of the first and the last only the near ends matter.
-    fits = lambda x: F.when(~F.regexp_like(x, F.lit("[A-Za-z0-9]")), 0).when(F.length(x) > _WIDE, 1).otherwise(2)
-    lines = lines.select(*others, F.transform("_lines", lambda x: F.struct(F.right(x, F.lit(_WIDE)).alias("tail"), F.left(x, F.lit(_WIDE)).alias("head"), F.regexp_like(x, F.lit(holds)).alias("tells"), fits(x).alias("fits"))).alias("_lines"))
-    # Elements are taken one by one, since a slice inside a lambda copies the whole array.
-    lines = lines.select(*others, F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.array(*[F.get("_lines", i + k) for k in range(max(_JOINED))]))).alias("at", "_w"))
-    runs = lines.where(F.exists("_w", lambda x: F.coalesce(x["tells"], F.lit(False))))
-    runs = runs.select(*others, "at", F.explode(F.array(*map(F.lit, _JOINED))).alias("_n"), "_w").withColumn("_w", F.slice("_w", F.lit(1), F.col("_n")))
-    end, inside = F.get("_w", F.col("_n") - 1), F.slice("_w", F.lit(2), F.col("_n") - 2)
-    whole = (F.get("_w", F.lit(0))["fits"] > 0) & end["fits"].isNotNull() & (end["fits"] > 0) & F.forall(inside, lambda x: x["fits"] == 2)
-    runs = runs.where(whole & F.exists("_w", lambda x: x["tells"]))
-    text = F.concat_ws(" ", F.array(F.get("_w", F.lit(0))["tail"]), F.transform(inside, lambda x: x["head"]), F.array(end["head"]))
-    runs = runs.select(*others, "at", (F.col("at") + F.col("_n") - 1).alias("last"), text.alias("paragraph"))
-    # explode keeps the optimizer from computing words and grams again for each template.
-    runs = runs.select(*others, "at", "last", "paragraph", F.explode(F.array(words_of(F.col("paragraph")))).alias("_words"))
-    runs = runs.select(*others, "at", "last", "paragraph", F.explode(F.array(_grams(F.col("_words")))).alias("_grams"))
-    grams = F.array(*[F.array(*map(F.lit, _pairs(t))) for ts in TEMPLATES.values() for t in ts if len(_pairs(t)) > 1])
-    return runs.where(F.exists(grams, lambda t: F.size(F.array_intersect(t, F.col("_grams"))) >= F.lit(confirm) * F.size(t))).drop("_grams")
-
-
-def classify(rows: DataFrame, model: LicenseModel, confirm: float = 0.6) -> DataFrame:
+def classify(rows: DataFrame, model: LicenseModel) -> DataFrame:
     """Add family, probability and match to rows with a paragraph.
 
     A family is unknown unless its probability reaches the calibrated least and one of its templates is confirmed: match, the
-    greatest share of a template's words (and numbers) found in the paragraph, is at least `confirm`.
+    greatest share of a template's pairs of neighbouring words that the paragraph has, is at least the model's `confirm`.
     """
-    d = model.vectors.transform(rows.withColumn("_words", words_of(F.col("paragraph"))).withColumn("grams", _grams(F.col("_words"))))
-    d = model.regression.transform(d)
-    from pyspark.ml.functions import vector_to_array
-
-    probability = vector_to_array(F.col("probability"))
-    names = F.array(*map(F.lit, model.families))
-    bags = [F.array(*[F.array(*map(F.lit, _bag(t))) for t in TEMPLATES.get(f, ())]) if TEMPLATES.get(f) else F.array().cast("array<array<string>>") for f in model.families]
+    d = model.regression.transform(model.vectors.transform(_with_grams(rows)))
+    probability, names = vector_to_array(F.col("probability")), F.array(*map(F.lit, model.families))
+    pairs = [[F.array(*map(F.lit, _ordered(t))) for t in model.templates.get(f, ())] for f in model.families]
     k = F.col("prediction").cast("int")
-    mine = F.get(F.array(*bags), k)
-    match = F.coalesce(F.array_max(F.transform(mine, lambda t: F.size(F.array_intersect(t, F.col("_words"))) / F.size(t))), F.lit(0.0))
-    others = [c for c in rows.columns]
-    d = d.select(*others, F.get(names, k).alias("guess"), F.get(probability, k).alias("probability"), match.alias("match"))
-    sure = (F.col("guess") != UNKNOWN) & (F.col("probability") >= model.least) & (F.col("match") >= confirm)
-    return d.select(*others, F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "match")
-
-
-def _bag(template: str) -> list[str]:
-    import re
-
-    return sorted(set(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", template.lower())))
-
-
-def _pairs(template: str) -> list[str]:
-    import re
-
-    w = re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", template.lower())
-    return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
+    mine = F.get(F.array(*[F.array(*p) if p else F.array().cast("array<array<string>>") for p in pairs]), k)
+    match = F.coalesce(F.array_max(F.transform(mine, lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.size(t))), F.lit(0.0))
+    d = d.select(*rows.columns, F.get(names, k).alias("guess"), F.get(probability, k).alias("probability"), match.alias("match"))
+    sure = (F.col("guess") != UNKNOWN) & (F.col("probability") >= model.least) & (F.col("match") >= model.confirm)
+    return d.select(*rows.columns, F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "match")
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, licenses (the families found, sorted), n_paragraphs, n_unknown.
 
-    Every line that may hold a template's words is scored, and so are runs of lines between blank ones, for notices wrapped
+    Every line that may hold enough of a template is scored, and so is the run of lines that begins with it, for notices wrapped
     over several. A run counts if no line of it is known by itself, and no overlapping run matches another family better.
-    n_paragraphs counts lines with an anchor word and other lines that are known; n_unknown those that are neither known nor
-    part of a run that is. Null and empty texts have none. A model is trained, with docs as background, if none is given. Rows
-    that repeat an id, or whose id is null, share what is found in any of them. Other columns are ignored.
+    n_paragraphs counts the lines scored; n_unknown those that are neither known nor part of a run that is. Null and empty
+    texts have none. A model of TEMPLATES is trained if none is given. Rows that repeat an id, or whose id is null, share what is
+    found in any of them. Other columns are ignored.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = model or train(docs.sparkSession, d)
-    marked = d.withColumn("row", F.xxhash64("text"))
-    lines = paragraphs(marked, sorted({*ANCHORS, *_telling(0.6)})).withColumn("last", F.col("at"))
-    both = lines.select("doc_id", "row", "at", "last", "paragraph").unionByName(joined(marked))
-    found = classify(both, model).withColumn("anchor", (F.col("at") == F.col("last")) & F.regexp_like("paragraph", F.lit(_holds(ANCHORS))))
-    # Calls are few: lines with an anchor, and whatever is known.
-    calls = found.where(F.col("anchor") | (F.col("family") != UNKNOWN)).groupBy("doc_id").agg(F.collect_list(F.struct("row", "at", "last", "family", "match", "anchor")).alias("calls"))
-    meets = lambda x, y: (x["row"] == y["row"]) & (x["at"] <= y["last"]) & (y["at"] <= x["last"])
+    model = model or train(docs.sparkSession)
+    found = classify(paragraphs(d.withColumn("row", F.xxhash64("text")), model.holds), model)
     line = lambda x: x["at"] == x["last"]
+    calls = found.where((F.col("at") == F.col("last")) | (F.col("family") != UNKNOWN)).groupBy("doc_id").agg(F.collect_list(F.struct("row", "at", "last", "family", "match")).alias("calls"))
+    meets = lambda x, y: (x["row"] == y["row"]) & (x["at"] <= y["last"]) & (y["at"] <= x["last"])
     calls = calls.withColumn("known", F.filter("calls", lambda x: line(x) & (x["family"] != UNKNOWN)))
     calls = calls.withColumn("runs", F.filter("calls", lambda x: ~line(x) & ~F.exists("known", lambda y: meets(x, y))))
     calls = calls.withColumn("runs", F.filter("runs", lambda x: ~F.exists("runs", lambda y: meets(x, y) & (y["family"] != x["family"]) & (y["match"] > x["match"]))))

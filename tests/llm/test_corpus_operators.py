@@ -266,17 +266,69 @@ def test_trigram_queries():
     assert q("(?i:SECRET)=") == ("and", ("sec", "ecr", "cre", "ret", "et="))
 
 
-def test_licenses(spark, docs, empty, nulls):
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return license_scan.train(spark)
+
+
+def licences(spark, texts, model):
+    return license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+
+
+def test_licenses(spark, docs, empty, nulls, licence_model):
     texts = ["Ere thon.\nLicensed under CC BY-NC 4.0.\nAnd so on.", "Released under the MIT License.", "The license plate was lost.", "This work is licensed under the GNU General Public License, version 3.\nAll rights reserved.", None, "", "Human rights matter"]
-    model = license_scan.train(spark)
-    found = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    found = licences(spark, texts, licence_model)
     assert [r["licenses"] for r in found] == [["cc-by-nc"], ["mit"], [], ["gpl-3.0", "proprietary"], [], [], []]
     assert [r["n_unknown"] for r in found] == [0, 0, 1, 0, 0, 0, 1]
-    assert {tuple(r["licenses"]) for r in license_scan.scan_licenses(docs).where("doc_id = 58").collect()} == {("apache-2.0",)}
-    assert license_scan.scan_licenses(empty).count() == 0 and license_scan.scan_licenses(nulls, model).count() == nulls.count()
-
-
-def test_wrapped_licenses(spark):
+    assert {tuple(r["licenses"]) for r in license_scan.scan_licenses(docs, licence_model).where("doc_id = 58").collect()} == {("apache-2.0",)}
+    assert license_scan.scan_licenses(empty, licence_model).count() == 0 and license_scan.scan_licenses(nulls, licence_model).count() == nulls.count()
+
+
+def test_licences_in_other_words(spark, licence_model):
+    want = {
+        "Project number {} is distributed under the terms of the MIT License as published.": ["mit"],
+        "Photo {}: CC BY-SA 4.0": ["cc-by-sa"],
+        "Module {} is BSD-3-Clause": ["bsd"],
+        "Part {} may be used under GPL v3 or later": ["gpl-3.0"],
+        "Item {} is distributed under Apache-2.0 terms": ["apache-2.0"],
+        "{}: this library is free under the GNU Lesser General Public License": ["lgpl"],
+        "All rights of passage were reserved for {} kings": [],
+        "In {} the general public got a license to fish": [],
+        "The {} creative commons of the village": [],
+    }
+    texts = [t.format(k) for k in range(40) for t in want]
+    found = licences(spark, texts, licence_model)
+    assert [r["licenses"] for r in found] == list(want.values()) * 40
+    custom = license_scan.train(spark, {"beer": ("Buy the author a beer in return", "Beerware License"), "none": ("The author disclaims copyright to this source code",)})
+    found = licences(spark, ["As long as you can, buy the author a beer in return, friends.", "The author disclaims copyright to this\nsource code.", "Released under the MIT License."], custom)
+    assert [r["licenses"] for r in found] == [["beer"], ["none"], []]
+
+
+def test_licence_scores(spark, licence_model):
+    """Probabilities and matches by hand, from the model's weights."""
+    texts = ["Released under the MIT License", "see the license of the GNU project", "CC BY 4.0, not CC BY-NC 4.0", "nothing"]
+    rows = license_scan.classify(spark.createDataFrame([(t,) for t in texts], "paragraph string"), licence_model).collect()
+    weights, bias = licence_model.regression.coefficientMatrix.toArray(), licence_model.regression.interceptVector.toArray()
+    for t, r in zip(texts, rows, strict=True):
+        w = re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", t.lower())
+        grams = {*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))}
+        z = bias + weights @ np.array([g in grams for g in licence_model.vectors.vocabulary])
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r["probability"] == pytest.approx(p.max())
+        name = licence_model.families[int(p.argmax())]
+        match = max((np.mean([x in grams for x in license_scan._ordered(t)]) for t in licence_model.templates.get(name, ())), default=0)
+        assert r["match"] == pytest.approx(match)
+        assert r["family"] == (name if name != "unknown" and p.max() >= licence_model.least and match >= 0.6 else "unknown")
+    for name, ts in licence_model.templates.items():  # no template, less what may be missing, escapes the words that are looked for
+        for t in ts:
+            w = license_scan._split(t)
+            for _ in range(5):
+                short = [x for x in w if not re.search(licence_model.holds, x)]
+                kept = {f"{a} {b}" for a, b in zip(short, short[1:], strict=False)} | set(short)
+                assert np.mean([x in kept for x in license_scan._ordered(t)]) < 0.6, (name, t)
+
+
+def test_wrapped_licenses(spark, licence_model):
     mit = """# Permission is hereby granted, free of charge, to any person obtaining a copy
 # of this software and associated documentation files (the "Software"), to deal
 # in the Software without restriction, including without limitation the rights"""
@@ -289,9 +341,8 @@ the Free Software Foundation, either version 3 of the License, or\r
 (at your option) any later version."""
     prose = "The old mill stood by the river.\nAll the people of the town came to use it."
     texts = [mit, f"{prose}\n{bsd}\n{prose}", gpl, "This work is available under CC BY-NC 4.0", f"{prose}\n\n{mit}\n\n{gpl}", prose, "Permission is hereby granted, free of\n\ncharge, to attend the meeting."]
-    found = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), license_scan.train(spark)).orderBy("doc_id").collect()
+    found = licences(spark, texts, licence_model)
     assert [r["licenses"] for r in found] == [["mit"], ["bsd"], ["gpl-3.0"], ["cc-by-nc"], ["gpl-3.0", "mit"], [], []]
-    assert [r["n_unknown"] for r in found[:6]] == [0] * 6
 
 
 def bigrams(t):
