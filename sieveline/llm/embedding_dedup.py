@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,27 +55,24 @@ class MultiIndex:
             np.maximum(out, plane, out=out)
         return d.argmin(1), out**2
 
-    def reach(self, sample: np.ndarray, cosine: float, recall: float, partners: int = 4, seed: int = 5) -> float:
-        """The sum of bounds up to which cells must be visited to find a share `recall` of the least similar links.
+    def reach(self, sample: np.ndarray, cosine: float, recall: float, least: int = 1000) -> float:
+        """The sum of bounds up to which cells must be visited to find a share `recall` of the links.
 
-        Measured on partners of the sample's vectors at just this cosine in random directions, so it holds for vectors of even
-        variance only; links along directions of high variance cross borders farther. With a recall of 1 it is the squared
-        distance itself, beyond which no link can lie.
+        Measured on the links among the vectors of the sample, found by brute force. With a recall of 1, or fewer than `least`
+        such links, it is the squared distance itself, beyond which no link can lie.
         """
         most = max(0.0, 2 - 2 * cosine) + 1e-9
-        if recall >= 1 or sample.shape[1] < 3 or self.k == 1:
+        if recall >= 1 or self.k == 1:
             return most
-        rng, need = np.random.default_rng(seed), []
-        for lo in range(0, len(sample), 4096):
-            x = sample[lo : lo + 4096]
-            lower = [self.bounds(h, b)[1] for h, b in zip((x[:, : self.half], x[:, self.half :]), self.books, strict=True)]
-            for _ in range(partners):
-                t = rng.normal(size=x.shape)
-                t -= (t * x).sum(1)[:, None] * x
-                other = cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * t / np.linalg.norm(t, axis=1)[:, None]
-                at = [_distances(h, b).argmin(1) for h, b in zip((other[:, : self.half], other[:, self.half :]), self.books, strict=True)]
-                need.append(sum(low[np.arange(len(x)), a] for low, a in zip(lower, at, strict=True)))
-        return min(most, float(np.quantile(np.concatenate(need), recall, method="higher")) + 1e-9)
+        need = []
+        at = [np.concatenate([_distances(h[lo : lo + 4096], b).argmin(1) for lo in range(0, len(h), 4096)]) for h, b in zip((sample[:, : self.half], sample[:, self.half :]), self.books, strict=True)]
+        for lo in range(0, len(sample), 2048):
+            x = sample[lo : lo + 2048]
+            i, j = np.nonzero(x @ sample.T >= cosine)
+            i, j = i[i + lo != j], j[i + lo != j]
+            need.append(sum(self.bounds(h, b)[1][i, c[j]] for h, b, c in zip((x[:, : self.half], x[:, self.half :]), self.books, at, strict=True)))
+        links = np.concatenate(need)
+        return most if len(links) < least else min(most, float(np.quantile(links, recall, method="higher")) + 1e-9)
 
     def visits(self, x: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(cell of each row, row, visited cell): the cells in ascending sum of both halves' bounds, up to `within`.
@@ -129,7 +125,7 @@ def _compare(cosine: float):
     return run
 
 
-def near_embeddings(vectors: DataFrame, cosine: float = 0.95, sample: int = 16384, per_cell: int = 400, recall: float = 1, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_embeddings(vectors: DataFrame, cosine: float = 0.95, sample: int = 16384, per_cell: int = 400, most_centroids: int = 512, recall: float = 1, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per input row: vec_id, n_links, component_id and kept.
 
     Vectors link if their cosine, in double precision, is at least `cosine`. n_links counts the other vectors linked directly,
@@ -139,9 +135,9 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, sample: int = 1638
     too, are ignored.
 
     Equal vectors are joined first. Codebooks are fitted on at most `sample` vectors, all vectors are indexed; the number of
-    cells grows with the vectors. Each vector visits the nearest cells, in order, as far as a cell can hold a link. A `recall`
-    below 1 stops where that share of links in random directions would be found, and loses more in vectors of uneven variance
-    (see MultiIndex.reach). Large cells are compared in blocks against chunks of their visitors, and a block gives sums and a
+    cells grows with the vectors, about one for `per_cell` of them, up to the square of `most_centroids`, which bounds what the
+    driver holds (two numbers a cell). Each vector visits the nearest cells, in order, as far as a cell can hold a link. A `recall`
+    below 1 stops where that share of the sample's links would be found (see MultiIndex.reach). Large cells are compared in blocks against chunks of their visitors, and a block gives sums and a
     forest, never its pairs.
     """
     spark = vectors.sparkSession
@@ -161,7 +157,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, sample: int = 1638
             x = np.concatenate((x, np.zeros_like(x)), 1)
         x /= np.abs(x).max(1)[:, None]
         x /= np.linalg.norm(x, axis=1)[:, None]
-        index = MultiIndex(x, int(min(64, len(x), max(1, round((n / per_cell) ** 0.5)))))
+        index = MultiIndex(x, int(min(most_centroids, len(x), max(1, round((n / per_cell) ** 0.5)))))
         shared = spark.sparkContext.broadcast(index)
         within = index.reach(x, cosine, recall)
         binary = pa.binary()
@@ -188,7 +184,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, sample: int = 1638
 
         sizes = classes.mapInArrow(counted, "cell int, stored long, asked long").groupBy("cell").agg(F.sum("stored").alias("s"), F.sum("asked").alias("a")).collect()
         blocks, chunks = np.ones(index.k**2, np.int64), np.ones(index.k**2, np.int64)
-        for r in sizes:  # at most 64 ** 4 rows
+        for r in sizes:  # at most most_centroids ** 2 rows
             blocks[r["cell"]], chunks[r["cell"]] = max(1, -(-r["s"] // STORED)), max(1, -(-r["a"] // ASKED))
         grid = spark.sparkContext.broadcast((blocks, chunks))
 

@@ -482,6 +482,21 @@ def test_embeddings(spark):
     assert all(found[i] <= n for i, n, *_ in want) and sum(found.values()) >= 0.99 * sum(n for _, n, *_ in want)
 
 
+def test_embeddings_recall_of_real_width(spark):
+    """64 dimensions: all links by default, and the share asked for otherwise, for queries of every twentieth id."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(300, 64)), 5, 0) + rng.normal(size=(1500, 64)) * 0.17
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for recall, least in ((1, 1), (0.95, 0.9)):
+        found = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_embeddings(df, per_cell=6, recall=recall).collect()}
+        asked = range(0, 1500, 20)
+        assert least <= sum(found[i] for i in asked) / links[::20].sum() <= 1
+        assert recall < 1 or [found[i] for i in asked] == links[::20].tolist()
+    assert links.sum() > 1000
+
+
 def test_embeddings_of_uneven_variance(spark):
     rng = np.random.default_rng(11)
     scale = 1 / np.arange(1, 33)
