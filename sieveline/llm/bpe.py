@@ -81,7 +81,7 @@ class Automaton:
         key = a << 20 | b
         known = self._known.get(key)
         if known is None:
-            if len(self._known) > 500_000:
+            if len(self._known) > 200_000:
                 self._known.clear()
             known = self._known[key] = self.leads(a, b)
         return known
@@ -172,7 +172,7 @@ class Tokenizer:
 class _Words(dict):
     """Tokens of the stretches between white space met lately, at most about `most` of them."""
 
-    def __init__(self, tokenizer: Tokenizer, words: regex.Pattern, most: int = 500_000) -> None:
+    def __init__(self, tokenizer: Tokenizer, words: regex.Pattern, most: int = 150_000) -> None:
         self.tokenizer, self.words, self.most, self.older = tokenizer, words, most // 2, {}
 
     def __missing__(self, stretch: str) -> tuple[int, ...]:
@@ -200,8 +200,8 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
                 ids = [t.encode(x.as_py() or "") for x in column(batch, "text")]
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])

@@ -182,10 +182,10 @@ class LanguageModel:
                     owner.append(i)
         if blocks:
             found = np.zeros((len(self.languages), len(texts)))
-            for lo in range(0, len(blocks), 4096):
-                part = self.phrases(blocks[lo : lo + 4096])
+            for lo in range(0, len(blocks), 2048):
+                part = self.phrases(blocks[lo : lo + 2048])
                 for row, x in zip(found, part, strict=True):
-                    row += np.bincount(owner[lo : lo + 4096], x, len(texts))
+                    row += np.bincount(owner[lo : lo + 2048], x, len(texts))
             cost = found * self.scale[:, None]
             best = np.argmin(cost, 0)
             ranked = np.sort(cost, 0)
@@ -195,6 +195,19 @@ class LanguageModel:
         return names, scores
 
 
+    def predict_all(self, texts: pa.Array, size: int = 1 << 21) -> tuple[list[str], list[float]]:
+        """predict, for texts of about `size` characters at a time."""
+        names, scores, part, held = [], [], [], 0
+        for x in texts:
+            part.append(x.as_py() or "")
+            held += len(part[-1])
+            if held > size:
+                a, b = self.predict(part)
+                names, scores, part, held = names + a, scores + b, [], 0
+        a, b = self.predict(part)
+        return names + a, scores + b
+
+
 def _lower(c: str) -> str:
     return c.lower()[:1]
 
@@ -236,15 +249,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            names, scores, part, size = [], [], [], 0
-            for x in column(batch, "text"):
-                part.append(x.as_py() or "")
-                size += len(part[-1])
-                if size > 1 << 21:
-                    a, b = m.predict(part)
-                    names, scores, part, size = names + a, scores + b, [], 0
-            a, b = m.predict(part)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "held_out"), pa.array(names + a, pa.string()), pa.array(scores + b, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            names, scores = m.predict_all(column(batch, "text"))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
         trim()
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
@@ -264,7 +270,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text",
         for batch in batches:
             at = batch.schema.get_field_index(lang_col)
             if m.languages:
-                names, _ = m.predict([x.as_py() or "" for x in column(batch, text_col)])
+                names, _ = m.predict_all(column(batch, text_col))
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(names, pa.string()).cast(batch.schema.field(at).type))
                 stay = [n != "und" for n in names]
             else:
