@@ -22,7 +22,7 @@ def ship(spark: SparkSession) -> None:
     """
     context = spark.sparkContext
     if spark.conf.get(_BYTES, None) == _BYTES_DEFAULT:
-        spark.conf.set(_BYTES, str(8 << 20))
+        spark.conf.set(_BYTES, str(4 << 20))
     if getattr(context, "_sieveline_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
