@@ -140,7 +140,7 @@ ORACLES: dict[str, str] = {
     "stratified_sample": sql("ord", ", ".join(["select row_id, y from h join q2 using (y) where k <= quota"])).replace(" select row_id, y from h", ", " + _SAMPLE.format(most=600, source="ord") + " select row_id, y from h", 1),
     "common_schema": sql("ord ordl hord iord", "select 1").replace(" select 1", ", v as (select f, row_number() over (order by var_pop(x) desc, f desc) as k from iord group by f), " + _SAMPLE.format(most=500, source="ord") + " select row_id, any_value(iord.y) as y, " + ", ".join(f"round(max(x) filter (f = {i}), 6) + 0.0 as {c}" for i, c in enumerate(ORD[:4])) + " from iord join h using (row_id) join q2 on q2.y = h.y where h.k <= quota group by row_id"),
     "standardise": sql("ord ordl hord iord zord", wide(ORD, "zord")),
-    "standardise_apply": sql("ord ordl", "select 1").replace(" select 1", ", t as (select f, avg(x) as m, stddev_pop(x) as s from ordl where row_id % 2 = 0 group by f), z as (select row_id, y, f, (x - m) / s as x from ordl join t using (f) where row_id % 2 = 1) " + wide(ORD, "z")),
+    "standardise_apply": sql("ord ordl", "select 1").replace(" select 1", ", t as (select f, avg(x) as m, stddev_pop(x) as s from ordl where row_id % 2 = 0 group by f), z as (select row_id, y, f, (x - m) / s as x from ordl join t using (f)) " + wide(ORD, "z")),
     "centre_only": sql("doc docl", "select 1").replace(" select 1", ", z as (select row_id, y, f, x - avg(x) over (partition by f) as x from docl) " + wide(DOC, "z")),
     "transpose": sql("doc docl", "select f, list(x order by row_id) as xs from docl group by f"),
     "anova_f": sql("ord ordl fc fa anova", f"select f, {r6('score', places=4)} from anova", long="ordl"),
@@ -182,12 +182,12 @@ ORACLES: dict[str, str] = {
     "kuncheva_index": sql("sel two", "select b1, b2, round(case when len(s1) > 0 and len(s1) < 9 then (len(list_intersect(s1, s2)) - len(s1) * len(s1) / 9) / (len(s1) - len(s1) * len(s1) / 9) else 1 end, 6) + 0.0 as kuncheva from two"),
     "causal_plausibility": "select round(2 / 3, 6) + 0.0 as plausibility, round(2 / 5, 6) + 0.0 as recall",
     "folds": sql("doc fold", "select row_id, y, fold from fold", wide="doc"),
-    "knn_predictions": sql("emb fold near pred", "select row_id, fold, y, predicted from pred", wide="emb", dist=" + ".join(f"(a.e[{i}]::double - b.e[{i}]::double) * (a.e[{i}]::double - b.e[{i}]::double)" for i in range(1, 9))),
+    "knn_predictions": sql("emb fold near pred", "select row_id, fold, y, predicted from pred", wide="emb", dist=" + ".join(f"(a.e[{i}]::double - b.e[{i}]::double) * (a.e[{i}]::double - b.e[{i}]::double)" for i in range(1, 65))),
     "knn_accuracy": sql("doc fold near pred", "select round(avg(a), 6) + 0.0 as accuracy from (select avg((y = predicted)::int) as a from pred group by fold)", wide="doc", dist=" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in DOC)),
     "balanced_accuracy": sql("doc fold near pred", "select round(avg(a), 6) + 0.0 as accuracy from (select avg(r) as a from (select fold, avg((y = predicted)::int) as r from pred group by fold, y) group by fold)", wide="doc", dist=" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in DOC)),
-    "trustworthiness": """with p as (select a.vec_id as i, b.vec_id as j, list_sum([(x::double - z::double) * (x::double - z::double) for x, z in list_zip(a.embedding[1:8], b.embedding[1:8])]) as d0, {few} as d1, {all} as d2
+    "trustworthiness": """with p as (select a.vec_id as i, b.vec_id as j, {few} as d1, {all} as d2
       from embeddings a join embeddings b on a.vec_id <> b.vec_id), r as (select i, row_number() over (partition by i order by d2, j) as full_rank, row_number() over (partition by i order by d1, j) as near_rank from p), n as (select count(*) as n from embeddings)
-      select round(1 - 2 * sum(greatest(0, full_rank - 5)) / any_value(n * 5 * (2 * n - 16)), 6) + 0.0 as trustworthiness from r, n where near_rank <= 5""".replace("list_sum([(x::double - z::double) * (x::double - z::double) for x, z in list_zip(a.embedding[1:8], b.embedding[1:8])]) as d0, ", "").replace("{few}", " + ".join(f"(a.embedding[{i}]::double - b.embedding[{i}]::double) * (a.embedding[{i}]::double - b.embedding[{i}]::double)" for i in (1, 3, 6))).replace("{all}", " + ".join(f"(a.embedding[{i}]::double - b.embedding[{i}]::double) * (a.embedding[{i}]::double - b.embedding[{i}]::double)" for i in range(1, 9))),
+      select round(1 - 2 * sum(greatest(0, full_rank - 5)) / any_value(n * 5 * (2 * n - 16)), 6) + 0.0 as trustworthiness from r, n where near_rank <= 5""".replace("{few}", " + ".join(f"(a.embedding[{i}]::double - b.embedding[{i}]::double) * (a.embedding[{i}]::double - b.embedding[{i}]::double)" for i in (1, 3, 6))).replace("{all}", " + ".join(f"(a.embedding[{i}]::double - b.embedding[{i}]::double) * (a.embedding[{i}]::double - b.embedding[{i}]::double)" for i in range(1, 65))),
     "smallest_k_within": sql("res", "select 1").replace(" select 1", ", c as (select (seed * 4 + length(method))::int as k, avg(accuracy) as a from res group by 1) select min(k) as k from c where a >= (select max(a) from c) - 0.02"),
     "fold_summary": sql("res fk fs", f"select k, {r6('mean_perf', 'se_perf', 'redundancy', 'stability')} from fs"),
     "choose_k": sql("res fk fs", "select 1").replace(" select 1", """, b as (select mean_perf - se_perf as t from fs order by mean_perf desc, k limit 1),
@@ -222,3 +222,94 @@ ORACLES: dict[str, str] = {
     "screening_flagship": sql("ord ordl hord iord zord fc fa anova mom pairs edges degree", "select f, round(anova.score, 4) + 0.0 as score, round(degree.score, 4) + 0.0 as centrality from anova join degree using (f) order by anova.score desc, f desc limit 3", long="zord"),
 }
 ORACLES["partial_correlation_gram"] = ORACLES["partial_correlation"]
+
+
+def _greedy(beta: float = 1.0, eta: float = 1.0, gamma: float = 0.0, steps: int = 4) -> str:
+    """A greedy order, a named part for each step: the best of the features that aren't chosen yet."""
+    own = ", rc as (select f, least(abs(corr(x, y)), 0.999999) as s from ordl group by f), cs as (select f_i as a, f_j as b, abs_corr as c from pairs union all select f_j, f_i, abs_corr from pairs)"
+    out = [own, "ch0 as (select 0 as step, (select f from rc order by s desc, f limit 1) as f)"]
+    for k in range(1, steps):
+        fresh = f" + {gamma} * (max((ga.cluster = gb.cluster)::int) = 0)::int" if gamma else ""
+        groups = " join clu ga on ga.f = rc.f join clu gb on gb.f = ch.f" if gamma else ""
+        score = f"any_value(s) - {beta} * ({eta} * max(c) + {1 - eta} * avg(c)){fresh}"
+        best = f"(select rc.f from rc join cs on cs.a = rc.f join ch{k - 1} ch on ch.f = cs.b{groups} where rc.f not in (select f from ch{k - 1}) group by rc.f order by {score} desc, rc.f limit 1)"
+        out.append(f"ch{k} as (select * from ch{k - 1} union all select {k}, {best})")
+    return sql("ord ordl mom pairs" + " clu" * bool(gamma), "", long="ordl") + ", ".join(out) + f" select step::int as step, f::int as f from ch{steps - 1}"
+
+
+def _linkage(select: str, p: int = 6) -> str:
+    """Average linkage, two named parts for each merge: the nearest clusters (known by their least member) and the members after it."""
+    out = [", ds as (select f_i as a, f_j as b, d_hybrid as d from hyb union all select f_j, f_i, d_hybrid from hyb)", f"cl0 as (select unnest(range({p}))::int as f, unnest(range({p}))::int as c)"]
+    for k in range(p - 1):
+        out.append(f"mg{k} as (select x.c as i, y.c as j, avg(d) as distance from cl{k} x join cl{k} y on x.c < y.c join ds on ds.a = x.f and ds.b = y.f group by 1, 2 order by 3, 1, 2 limit 1)")
+        out.append(f"cl{k + 1} as (select f, case when c = (select j from mg{k}) then (select i from mg{k}) else c end as c from cl{k})")
+    return sql("ord ordl fc fa anova rel mom pairs gap hyb", "", long="ordl") + ", ".join(out) + " " + select
+
+
+_LINES = "select (row_number() over (order by part, pos) - 1)::int as line, text from ({}) order by 1"
+_TEX = r"""
+select 0 as part, 0 as pos, '\begin{table}[t]' as text union all select 1, 0, '\centering' union all select 2, 0, '\caption{Mean metrics across datasets.}'
+union all select 3, 0, '\begin{tabular}{lcccc}' union all select 4, 0, '\toprule' union all select 5, 0, 'Method & accuracy & stability & trustworthiness & runtime s \\' union all select 6, 0, '\midrule'
+union all select 7, position, method || BODY || ' \\' from mo join means using (method) join sd using (method)
+union all select 8, 0, '\bottomrule' union all select 9, 0, '\end{tabular}' union all select 10, 0, '\end{table}'"""
+
+
+def _tex() -> str:
+    cells = []
+    for m in METRICS:
+        cell = f"printf('%.3f', {m}) || case when coalesce(sd_{m}, 0) > 0 then ' $\\pm$ ' || printf('%.3f', sd_{m}) else '' end"
+        cells.append(f"' & ' || case when {m} = (select {'min' if m == 'runtime_s' else 'max'}({m}) from means) then '\\textbf{{' || {cell} || '}}' else {cell} end")
+    spread = ", sd as (select method, " + ", ".join(f"stddev_samp({m}) as sd_{m}" for m in METRICS) + " from res group by method) "
+    return sql("res means mo", "") + spread + _LINES.format(_TEX.replace("BODY", " || ".join(cells)))
+
+
+def _conditional() -> str:
+    """|partial correlation| of each feature with the label given all others: these are swept out of the correlation matrix in turn."""
+    out = [
+        ", al as (select row_id, f, x from ordl union all select row_id, 6, y from ord)",
+        "sw0 as (select t, a.f as i, b.f as j, corr(a.x, b.x) as v from al a join al b using (row_id) cross join (select unnest(range(6)) as t) group by t, a.f, b.f)",
+    ]
+    for k in range(6):
+        out.append(f"sw{k + 1} as (select m.t, m.i, m.j, case when m.t = {k} then m.v else m.v - r.v * c.v / p.v end as v from sw{k} m join sw{k} r on r.t = m.t and r.i = m.i and r.j = {k} join sw{k} c on c.t = m.t and c.i = {k} and c.j = m.j join sw{k} p on p.t = m.t and p.i = {k} and p.j = {k})")
+    last = "select t as f, abs(any_value(v) filter (i = t and j = 6)) / sqrt(any_value(v) filter (i = t and j = t) * any_value(v) filter (i = 6 and j = 6)) as s from sw6 group by t"
+    return sql("ord ordl", "") + ", ".join(out) + f" select f::int as f, round(s / max(s) over (), 6) + 0.0 as score from ({last})"
+
+
+#: Simpson's rule from 0 to z for the normal density, in 2000 steps.
+_NORMAL = "list_sum([case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end * exp(-power(z * i / 2000, 2) / 2) for i in range(2001)]) * z / 6000 / sqrt(2 * pi())"
+_FISHER = sql("ord ordl", "") + f""", al as (select row_id, f, x from ordl union all select row_id, 6, y from ord),
+  cc as (select a.f as i, b.f as j, corr(a.x, b.x) as r, count(*) as n from al a join al b using (row_id) group by 1, 2),
+  pr as (select iy.i as f, iy.n, (iy.r - i0.r * y0.r) / sqrt((1 - i0.r * i0.r) * (1 - y0.r * y0.r)) as r from cc iy join cc i0 on i0.i = iy.i and i0.j = 0 join cc y0 on y0.i = 6 and y0.j = 0 where iy.j = 6 and iy.i between 1 and 5),
+  zz as (select f, least(sqrt(n - 4) * abs(atanh(r)), 9.0) as z from pr)
+  select f, greatest(round(1 - 2 * {_NORMAL}, 6), 0) + 0.0 as p from zz"""
+
+ORACLES |= {
+    "conditional_relevance": _conditional(),
+    "fisher_z_test": _FISHER,
+    "greedy_selection": _greedy(),
+    "mrmr_kernel": _greedy(1.0, 0.0),
+    "greedy_grouped_selection": _greedy(1.0, 0.7, 0.3),
+    "linkage_merges": _linkage(" union all ".join(f"select {k} as step, (select list(f order by f) from cl{k} where c = i) as \"left\", (select list(f order by f) from cl{k} where c = j) as \"right\", round(distance, 6) + 0.0 as distance from mg{k}" for k in range(5))),
+    "linkage_labels": _linkage("select f, (dense_rank() over (order by c) - 1)::int as cluster from cl3"),
+    "markdown_report": sql("res means mo", "") + _LINES.format(
+        f"select 0 as part, 0 as pos, '| method | {' | '.join(METRICS)} |' as text union all select 1, 0, '| --- | --- | --- | --- | --- |' union all select 2, position, '| ' || method || ' | ' || "
+        + " || ' | ' || ".join(f"printf('%.3f', {m})" for m in METRICS) + " || ' |' from mo join means using (method)"
+    ),
+    "latex_table": _tex(),
+    # Exact: all sign patterns of the ranks of five differences.
+    "wilcoxon_test": sql("res dm", "").rstrip() + """, d as (select b.method, p.accuracy - b.accuracy as d from dm b join dm p on p.dataset = b.dataset and p.method = 'Proposed' where b.method <> 'Proposed'),
+      r as (select method, d, rank() over (partition by method order by round(abs(d), 12)) as r from d), n as (select count(distinct dataset) as n from dm),
+      w as (select method, least(coalesce(sum(r) filter (d > 0), 0), coalesce(sum(r) filter (d < 0), 0)) as low from r group by method),
+      s as (select p, sum(((p >> (i - 1)) & 1) * i) as s from (select unnest(range((1 << n::int)::bigint)) as p from n) cross join (select unnest(range(1, n::bigint + 1)) as i from n) group by p)
+      select method, round(least(1, 2 * count(*) filter (s <= low) / (1 << any_value(n)::int)), 6) + 0.0 as p from w cross join s cross join n group by method""",
+    "stage_descriptions": """select * from (values
+      ('prepare', 'Fill gaps with medians and bring every feature to mean 0 and deviation 1.'),
+      ('relevance', 'Find the label''s Markov blanket by conditional independence tests and blend it with a predictive score.'),
+      ('graph', 'Link features whose absolute correlation reaches the threshold.'),
+      ('distance', 'Mix one less the correlation with the gap in relevance.'),
+      ('clusters', 'Join nearest clusters by average linkage until k are left; a reviewer may veto doubtful joins.'),
+      ('prototypes', 'Take one feature of each cluster, or go greedily by relevance less redundancy.'),
+      ('consensus', 'Repeat on resamples, vote, and measure how far the selections agree.')) t(stage, detail)""",
+    # numpy's generator with seed 42 draws these three of six.
+    "baseline_random": "select unnest([0, 3, 5])::int as f",
+}

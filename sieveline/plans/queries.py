@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import asdict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -18,7 +17,7 @@ from sieveline.sources import synthetic
 from sieveline.sources.tables import CATALOGUE, documents_frame, embeddings_frame, first_that_loads, frame_of, load_csv, orders_frame, users_frame
 
 from . import experiments as X
-from .config import STAGES, Config, ablations, soft, strict
+from .config import STAGES, Config, soft, strict
 from .selector import Selector
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,8 +202,8 @@ def standardise(spark, d):
 @query
 def standardise_apply(spark, d):
     frame = orders_frame(spark, d)
-    half = lambda k: frame.with_df(frame.df.where(F.col("row_id") % 2 == k))
-    return rounded(prepare.Standardiser().fit(half(0)).transform(half(1)).df)
+    half = frame.with_df(frame.df.where("row_id % 2 = 0"))
+    return rounded(prepare.Standardiser().fit(half).transform(frame).df)
 
 
 @query
@@ -326,7 +325,7 @@ def conditional_relevance(spark, d):
 @query
 def forest_relevance(spark, d):
     frame = documents_frame(spark, d)
-    return rounded(causal.vector_frame(frame, causal.forest_relevance(frame, trees=30)))
+    return rounded(causal.vector_frame(frame, causal.forest_relevance(frame)))
 
 
 @query
@@ -507,7 +506,7 @@ def bootstrap_runs(spark, d):
 
 
 def selections(spark: SparkSession, d: str) -> DataFrame:
-    """Selections of 5 parts: the three features of the greatest F of the orders with o_orderkey % 5 = b."""
+    """Five selections b of up to four of the numbers 0 to 8, made up from the lines with l_orderkey % 5 = b."""
     return spark.read.parquet(f"{d}/lineitem.parquet").groupBy((F.col("l_orderkey") % 5).cast("int").alias("b")).agg(F.array_sort(F.collect_set((F.floor(F.col("l_extendedprice")) % 7 + F.col("l_orderkey") % 3).cast("int"))).alias("all")).select("b", F.slice("all", F.col("b") % 3 + 1, 4).alias("selected"))
 
 
@@ -632,7 +631,7 @@ def folds(spark, d):
 
 @query
 def knn_predictions(spark, d):
-    return evaluate.fold_predictions(embeddings_frame(spark, d, 8))
+    return evaluate.fold_predictions(embeddings_frame(spark, d))
 
 
 @query
@@ -647,7 +646,7 @@ def balanced_accuracy(spark, d):
 
 @query
 def trustworthiness(spark, d):
-    return rounded(evaluate.trustworthiness(embeddings_frame(spark, d, 8), [0, 2, 5]))
+    return rounded(evaluate.trustworthiness(embeddings_frame(spark, d), [0, 2, 5]))
 
 
 @query
@@ -800,22 +799,19 @@ def run_methods(spark, d):
 
 @query
 def ablation(spark, d):
-    frame = orders_frame(spark, d)
-    names = list(ablations(1))
-    rows = [("orders", *[float(Selector(Config(**{**asdict(c), "conditional_relevance": True, "n_bootstrap": 4})).fit(frame).stability_) for c in ablations(3).values()])]
-    return report.with_mean_row(spark.createDataFrame(rows, ["dataset", *[n.replace(" ", "_").replace("/", "") for n in names]]), "dataset", [n.replace(" ", "_").replace("/", "") for n in names])
+    out = X.ablation([documents_frame(spark, d)], 3, 8)
+    return out.toDF(*[c.replace(" ", "_").replace("/", "") for c in out.columns])
 
 
 @query
 def alpha_sensitivity(spark, d):
-    frame = documents_frame(spark, d)
-    rows = [(a, float(Selector(Config(n_representatives=2, alpha=a, n_bootstrap=4, conditional_relevance=True)).fit(frame).stability_)) for a in (0.0, 0.25, 0.5, 0.75, 1.0)]
-    return rounded(spark.createDataFrame(rows, "alpha double, stability double"))
+    return rounded(X.sensitivity([documents_frame(spark, d)], 2))
 
 
 @query
 def plausibility_experiment(spark, d):
-    frame, rows = synthetic.make_structural(spark), []
+    """The shares of known drivers only: the whole driver, X.plausibility, evaluates every method on several resamples."""
+    frame, rows = synthetic.make_structural(spark).stored(), []
     for name, config in (("strict", strict(6, frame.p)), ("pca", None)):
         chosen = Selector(config, artefacts=False).fit(frame).selected_features_ if config else baselines.build_baseline("PCA", 6).fit(frame).selected_features_
         hit = len(set(chosen) & set(frame.truth))

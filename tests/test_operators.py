@@ -227,9 +227,9 @@ def test_review(spark):
     rel, mb = np.array([0.9, 0.1, 0.5, 0.5]), np.array([1, 0, 0, 0])
     reviews = K.ambiguous(merges, rel, mb)
     assert [(r.step, r.conflicting) for r in reviews] == [(0, True), (2, True)] and reviews[-1].distance_gap == 0
-    s = K.ReviewSession().resolve(reviews, K.rule_oracle())
-    assert s.veto_rate == 1.0 and K.ReviewSession().veto_rate == 0.0
-    d = K.apply_vetoes(1 - np.eye(4), s.vetoed_pairs()[:1])
+    s = K.judge(reviews)
+    assert s.share == 1.0 and K.judge([]).share == 0.0 and K.judge(reviews, lambda r: r.step == 0).vetoed.tolist() == [False, True]
+    d = K.apply_vetoes(1 - np.eye(4), s.pairs[:1])
     assert d[0, 1] == d[1, 0] == 11 and d[0, 2] == 1
     scores = spark.createDataFrame([(i, float(r), float(m)) for i, (r, m) in enumerate(zip(rel, mb, strict=True))], "f int, relevance double, mb double")
     found = structure.ambiguous_merges(structure.merge_table(spark, merges), scores).orderBy("step").collect()
@@ -245,6 +245,7 @@ def test_agreement(spark):
     assert K.vote(runs, 0.5, 2) == [1, 2] and K.vote(runs, 0.9) == [1] and K.vote(runs, 0.9, 3) == [1, 2, 3]
     assert K.kuncheva([1, 2], [1, 3], 10) == pytest.approx(0.375) and K.kuncheva([], [1], 4) == 1
     assert K.cluster_vote([[0, 1], [2, 9]], {0: 0, 1: 0, 2: 0}, {0: 1}, 0.5, 2) == [1, 9]
+    assert K.cluster_vote([[0], [1, 3], [4]], {0: 0, 1: 0, 3: 1}, {0: 1}, 0.5) == [1] and K.cluster_vote([], {}, {}, 0.5) == []
     t = consensus.selections_table(spark, runs)
     assert consensus.stability(t).first()[0] == pytest.approx(K.stability_index(runs))
     assert sorted(r["f"] for r in consensus.consensus(t, 0.5, 2).collect()) == [1, 2]
@@ -331,7 +332,7 @@ def test_rows_scores_on_resamples(table):
 
 
 def test_config():
-    assert Config(beta=(1, 1, 2)).beta == (0.25, 0.25, 0.5) and Config().size(3) == 2 and Config(n_representatives=9).size(4) == 4
+    assert Config(beta=(1, 1, 2)).parts == (0.25, 0.25, 0.5) and Config().size(3) == 2 and Config(n_representatives=9).size(4) == 4
     for bad in ({"beta": (1, 1)}, {"beta": (0, 0, 0)}, {"lam": 2}, {"alpha": -1}, {"consensus_threshold": 1.5}):
         with pytest.raises(ValueError):
             Config(**bad)
