@@ -16,7 +16,7 @@ from .common import column, mix, pack_small, pack_sorted, parts_for, range_bound
 
 _START = np.uint64(0x5851F42D4C957F2D)
 #: Bytes of text that one piece, and one range of keys, stand for.
-PIECE = 6 << 20
+PIECE = 9 << 20
 #: Kinds of rows: a piece of the corpus, and counts by key of words, of words as first of a pair, and of pairs.
 _BODY, _WORD, _FIRST, _PAIR = range(4)
 _BODIES = "piece long, words binary, at binary, counts binary, ids array<long>, scored array<boolean>, target array<boolean>"
