@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from .components import components
 
 #: Bytes of text that one piece of the documents, and one range of tokens, stand for.
 PIECE, RANGE = 4 << 20, 8 << 20
+#: Runs in which pieces meet the counts of their tokens, so that a third of them is in shuffle files at a time.
+WAVES = 3
 #: Greatest count that is told apart from others; tokens beyond it are in the order of their hash.
 _MOST_COUNT = 65_535
 
@@ -296,15 +299,18 @@ def ngram_jaccard(docs: DataFrame, n_words: int = 5, percent: int = 80, frequent
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = parts_for(text_bytes(d), range_bytes)
     pieces = save(d.mapInArrow(_pieces(n_words), _PIECES), "shingle-pieces")
-    sets = pieces.select("piece", F.explode(F.arrays_zip("ids", "n", "s1", "s2")).alias("x")).select("piece", F.col("x.ids").alias("doc_id"), "x.n", "x.s1", "x.s2")
+    sets = save(pieces.select("piece", F.explode(F.arrays_zip("ids", "n", "s1", "s2")).alias("x")).select("piece", F.col("x.ids").alias("doc_id"), "x.n", "x.s1", "x.s2"), "sets")
     least = F.min(F.struct("doc_id", "piece")).alias("x")
     classes = save(sets.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(least).select("n", "s1", "s2", F.col("x.doc_id").alias("class_id"), "x.piece"), "classes")
     asked = pieces.select("piece", "tokens").mapInArrow(_asked(parts), "part int, piece long, keys binary, k binary")
     counts = save(asked.groupBy("part").applyInArrow(_add, "part int, piece long, k binary"), "token-counts")
     stand = classes.groupBy("piece").agg(F.collect_list("class_id").alias("stand"))
     both = pieces.select("piece", "ids", "n", "rows", "tokens").unionByName(counts, allowMissingColumns=True).unionByName(stand, allowMissingColumns=True)
-    features = save(both.groupBy("piece").applyInArrow(_features(percent, frequent), "doc_id long, n long, tokens array<long>, keys array<long>"), "features")
-    forget(counts)
+    tasks = ((pieces.agg(F.max("piece")).first()[0] or 0) >> 24) + 1
+    ends = sorted({tasks * w // WAVES << 24 for w in range(WAVES + 1)})
+    made = [both.where((F.col("piece") >= lo) & (F.col("piece") < hi)).groupBy("piece").applyInArrow(_features(percent, frequent), "doc_id long, n long, tokens array<long>, keys array<long>") for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+    features = reduce(DataFrame.unionByName, [save(m, "features") for m in made])
+    forget(pieces, counts)
     comps = components(similar_links(features, percent)).withColumnRenamed("id", "class_id")
     out = sets.join(classes.drop("piece"), ["n", "s1", "s2"], "left").join(comps, "class_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "class_id", "doc_id")).alias("component_id"))
