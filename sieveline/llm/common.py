@@ -28,7 +28,11 @@ except OSError:  # another C library
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+#: For tables of a few large rows that don't compress: one row a page, row groups of 32 MB, no buffers for compression.
+LARGE_ROWS = {"compression": "none", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(32 << 20)}
+
+
+def save(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back, so that lineage ends and lost executors cost no upstream work.
 
     Shuffle files of the write are removed once it has ended, where this Spark offers that.
@@ -39,7 +43,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import column, forget, mix, pack_small, pack_sorted, parts_for, range_bounds, save, signed, text_bytes, trim, unpack_small, unpack_sorted, windows, word_chunks
+from .common import LARGE_ROWS, column, forget, mix, pack_small, pack_sorted, parts_for, range_bounds, save, signed, text_bytes, trim, unpack_small, unpack_sorted, windows, word_chunks
 from .components import components
 
 #: Bytes of text that one piece of the documents, and one range of tokens, stand for.
@@ -298,7 +298,7 @@ def ngram_jaccard(docs: DataFrame, n_words: int = 5, percent: int = 80, frequent
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = parts_for(text_bytes(d), range_bytes)
-    pieces = save(d.mapInArrow(_pieces(n_words), _PIECES), "shingle-pieces")
+    pieces = save(d.mapInArrow(_pieces(n_words), _PIECES), "shingle-pieces", LARGE_ROWS)
     sets = save(pieces.select("piece", F.explode(F.arrays_zip("ids", "n", "s1", "s2")).alias("x")).select("piece", F.col("x.ids").alias("doc_id"), "x.n", "x.s1", "x.s2"), "sets")
     least = F.min(F.struct("doc_id", "piece")).alias("x")
     classes = save(sets.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(least).select("n", "s1", "s2", F.col("x.doc_id").alias("class_id"), "x.piece"), "classes")
