@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_digest
 from .common import text_bytes
+from .conversations import repair_digest
+from .conversations_sql import OP12
+from .divergence import source_divergence
+from .divergence_sql import OP13
 from .embedding_dedup import near_embeddings
 from .exact import exact_dedup
 from .jaccard import ngram_jaccard
@@ -15,6 +19,7 @@ from .language_id import language_id
 from .license_scan import scan_licenses
 from .lm_scoring import marked_difference
 from .mixing import mix_sources
+from .packing import pack_digest
 from .secret_scan import BASE, RULES, secret_digest
 from .substring import substring_digest
 
@@ -72,6 +77,18 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_table(spark, sf_dir, "documents"), n_words=4, percent=85)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_digest(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digest(_table(spark, sf_dir, "conversations"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -184,6 +201,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op11_best_fit_packing": op11_best_fit_packing,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_source_divergence": op13_source_divergence,
         "pipeline": pipeline,
     }
 
@@ -196,4 +216,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": _OP4,
         "op7_secret_scan": _op7(),
         "op10_ngram_jaccard": _OP10,
+        "op12_conversation_repair": OP12,
+        "op13_source_divergence": OP13,
     }
