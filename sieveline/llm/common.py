@@ -5,12 +5,14 @@ from __future__ import annotations
 import ctypes
 import gc
 import hashlib
+import secrets
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sieveline.session import shared_dir, ship
@@ -71,12 +73,31 @@ def scratch() -> Iterator[list[DataFrame]]:
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a number for each row, and the name of that column, which clashes with none.
 
-    Rows of a stored table get the same numbers whenever it is read, as its splits depend on its files only.
+    Rows of stored files are numbered by file and place in it, so they keep their numbers however a later read splits the
+    files. A file's part of the number is a hash of its path; the driver gets these hashes to see that all differ. Another
+    table is written with its numbers first.
     """
     name = "row"
     while name in docs.columns:
         name += "_"
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+    try:
+        meta = docs.metadataColumn("_metadata")
+        path, index = meta["file_path"], meta["row_index"]
+        paths = docs.select(path.alias("path")).distinct().cache()
+    except AnalysisException:
+        return save(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    try:
+        bits = 2 * max(1, paths.count()).bit_length() + 2
+        for seed in range(100):
+            slot = lambda p: F.shiftrightunsigned(F.xxhash64(F.lit(seed), p), 64 - bits)  # noqa: B023, E731
+            slots = [r[0] for r in paths.select(slot("path")).collect()]
+            if len(set(slots)) == len(slots):
+                break
+    finally:
+        paths.unpersist()
+    most = 1 << 63 - bits
+    checked = F.when(index < most, index).otherwise(F.raise_error(F.lit(f"a file of more than {most} rows")).cast("long"))
+    return docs.withColumn(name, F.shiftleft(slot(path), 63 - bits) + checked), name
 
 
 def forget(*tables: DataFrame) -> None:
@@ -176,29 +197,35 @@ def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-def _word_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, family: int) -> np.ndarray:
-    """64-bit hashes of the words data[lo:hi]; families are independent of each other.
+def new_key() -> int:
+    """A secret for word hashes: nobody who writes a text knows it, so no text can hold words made to collide."""
+    return secrets.randbits(63)
+
+
+def _word_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, family: int, key: int = 0) -> np.ndarray:
+    """64-bit hashes of the words data[lo:hi] under a key; families are independent of each other.
 
-    Eight bytes at a time go through a bijective mix, so words of up to eight bytes and one length never collide, and longer
-    ones have no structure (unlike polynomials modulo 2**64) that makes them.
+    Eight bytes at a time go through a bijective mix, so words of up to eight bytes and one length never collide. Longer words that
+    collide can be computed by those who know the key, which is why operators draw one for each run (see new_key).
     """
+    start, base = (int(mix(np.array([x ^ key * 0x9E3779B97F4A7C15 % 2**64], np.uint64))[0]) if key else x for x in (int(_STARTS[family]), _BASES[family]))
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
     size = hi - lo
-    h = mix(_STARTS[family] ^ size.astype(np.uint64))
+    h = mix(np.uint64(start) ^ size.astype(np.uint64))
     at, left = np.arange(len(lo)), size
     for k in range(0, _SHORT_WORD, 8):
         chosen = (left > k) & (size[at] <= _SHORT_WORD)
         at, left = at[chosen], left[chosen]
         if not len(at):
             break
-        h[at] = mix((h[at] ^ (eight[lo[at] + k] & _FIRST_BYTES[np.minimum(left - k, 8)])) * np.uint64(_BASES[family]))
+        h[at] = mix((h[at] ^ (eight[lo[at] + k] & _FIRST_BYTES[np.minimum(left - k, 8)])) * np.uint64(base | 1))
     for i in np.flatnonzero(size > _SHORT_WORD):
-        h[i] = int.from_bytes(hashlib.blake2b(data[lo[i] : hi[i]].tobytes(), digest_size=8, salt=bytes([family])).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(data[lo[i] : hi[i]].tobytes(), digest_size=8, salt=bytes([family]), key=key.to_bytes(8, "little")).digest(), "little")
     return h
 
 
-def _words(data: np.ndarray, starts_at: np.ndarray, lower: bool, families: int) -> tuple[np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, starts_at: np.ndarray, lower: bool, families: int, key: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (a row for each family) and start of every word of data; a text begins at each of starts_at."""
     black = ~_IS_SPACE[data]
     first = black.copy()
@@ -209,10 +236,10 @@ def _words(data: np.ndarray, starts_at: np.ndarray, lower: bool, families: int)
     last[:-1] &= ~black[1:] | first[1:]
     lo, hi = np.flatnonzero(first), np.flatnonzero(last) + 1
     data = _LOWER[data] if lower else data
-    return np.stack([_word_hashes(data, lo, hi, f) for f in range(families)]), lo
+    return np.stack([_word_hashes(data, lo, hi, f, key) for f in range(families)]), lo
 
 
-def word_chunks(arr: pa.Array, lower: bool = False, size: int = 4 << 20, families: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_chunks(arr: pa.Array, lower: bool = False, size: int = 4 << 20, families: int = 1, key: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, 64-bit hash of each word, number of words of each row) for runs of rows of about `size` bytes.
 
     With several families the hashes have a row for each. A single longer text is one run. Runs are hashed in pieces of a
@@ -232,7 +259,7 @@ def word_chunks(arr: pa.Array, lower: bool = False, size: int = 4 << 20, familie
                     cut += 1
                 hi = cut
             inside = offsets[row:end]
-            h, p = _words(data[lo:hi], inside[(inside >= lo) & (inside < hi)] - lo, lower, families)
+            h, p = _words(data[lo:hi], inside[(inside >= lo) & (inside < hi)] - lo, lower, families, key)
             found.append(h)
             at.append(p + lo)
             lo = hi

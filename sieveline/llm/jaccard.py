@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LARGE_ROWS, column, forget, mix, pack_small, pack_sorted, parts_for, range_bounds, save, signed, text_bytes, trim, unpack_small, unpack_sorted, windows, word_chunks
+from .common import LARGE_ROWS, column, forget, mix, new_key, pack_small, pack_sorted, parts_for, range_bounds, save, signed, text_bytes, trim, unpack_small, unpack_sorted, windows, word_chunks
 from .components import components
 
 #: Bytes of text that one piece of the documents, and one range of tokens, stand for.
@@ -24,9 +24,9 @@ _PIECES = "piece long, ids array<long>, n array<long>, s1 array<long>, s2 array<
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
 
-def _sets(text: pa.Array, n_words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _sets(text: pa.Array, n_words: int, key: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, sizes, two sums, tokens) of runs of rows; the tokens of a row are distinct and ascending."""
-    for lo, hi, words, counts in word_chunks(text, lower=True):
+    for lo, hi, words, counts in word_chunks(text, lower=True, key=key):
         rows, _, h = windows(words, counts, n_words)
         short = np.flatnonzero((counts > 0) & (counts < n_words))
         if len(short):
@@ -51,7 +51,7 @@ def _sets(text: pa.Array, n_words: int) -> Iterator[tuple[int, int, np.ndarray,
         yield lo, hi, sizes, *sums, h
 
 
-def _pieces(n_words: int):
+def _pieces(n_words: int, key: int):
     """Pieces of the documents, a row each: every row's id, set size and two sums that identify its set, and the tokens of
     one row (that of the smallest id) for each distinct set of the piece. Rows without an id lend no tokens."""
 
@@ -59,7 +59,7 @@ def _pieces(n_words: int):
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
             names = column(batch, "doc_id")
-            for lo, hi, sizes, s1, s2, h in _sets(column(batch, "text"), n_words):
+            for lo, hi, sizes, s1, s2, h in _sets(column(batch, "text"), n_words, key):
                 own = names.slice(lo, hi - lo)
                 ids, known = own.fill_null(0).to_numpy(zero_copy_only=False), ~own.is_null().to_numpy(zero_copy_only=False)
                 order = np.lexsort((ids, ~known, s2, s1, sizes))
@@ -290,6 +290,7 @@ def ngram_jaccard(docs: DataFrame, n_words: int = 5, percent: int = 80, frequent
     is percent / 100 or more. component_id is the smallest doc_id reachable by links. A null id stays alone, with a null
     component_id; rows that repeat an id are taken for one document. Other columns are ignored.
 
+    Words are hashed under a key of this run, shingles are sums of their words' hashes, and sets are compared by these 64 bits.
     Equal sets (by size and two 64-bit sums) are joined first, and one row stands for them. Tokens are counted over all
     documents: pieces send the counts of their own tokens to ranges of tokens and get the sums back, so a token that every
     document has is one entry a piece. A set is indexed by its rarest tokens: those in at most `frequent` sets, whose postings
@@ -298,7 +299,7 @@ def ngram_jaccard(docs: DataFrame, n_words: int = 5, percent: int = 80, frequent
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = parts_for(text_bytes(d), range_bytes)
-    pieces = save(d.mapInArrow(_pieces(n_words), _PIECES), "shingle-pieces", LARGE_ROWS)
+    pieces = save(d.mapInArrow(_pieces(n_words, new_key()), _PIECES), "shingle-pieces", LARGE_ROWS)
     sets = save(pieces.select("piece", F.explode(F.arrays_zip("ids", "n", "s1", "s2")).alias("x")).select("piece", F.col("x.ids").alias("doc_id"), "x.n", "x.s1", "x.s2"), "sets")
     least = F.min(F.struct("doc_id", "piece")).alias("x")
     classes = save(sets.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(least).select("n", "s1", "s2", F.col("x.doc_id").alias("class_id"), "x.piece"), "classes")

@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_of, block_of_np, column, from_sortable, pack_small, pack_sorted, parts_for, range_bounds, save, text_buffers, text_bytes, to_sortable, trim, unpack_small, unpack_sorted, windows, word_chunks
+from sieveline.session import ship
+
+from .common import block_of, block_of_np, column, from_sortable, new_key, pack_small, pack_sorted, parts_for, range_bounds, save, text_buffers, text_bytes, to_sortable, trim, unpack_small, unpack_sorted, windows, word_chunks
 
 #: What a row of the exchange holds: a sorted run of one piece of a batch, rows found to be repeats, or a compacted run.
 _RUN, _HITS, _OLD = 0, 1, 2
@@ -37,7 +39,7 @@ def _hit_rows(ids: np.ndarray, hashes: np.ndarray, n: int) -> list[tuple]:
     return out
 
 
-def sorted_runs(docs: DataFrame, n_words: int, buckets: int) -> DataFrame:
+def sorted_runs(docs: DataFrame, n_words: int, buckets: int, blocks: int, key: int) -> DataFrame:
     """Level-0 runs: each piece of docs (doc_id, text) as ascending distinct window hashes, by range of hash.
 
     Of the windows of one piece with one hash only the one of the smallest id goes into the run. The others, whose check
@@ -47,7 +49,7 @@ def sorted_runs(docs: DataFrame, n_words: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi, (words, second), counts in word_chunks(column(batch, "text"), families=2):
+            for lo, hi, (words, second), counts in word_chunks(column(batch, "text"), families=2, key=key):
                 names, rank = np.unique(all_ids[lo:hi], return_inverse=True)
                 rows, _, h = windows(words, counts, n_words)
                 if not len(h):
@@ -68,7 +70,7 @@ def sorted_runs(docs: DataFrame, n_words: int, buckets: int) -> DataFrame:
                 keep = np.concatenate((first, odd)) if len(odd) else first
                 if len(odd):
                     keep = keep[np.argsort(h[keep], kind="stable")]
-                out = _hit_rows(names[owner[hit]], h[hit], buckets) if hit.any() else []
+                out = _hit_rows(names[owner[hit]], h[hit], blocks) if hit.any() else []
                 kh, ko, kc = h[keep], owner[keep], check[keep]
                 cut = range_bounds(kh, buckets)
                 for b in np.flatnonzero(cut[1:] > cut[:-1]):
@@ -81,14 +83,28 @@ def sorted_runs(docs: DataFrame, n_words: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, _ROWS)
 
 
-def merge_runs(runs: DataFrame, buckets: int, keep_index: bool) -> DataFrame:
+def _ranged(history: DataFrame, buckets: int) -> DataFrame:
+    """The compacted runs of an index cut at the bounds of `buckets` ranges, whatever ranges they were written in."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, c, ids in zip(*(column(batch, n).to_pylist() for n in ("hashes", "checks", "ids")), strict=True):
+                h, c = unpack_sorted(h), np.frombuffer(c, np.uint32)
+                ends = range_bounds(h, buckets)
+                yield _rows([(int(b), _OLD, ids, pack_sorted(h[ends[b] : ends[b + 1]]), b"", c[ends[b] : ends[b + 1]].tobytes()) for b in np.flatnonzero(ends[1:] > ends[:-1])])
+        trim()
+
+    return history.mapInArrow(cut, _ROWS)
+
+
+def merge_runs(runs: DataFrame, blocks: int, keep_index: bool, key: int) -> DataFrame:
     """Merge-join the runs of each hash range: repeats (by block of documents), and one compacted run if wanted.
 
     A window is a repeat if a compacted run of earlier batches holds its hash and check hash, or another run does for a
     smaller id.
     """
 
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
+    def merge(of: tuple, table: pa.Table) -> pa.Table:
         hs, ids, cs, out = [], [], [], []
         for batch in table.to_batches():
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -118,9 +134,9 @@ def merge_runs(runs: DataFrame, buckets: int, keep_index: bool) -> DataFrame:
             least = np.minimum.reduceat(owner, start)
             hit = owner > np.repeat(least, np.diff(np.append(start, len(h))))
             if hit.any():
-                out += _hit_rows(owner[hit], h[hit], buckets)
+                out += _hit_rows(owner[hit], h[hit], blocks)
             if keep_index:
-                out.append((int(key[0].as_py()), _OLD, b"", pack_sorted(h[start]), b"", check[start].tobytes()))
+                out.append((int(of[0].as_py()), _OLD, key.to_bytes(8, "little"), pack_sorted(h[start]), b"", check[start].tobytes()))
             del h, owner, check, order, new, start, least, hit
             trim()
         return pa.Table.from_batches([_rows(out)])
@@ -128,7 +144,7 @@ def merge_runs(runs: DataFrame, buckets: int, keep_index: bool) -> DataFrame:
     return runs.groupBy("bucket").applyInArrow(merge, _ROWS)
 
 
-def _cut(docs: DataFrame, hits: DataFrame, n_words: int, blocks: int) -> DataFrame:
+def _cut(docs: DataFrame, hits: DataFrame, n_words: int, blocks: int, key: int) -> DataFrame:
     """Documents without the words that their repeats cover."""
 
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -143,7 +159,7 @@ def _cut(docs: DataFrame, hits: DataFrame, n_words: int, blocks: int) -> DataFra
             names = column(batch, "doc_id").to_pylist()
             text = column(batch, "text")
             data, offsets = text_buffers(text)
-            for lo, hi, words, counts in word_chunks(text, size=1 << 20):
+            for lo, hi, words, counts in word_chunks(text, size=1 << 20, key=key):
                 rows, start, h = windows(words, counts, n_words)
                 edge = np.searchsorted(rows, np.arange(hi - lo + 1))
                 before = np.cumsum(counts) - counts
@@ -183,20 +199,26 @@ def substring_dedup(docs: DataFrame, n_words: int = 13, history: DataFrame | Non
     Words are stretches without white space, unchanged. Null and empty texts have no words; shorter texts have no window.
     Rows with a null id neither lose words nor make others lose any. Rows that repeat an id are one document: they don't make
     each other lose words. Windows are equal if two hashes, of 64 and 32 bits, agree: the first places them in the sorted
-    runs, the second verifies; they start from independent hashes of the words themselves. Other columns are ignored.
+    runs, the second verifies; they start from independent hashes of the words themselves, under a key that is drawn for a new
+    index and kept in it. Batches may have any sizes: an index is cut into the hash ranges of the batch that reads it. Other
+    columns are ignored.
 
     Each piece of the input becomes sorted runs, one for each range of hashes, in which every hash occurs once; so a passage
     in many documents sends one entry for each piece. Repeats go to the block of their document, where texts are read again.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    if buckets is None:
-        buckets = parts_for(text_bytes(d), 8 << 20)
-    runs = sorted_runs(d.where("doc_id is not null"), n_words, buckets)
+    ship(d.sparkSession)
+    size = text_bytes(d)
+    blocks = parts_for(size, 8 << 20)
+    known = None if history is None else history.agg(F.first("ids").alias("key"), F.sum(F.octet_length("checks")).alias("n")).first()
+    key = int.from_bytes(known["key"], "little") if known and known["key"] else new_key()
+    buckets = buckets or parts_for(size + 8 * (known and known["n"] or 0), 8 << 20)
+    runs = sorted_runs(d.where("doc_id is not null"), n_words, buckets, blocks, key)
     if history is not None:
-        runs = runs.unionByName(history)
-    merged = save(merge_runs(runs, buckets, keep_index), "substring-merged")
+        runs = runs.unionByName(_ranged(history, buckets))
+    merged = save(merge_runs(runs, blocks, keep_index, key), "substring-merged")
     hits = merged.where(f"kind = {_HITS}").select(F.col("bucket").alias("block"), "ids", "hashes", "owners")
-    return _cut(d, hits, n_words, buckets), merged.where(f"kind = {_OLD}") if keep_index else None
+    return _cut(d, hits, n_words, blocks, key), merged.where(f"kind = {_OLD}") if keep_index else None
 
 
 def substring_digest(docs: DataFrame, **kw) -> DataFrame:
