@@ -45,7 +45,7 @@ def _connect():
     """DuckDB in this task: one thread, nothing written to disk."""
     import duckdb
 
-    return duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
+    return duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "preserve_insertion_order": False})
 
 
 def _ask(con, sql: str, part) -> pa.Table:
@@ -62,10 +62,11 @@ def _plain(t: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
     yield from t.cast(schema).to_batches(max_chunksize=50_000)
 
 
-def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", most: int = 400_000) -> DataFrame:
+def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", most: int = 150_000, piece: int = 1 << 19) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of each term, partial sums of tasks.
 
-    Each Arrow batch is counted by one SQL statement; a task merges its counts and sends them once there are `most`.
+    Every `piece` bytes of text or so are counted by one SQL statement; a task merges its counts and sends them once there
+    are `most`.
     """
     ship(docs.sparkSession)
     names = ["lang", "source", "term", "n", "docs"]
@@ -74,12 +75,14 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         held: list[pa.Table] = []
         with _connect() as con:
             for batch in batches:
-                if batch.num_rows:
-                    held.append(_ask(con, _COUNT, pa.Table.from_batches([batch])))
-                if sum(t.num_rows for t in held) >= 2 * most:
-                    held = [_ask(con, _MERGE, pa.concat_tables(held))]
-                    if held[0].num_rows >= most:
-                        yield from _plain(held.pop(), names)
+                step = max(1, batch.num_rows * piece // max(1, batch.nbytes))
+                for lo in range(0, batch.num_rows, step):
+                    held.append(_ask(con, _COUNT, pa.Table.from_batches([batch.slice(lo, step)])))
+                    if sum(t.num_rows for t in held) >= 2 * most:
+                        held = [_ask(con, _MERGE, pa.concat_tables(held))]
+                        trim()
+                        if held[0].num_rows >= most:
+                            yield from _plain(held.pop(), names)
             if held:
                 yield from _plain(_ask(con, _MERGE, pa.concat_tables(held)), names)
         trim()
