@@ -12,7 +12,8 @@ from sieveline.session import shared_dir
 
 @dataclass(frozen=True)
 class FeatureFrame:
-    """A wide DataFrame with a row id, double feature columns (missing is NULL) and an integer label, codes from 0.
+    """A wide DataFrame with a row id, double feature columns (missing is NULL) and a label: codes from 0, or any numbers if it
+    isn't `discrete`.
 
     Feature f of the operators' results is a position in `features`. Only the columns named here are ever read.
     """
@@ -24,6 +25,7 @@ class FeatureFrame:
     name: str = ""
     truth: tuple[int, ...] | None = None
     redundant: tuple[int, ...] | None = None
+    discrete: bool = True
 
     @property
     def p(self) -> int:
@@ -32,7 +34,7 @@ class FeatureFrame:
     def wide(self) -> DataFrame:
         """(row_id, y, features): doubles, with NaN as NULL."""
         x = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in self.features]
-        return self.df.select(F.col(f"`{self.row_id}`").alias("row_id"), F.col(f"`{self.label}`").cast("int").alias("y"), *x)
+        return self.df.select(F.col(f"`{self.row_id}`").alias("row_id"), F.col(f"`{self.label}`").cast("int" if self.discrete else "double").alias("y"), *x)
 
     def long(self) -> DataFrame:
         """(row_id, y, f, x), a row for each cell; no shuffle."""

@@ -11,6 +11,7 @@ from sieveline.frame import FeatureFrame
 from sieveline.functions import kernels as K
 
 from .causal import mutual_information
+from .continuous import lasso
 from .prepare import Standardiser, prefilter
 from .stats import gram
 
@@ -50,13 +51,18 @@ class Components(Baseline):
         z = self.scaler.transform(frame)
         names = tuple(f"component_{j}" for j in range(self.vectors.shape[1]))
         parts = [sum((F.col(f"`{c}`") * float(v) for c, v in zip(z.features, w, strict=True)), F.lit(0.0)).alias(n) for n, w in zip(names, self.vectors.T, strict=True)]
-        return FeatureFrame(z.df.select("row_id", "y", *parts), names)
+        return FeatureFrame(z.df.select("row_id", "y", *parts), names, discrete=z.discrete)
 
 
 class Lasso(Baseline):
-    """L1-penalised logistic regression, one class against the rest; features of the greatest total coefficient."""
+    """L1-penalised logistic regression, one class against the rest; features of the greatest total coefficient.
+
+    With a continuous label the least squares lasso of penalty 0.01, from cross-products.
+    """
 
     def _choose(self, z: FeatureFrame) -> list[int]:
+        if not z.discrete:
+            return K.top_k(np.abs(lasso(gram(z))), self.k)
         data = VectorAssembler(inputCols=list(z.features), outputCol="sieveline_x").transform(z.df)
         n, classes = z.df.count(), z.n_classes()
         base = LogisticRegression(featuresCol="sieveline_x", labelCol="y", elasticNetParam=1.0, regParam=1.0 / max(1, n), standardization=False, maxIter=100)

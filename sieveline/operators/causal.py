@@ -6,12 +6,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sieveline.frame import FeatureFrame
 from sieveline.functions import kernels as K
 from sieveline.session import ship
 
+from .continuous import continuous_information, counts_inside
 from .ranking import running_count, stored
 from .stats import grams
 
@@ -70,16 +72,7 @@ def _spread_information(cells: DataFrame, k: int) -> DataFrame:
     gaps = F.array_sort(F.transform("others", lambda v: F.abs(v - F.col("me.x"))))
     used = F.least(F.lit(k), F.col("me.size") - 1).cast("int")
     rows = stored(met.where("me is not null").select("f", F.col("me.id").alias("id"), F.col("me.x").alias("x"), F.col("me.size").alias("size"), used.alias("k"), F.get(gaps, used - 1).alias("r")), "radii")
-    # A row marks where its values begin and end among all values of the feature; kind orders marks among equal values.
-    flat = F.col("r") <= 0
-    marks = F.array(
-        F.struct(F.col("x").alias("v"), F.lit(1).alias("kind"), F.lit(0).alias("sign")),
-        F.struct((F.col("x") - F.col("r")).alias("v"), F.when(flat, 0).otherwise(2).alias("kind"), F.lit(-1).alias("sign")),
-        F.struct((F.col("x") + F.col("r")).alias("v"), F.when(flat, 2).otherwise(0).alias("kind"), F.lit(1).alias("sign")),
-    )
-    line = rows.select("f", "id", F.explode(marks).alias("m")).select("f", "id", "m.*")
-    counted = running_count(line, ["f"], ["v", "kind"], "n", F.col("kind") == 1).where("sign != 0")
-    inside = counted.groupBy("f", "id").agg(F.sum(F.col("n") * F.col("sign")).alias("m"))
+    inside = counts_inside(rows, "x", "r")
     each = rows.join(inside, ["f", "id"])
     n = F.count(F.lit(1))
     value = _digamma(n) + F.avg(_digamma(F.col("k"))) - F.avg(_digamma(F.col("size"))) - F.avg(_digamma(F.col("m")))
@@ -87,12 +80,16 @@ def _spread_information(cells: DataFrame, k: int) -> DataFrame:
 
 
 def mutual_information(frame: FeatureFrame, k: int = 3, weights: DataFrame | None = None, direct: int = 2_000_000) -> DataFrame:
-    """(f, score): information of each feature about the label.
+    """(f, score): information of each feature about the label; see continuous_information where that isn't discrete.
 
     Up to `direct` rows a feature's column is one group of numpy arrays; beyond, ranks and running counts over ranges of
     values give the same numbers, and no task depends on a feature's or a class's rows.
     """
     ship(frame.df.sparkSession)
+    if not frame.discrete:
+        if weights is not None:
+            raise ValueError("resamples repeat rows, which have no distance from each other: take the scores of the whole table")
+        return continuous_information(frame, k)
     cells = frame.long().where("x is not null").withColumn("id", F.col("row_id").cast("long"))
     if weights is not None:
         cells = cells.join(weights.select("row_id", "w"), "row_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("w").cast("int")))).withColumn("id", F.col("id") * 4096 + F.col("copy"))
@@ -115,10 +112,11 @@ def over_max(scores: DataFrame) -> DataFrame:
 
 
 def forest_relevance(frame: FeatureFrame, trees: int = 100, depth: int = 8, seed: int = 0, weight: str | None = None) -> np.ndarray:
-    """Importances of a random forest over their maximum."""
+    """Importances of a random forest, of regression trees if the label isn't discrete, over their maximum."""
     w = frame.wide() if weight is None else frame.df.select("y", *frame.features, weight)
     data = VectorAssembler(inputCols=list(frame.features), outputCol="sieveline_x").transform(w.fillna(0.0, list(frame.features)))
-    forest = RandomForestClassifier(featuresCol="sieveline_x", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed)
+    kind = RandomForestClassifier if frame.discrete else RandomForestRegressor
+    forest = kind(featuresCol="sieveline_x", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed)
     if weight is not None:
         forest = forest.setWeightCol(weight)
     return K.over_max(forest.fit(data).featureImportances.toArray())

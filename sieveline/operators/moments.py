@@ -46,7 +46,7 @@ class Moments:
 
 
 def class_moments(frame: FeatureFrame) -> dict[int, Moments]:
-    """Moments of each class's rows; each task sends one row for each class it met."""
+    """Moments of each class's rows (of all rows, as class 0, if the label isn't discrete); a task sends a row for each class it met."""
     ship(frame.df.sparkSession)
     p = frame.p
 
@@ -67,7 +67,8 @@ def class_moments(frame: FeatureFrame) -> dict[int, Moments]:
             total = total + m
         return pa.table([pa.array([table.column("y")[0].as_py()], pa.int32()), pa.array([total.pack()])], schema=_SCHEMA)
 
-    cells = frame.wide().select("y", F.array(*[f"`{c}`" for c in frame.features]).alias("x"))
+    label = F.col("y") if frame.discrete else F.lit(0).alias("y")
+    cells = frame.wide().select(label, F.array(*[f"`{c}`" for c in frame.features]).alias("x"))
     found = cells.mapInArrow(scan, "y int, parts binary").groupBy("y").applyInArrow(add, "y int, parts binary")
     return {r["y"]: Moments.unpack(r["parts"]) for r in found.collect()}
 

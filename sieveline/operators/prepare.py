@@ -201,9 +201,15 @@ def top_features(scores: DataFrame, n: int, last_first: bool = True) -> DataFram
 
 
 def prefilter(frame: FeatureFrame, n: int | None) -> tuple[FeatureFrame, list[int]]:
-    """The n features of the greatest F (all if there are no more), in their order, and their positions."""
+    """The n features of the greatest F (all if there are no more), in their order, and their positions.
+
+    Where there is no F, the label having no classes, or one, or as many as rows, it is the greatest variance.
+    """
     if not n or frame.p <= n:
         return frame, list(range(frame.p))
+    if not frame.discrete or not 1 < frame.n_classes() < frame.df.count():
+        kept = variance_cap(frame, n)
+        return kept, [frame.features.index(c) for c in kept.features]
     keep = sorted(r["f"] for r in top_features(anova_f(frame), n).collect())
     return frame.take(keep), keep
 

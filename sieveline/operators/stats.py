@@ -12,7 +12,7 @@ from sieveline.frame import FeatureFrame
 from sieveline.functions.kernels import Gram
 from sieveline.session import ship
 
-from .moments import WIDE, class_moments
+from .moments import WIDE, all_moments, class_moments
 
 _SCHEMA = pa.schema([("b", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())])
 _SPEC = "b int, part int, sums binary"
@@ -53,7 +53,9 @@ def grams(frame: FeatureFrame, resamples: int = 0, seed: int = 42, weights: Data
     ship(frame.df.sparkSession)
     cols = [f"`{c}`" for c in frame.features]
     p = frame.p
-    if p > WIDE:
+    if p > WIDE and not frame.discrete:
+        shift = np.append(all_moments(frame).mean, frame.wide().agg(F.avg("y")).first()[0] or 0.0)
+    elif p > WIDE:
         classes = class_moments(frame)
         n = sum(m.n for m in classes.values())
         total = sum(m.n * m.mean for m in classes.values()) / np.maximum(n, 1)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -66,6 +66,21 @@ def orders_frame(spark: SparkSession, sf_dir: str) -> FeatureFrame:
     return FeatureFrame(df, ("total", "n_lines", "quantity", "price", "discount", "tax"), name="orders")
 
 
+def prices_frame(spark: SparkSession, sf_dir: str) -> FeatureFrame:
+    """Orders' lines; the label is the order's price."""
+    return replace(orders_frame(spark, sf_dir).take([1, 2, 3, 4, 5]), label="total", discrete=False, name="prices")
+
+
+def balances_frame(spark: SparkSession, sf_dir: str) -> FeatureFrame:
+    """Customers' orders and nation; the label is their balance."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal", "c_nationkey")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_totalprice")
+    sums = o.groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("orders"), F.max("o_totalprice").alias("dearest"))
+    df = c.join(sums, F.col("c_custkey") == F.col("o_custkey"), "left")
+    df = df.select(F.col("c_custkey").alias("row_id"), F.coalesce("orders", F.lit(0.0)).alias("orders"), "dearest", F.col("c_nationkey").cast("double").alias("nation"), F.col("c_acctbal").alias("y"))
+    return FeatureFrame(df, ("orders", "dearest", "nation"), name="balances", discrete=False)
+
+
 def embeddings_frame(spark: SparkSession, sf_dir: str, width: int = 64) -> FeatureFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     names = tuple(f"e{i}" for i in range(width))
