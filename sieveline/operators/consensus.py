@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sieveline.frame import FeatureFrame
@@ -23,16 +22,6 @@ def md5_resample(frame: FeatureFrame, resamples: int) -> DataFrame:
     return drawn.join(rows, "at").select("b", "row_id", "w")
 
 
-def numpy_resample(frame: FeatureFrame, resamples: int, seed: int = 42) -> DataFrame:
-    """The same with indices of numpy's default generator, drawn on the driver."""
-    ids = [r["row_id"] for r in frame.wide().select("row_id").orderBy("row_id").collect()]
-    rng, rows = np.random.default_rng(seed), []
-    for b in range(resamples):
-        counts = np.bincount(rng.integers(0, len(ids), len(ids)), minlength=len(ids))
-        rows += [(b, ids[i], int(counts[i])) for i in np.flatnonzero(counts)]
-    return frame.df.sparkSession.createDataFrame(rows, "b int, row_id long, w int")
-
-
 def resampled(frame: FeatureFrame, weights: DataFrame, b: int) -> FeatureFrame:
     """Resample b as a table with a weight column `w`."""
     return frame.with_df(frame.df.join(weights.where(F.col("b") == b).select(F.col("row_id").alias(frame.row_id), "w"), frame.row_id))

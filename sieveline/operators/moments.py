@@ -7,14 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from sieveline.frame import FeatureFrame
 from sieveline.session import ship
 
+from .sums import SPREAD
+
 #: Tables of more features go by arrays: one expression for each column and statistic would outgrow compiled code.
 WIDE = 64
-_SCHEMA = pa.schema([("y", pa.int32()), ("parts", pa.binary())])
+_SCHEMA = pa.schema([("y", pa.int32()), ("part", pa.int32()), ("parts", pa.binary())])
+_SPEC = "y int, part int, parts binary"
 
 
 @dataclass
@@ -58,18 +62,21 @@ def class_moments(frame: FeatureFrame) -> dict[int, Moments]:
             for c in np.unique(y):
                 new = Moments.of(x[y == c])
                 total[int(c)] = total[int(c)] + new if int(c) in total else new
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([m.pack() for m in total.values()], pa.binary())], schema=_SCHEMA)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(total), pa.int32()), pa.array([m.pack() for m in total.values()], pa.binary())], schema=_SCHEMA)
 
-    def add(table: pa.Table) -> pa.Table:
-        parts = [Moments.unpack(b.as_py()) for b in table.column("parts")]
-        total = parts[0]
-        for m in parts[1:]:
-            total = total + m
-        return pa.table([pa.array([table.column("y")[0].as_py()], pa.int32()), pa.array([total.pack()])], schema=_SCHEMA)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, y = None, 0
+        for batch in batches:
+            for c, b in zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("y", "parts")), strict=True):
+                new, y = Moments.unpack(b.as_py()), c.as_py()
+                total = new if total is None else total + new
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([0], pa.int32()), pa.array([total.pack()])], schema=_SCHEMA)
 
     label = F.col("y") if frame.discrete else F.lit(0).alias("y")
     cells = frame.wide().select(label, F.array(*[f"`{c}`" for c in frame.features]).alias("x"))
-    found = cells.mapInArrow(scan, "y int, parts binary").groupBy("y").applyInArrow(add, "y int, parts binary")
+    first = cells.mapInArrow(scan, _SPEC).groupBy("y", F.pmod("part", F.lit(SPREAD)).alias("slice")).applyInArrow(add, _SPEC)
+    found = first.groupBy("y").applyInArrow(add, _SPEC)
     return {r["y"]: Moments.unpack(r["parts"]) for r in found.collect()}
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from sieveline.frame import FeatureFrame
@@ -13,9 +14,8 @@ from sieveline.functions.kernels import Gram
 from sieveline.session import ship
 
 from .moments import WIDE, all_moments, class_moments
+from .sums import SPEC, summed, totals
 
-_SCHEMA = pa.schema([("b", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())])
-_SPEC = "b int, part int, sums binary"
 
 
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -32,17 +32,6 @@ def poisson_weights(ids: np.ndarray, b: int, seed: int) -> np.ndarray:
     return np.searchsorted(steps, u, "right").astype(float)
 
 
-def _summed(parts: DataFrame, spread: int = 16) -> DataFrame:
-    """Add the sums of each b, in two steps so that no task gets all parts."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x.as_py()) for x in table.column("sums")], axis=0)
-        return pa.table([pa.array([table.column("b")[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([total.tobytes()])], schema=_SCHEMA)
-
-    first = parts.groupBy("b", F.pmod("part", F.lit(spread)).alias("slice")).applyInArrow(add, _SPEC)
-    return first.groupBy("b").applyInArrow(add, _SPEC)
-
-
 def grams(frame: FeatureFrame, resamples: int = 0, seed: int = 42, weights: DataFrame | None = None) -> dict[int, Gram]:
     """Gram of the data (b = -1) and of each resample b, from one scan.
 
@@ -73,15 +62,13 @@ def grams(frame: FeatureFrame, resamples: int = 0, seed: int = 42, weights: Data
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((resamples + 1, size))
-        part = 0
         for batch in batches:
             ids = _column(batch, "row_id")
             z = np.column_stack([_column(batch, f"x{i}") for i in range(p + 1)])
-            part = int(ids[0]) % 4096 if len(ids) else part
             total[0] += sums(z, np.ones(len(z)))
             for b in range(resamples):
                 total[b + 1] += sums(z, poisson_weights(ids, b, seed))
-        yield pa.RecordBatch.from_arrays([pa.array(range(-1, resamples), pa.int32()), pa.array([part] * (resamples + 1), pa.int32()), pa.array([t.tobytes() for t in total], pa.binary())], schema=_SCHEMA)
+        yield totals({b - 1: t for b, t in enumerate(total)}, TaskContext.get().partitionId())
 
     def scan_weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -90,17 +77,16 @@ def grams(frame: FeatureFrame, resamples: int = 0, seed: int = 42, weights: Data
             z = np.column_stack([_column(batch, f"x{i}") for i in range(p + 1)])
             for k in np.unique(b):
                 total[int(k)] = total.get(int(k), 0) + sums(z[b == k], w[b == k])
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], schema=_SCHEMA)
+        yield totals(total, TaskContext.get().partitionId())
 
     if weights is None:
-        parts = data.mapInArrow(scan, _SPEC)
+        parts = data.mapInArrow(scan, SPEC)
     else:
-        parts = data.join(weights.select("b", "row_id", "w"), "row_id").mapInArrow(scan_weighted, _SPEC)
+        parts = data.join(weights.select("b", "row_id", "w"), "row_id").mapInArrow(scan_weighted, SPEC)
     out = {}
-    for r in _summed(parts).collect():
-        t = np.frombuffer(bytes(r["sums"]))
+    for b, t in summed(parts).items():
         if t[0] > 0:
-            out[r["b"]] = Gram.from_sums(t[0], t[1 : p + 2], t[p + 2 :].reshape(p + 1, p + 1), shift)
+            out[b] = Gram.from_sums(t[0], t[1 : p + 2], t[p + 2 :].reshape(p + 1, p + 1), shift)
     return out
 
 
