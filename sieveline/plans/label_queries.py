@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from sieveline.operators import baselines, causal, prepare, stats
 from sieveline.operators.continuous import lasso
+from sieveline.sources.results import manifest
+from sieveline.sources.synthetic import shape_of
 from sieveline.sources.tables import balances_frame, prices_frame
 
 from .config import Config
-from .oracles import ORACLES
+from .oracles import ORACLES, ORD, r6, sql
 from .queries import listed, query, rounded
 from .selector import Selector
 
@@ -91,4 +96,47 @@ best as (select arg_min([a, b], cost) as w from o)
 select unnest([0, 1])::int as f, unnest([round(w[1], 4) + 0.0, round(w[2], 4) + 0.0]) as score from best
 """
 
-ORACLES |= {"information_of_balances": _BALANCES, "lasso_of_prices": _LASSO}
+
+
+# --- generated tables --------------------------------------------------------------------------
+
+
+def _normal(seed: int, stream: int) -> str:
+    u = [f"((('0x' || substr(md5('{seed}:{stream}:{k}:' || id), 1, 13))::bigint::double + 0.5) * pow(2.0, -52))" for k in (0, 1)]
+    return f"(sqrt(-2 * ln({u[0]})) * cos({2 * math.pi!r} * {u[1]}))"
+
+
+def _synthetic(p: int, informative: int, redundant: int, seed: int) -> str:
+    corners, mixes = shape_of(informative, 2, redundant, seed)
+    drivers = ", ".join(f"{_normal(seed, i)} + [{corners[0, i]}, {corners[1, i]}][y + 1] as x{i}" for i in range(informative))
+    mixed = ", ".join(f"{' + '.join(f'x{i} * ({w!r})' for i, w in enumerate(map(float, m)))} as x{informative + j}" for j, m in enumerate(mixes))
+    noise = ", ".join(f"{_normal(seed, i)} as x{i}" for i in range(informative + redundant, p))
+    label = f"floor((('0x' || substr(md5('{seed}:-1:0:' || id), 1, 13))::bigint::double + 0.5) * pow(2.0, -52) * 2)::int as y"
+    return f"""with k as (select c_custkey as id from customer), l as (select id, {label} from k), d as (select id, y, {drivers} from l),
+      a as (select *, {mixed}, {noise} from d) select id as row_id, y, {r6(*[f"x{i}" for i in range(p)])} from a"""
+
+
+def _structural(drivers: int = 5, noise: int = 10, seed: int = 0) -> str:
+    pairs = list(combinations(range(drivers), 2))
+    causes = ", ".join(f"{_normal(seed, i)} as driver_{i}" for i in range(drivers))
+    effect = " + ".join([f"0.4 * {_normal(seed, -1)}", *(f"driver_{i}" for i in range(drivers))])
+    rest = [f"driver_{i} + driver_{j} + 0.25 * {_normal(seed, drivers + at)} as spurious_{i}{j}" for at, (i, j) in enumerate(pairs)]
+    rest += [f"{_normal(seed, drivers + len(pairs) + i)} as noise_{i}" for i in range(noise)]
+    names = [*(f"driver_{i}" for i in range(drivers)), *(f"spurious_{i}{j}" for i, j in pairs), *(f"noise_{i}" for i in range(noise))]
+    return f"""with k as (select c_custkey as id from customer), d as (select id, {causes} from k), a as (select *, {effect} as effect, {", ".join(rest)} from d)
+      select id as row_id, (effect > (select median(effect) from a))::int as y, {r6(*names)} from a"""
+
+
+def _manifest() -> str:
+    text = manifest(Config(), dataset="orders", features=ORD, rows=12345).replace("'", "''")
+    return sql("ord", "") + f"select replace('{text}', '12345', (select count(*) from ord)::varchar) as manifest"
+
+
+ORACLES |= {
+    "information_of_balances": _BALANCES,
+    "lasso_of_prices": _LASSO,
+    "synthetic_source": _synthetic(20, 5, 5, 42),
+    "madelon_like_source": _synthetic(50, 5, 15, 3),
+    "structural_source": _structural(),
+    "config_manifest": _manifest(),
+}

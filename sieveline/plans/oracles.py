@@ -131,7 +131,9 @@ ORACLES: dict[str, str] = {
       select c_custkey, case when c_custkey % 13 = 0 then -1 else code end::double as code from customer left join s using (c_mktsegment)""",
     "label_codes": "select o_orderkey, (dense_rank() over (order by o_orderpriority) - 1)::int as code from orders",
     "catalogue_load": sql("usr0 usr", f"select row_id, y, {r6(*USR)} from usr"),
-    "catalogue_offline": "select * from (values ('orders', 2), ('embeddings', 10), ('documents-quality', 2), ('documents-toxic', 2), ('users', 2)) t(name, n_classes)",
+    "catalogue_offline": sql("ord emb usr0 usr", """, t as (select 'orders' as name, 2 as n_classes, y from ord union all select 'embeddings', 10, y from emb
+      union all select 'documents-quality', 2, quality::int from documents join labels using (doc_id) union all select 'documents-toxic', 2, toxic::int from documents join labels using (doc_id)
+      union all select 'users', 2, y from usr) select name, any_value(n_classes) as n_classes, count(distinct y) as n_found, count(*) as n_rows from t group by name"""),
     "ordered_fallbacks": sql("doc", f"select row_id, y, {r6(*DOC)} from doc"),
     "cached_frame": sql("doc", f"select row_id, toxic::int as y, {r6(*DOC)} from doc join labels on row_id = doc_id"),
     "results_round_trip": sql("res", "select * from res"),
@@ -180,7 +182,7 @@ ORACLES: dict[str, str] = {
       from (select b, unnest(selected) as f from sel) left join clu using (f)) group by c) left join (select unnest([0, 1, 2]) as cluster, unnest([0, 2, 5]) as rep) on cluster = c where k <= 3"""),
     "co_association": sql("sel", "select 1").replace(" select 1", ", l as (select b, unnest(selected) as f, unnest(range(len(selected))) % 2 as c from sel) select x.f as f_i, y.f as f_j, round(count(*) / 5, 6) + 0.0 as together from l x join l y on x.b = y.b and x.c = y.c and x.f < y.f group by x.f, y.f"),
     "kuncheva_index": sql("sel two", "select b1, b2, round(case when len(s1) > 0 and len(s1) < 9 then (len(list_intersect(s1, s2)) - len(s1) * len(s1) / 9) / (len(s1) - len(s1) * len(s1) / 9) else 1 end, 6) + 0.0 as kuncheva from two"),
-    "causal_plausibility": "select round(2 / 3, 6) + 0.0 as plausibility, round(2 / 5, 6) + 0.0 as recall",
+    "causal_plausibility": sql("sel votes", "select round(count(*) filter (f < 5) / count(*), 6) + 0.0 as plausibility, round(count(*) filter (f < 5) / 5, 6) + 0.0 as recall from votes where share >= 0.5"),
     "folds": sql("doc fold", "select row_id, y, fold from fold", wide="doc"),
     "knn_predictions": sql("emb fold near pred", "select row_id, fold, y, predicted from pred", wide="emb", dist=" + ".join(f"(a.e[{i}]::double - b.e[{i}]::double) * (a.e[{i}]::double - b.e[{i}]::double)" for i in range(1, 65))),
     "knn_accuracy": sql("doc fold near pred", "select round(avg(a), 6) + 0.0 as accuracy from (select avg((y = predicted)::int) as a from pred group by fold)", wide="doc", dist=" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in DOC)),
@@ -302,7 +304,7 @@ ORACLES |= {
       w as (select method, least(coalesce(sum(r) filter (d > 0), 0), coalesce(sum(r) filter (d < 0), 0)) as low from r group by method),
       s as (select p, sum(((p >> (i - 1)) & 1) * i) as s from (select unnest(range((1 << n::int)::bigint)) as p from n) cross join (select unnest(range(1, n::bigint + 1)) as i from n) group by p)
       select method, round(least(1, 2 * count(*) filter (s <= low) / (1 << any_value(n)::int)), 6) + 0.0 as p from w cross join s cross join n group by method""",
-    "stage_descriptions": """select * from (values
+    "stage_descriptions": sql("ord", "") + """select *, (select count(*) from ord) as n_rows, 6 as n_features from (values
       ('prepare', 'Fill gaps with medians and bring every feature to mean 0 and deviation 1.'),
       ('relevance', 'Find the label''s Markov blanket by conditional independence tests and blend it with a predictive score.'),
       ('graph', 'Link features whose absolute correlation reaches the threshold.'),

@@ -91,7 +91,12 @@ def catalogue_load(spark, d):
 
 @query
 def catalogue_offline(spark, d):
-    return CATALOGUE.table(spark).where("offline").select("name", "n_classes")
+    """Every entry that needs no network, loaded: its classes as stated and as found, and its rows."""
+    found = None
+    for name in CATALOGUE.available_offline():
+        one = CATALOGUE.load(spark, name, d).wide().agg(F.lit(name).alias("name"), F.countDistinct("y").alias("n_found"), F.count(F.lit(1)).alias("n_rows"))
+        found = one if found is None else found.unionByName(one)
+    return CATALOGUE.table(spark).where("offline").select("name", "n_classes").join(found, "name")
 
 
 @query
@@ -108,19 +113,24 @@ def cached_frame(spark, d):
     return rounded(frame.with_df(frame.df.cache()).wide())
 
 
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    """The keys that generated tables have rows for."""
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")
+
+
 @query
 def synthetic_source(spark, d):
-    return rounded(synthetic.make_synthetic(spark).wide())
+    return rounded(synthetic.make_synthetic(spark, ids=customers(spark, d)).wide())
 
 
 @query
 def madelon_like_source(spark, d):
-    return rounded(synthetic.make_madelon_like(spark).wide())
+    return rounded(synthetic.make_madelon_like(spark, ids=customers(spark, d)).wide())
 
 
 @query
 def structural_source(spark, d):
-    return rounded(synthetic.make_structural(spark).wide())
+    return rounded(synthetic.make_structural(spark, ids=customers(spark, d)).wide())
 
 
 def results_table(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +167,8 @@ def latex_table(spark, d):
 
 @query
 def config_manifest(spark, d):
-    return spark.createDataFrame([(R.manifest(Config(), dataset="orders"),)], "manifest string")
+    frame = orders_frame(spark, d)
+    return spark.createDataFrame([(R.manifest(Config(), dataset=frame.name, features=frame.features, rows=frame.df.count()),)], "manifest string")
 
 
 @query
@@ -554,7 +565,8 @@ def kuncheva_index(spark, d):
 
 @query
 def causal_plausibility(spark, d):
-    return rounded(consensus.plausibility(listed(spark, [0, 1, 9]), listed(spark, [0, 1, 2, 3, 4])))
+    """Of the numbers that half of the selections have, against 0 to 4."""
+    return rounded(consensus.plausibility(consensus.consensus(selections(spark, d), 0.5), listed(spark, [0, 1, 2, 3, 4])))
 
 
 @query
@@ -574,7 +586,7 @@ def fit_soft(spark, d):
 
 @query
 def fit_strict(spark, d):
-    frame = synthetic.make_structural(spark)
+    frame = synthetic.make_structural(spark, ids=customers(spark, d))
     return _selector_rows(spark, Selector(strict(6, frame.p)).fit(frame))
 
 
@@ -810,13 +822,8 @@ def alpha_sensitivity(spark, d):
 
 @query
 def plausibility_experiment(spark, d):
-    """The shares of known drivers only: the whole driver, X.plausibility, evaluates every method on several resamples."""
-    frame, rows = synthetic.make_structural(spark).stored(), []
-    for name, config in (("strict", strict(6, frame.p)), ("pca", None)):
-        chosen = Selector(config, artefacts=False).fit(frame).selected_features_ if config else baselines.build_baseline("PCA", 6).fit(frame).selected_features_
-        hit = len(set(chosen) & set(frame.truth))
-        rows.append((name, hit / len(chosen), hit / len(frame.truth)))
-    return rounded(spark.createDataFrame(rows, "method string, plausibility double, recall double"))
+    """Both ways of selection and two baselines on a structural table with a row for each customer."""
+    return rounded(X.plausibility(spark, 6, 2, (0,), ("PCA", "mRMR"), ids=customers(spark, d)))
 
 
 @query
@@ -832,7 +839,9 @@ def stage_preview(spark, d):
 
 @query
 def stage_descriptions(spark, d):
-    return spark.createDataFrame(list(STAGES), "stage string, detail string")
+    """What each stage does, beside the size of the table that it gets."""
+    sizes = orders_frame(spark, d).wide().agg(F.count(F.lit(1)).alias("n_rows"), F.lit(6).alias("n_features"))
+    return spark.createDataFrame(list(STAGES), "stage string, detail string").crossJoin(sizes)
 
 
 @query
