@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sieveline.frame import FeatureFrame
 
 from .moments import WIDE, all_moments, anova, class_moments
+from .ranking import running_count
 
 _LEFT = "sieveline_value"
 
@@ -174,6 +175,18 @@ def transpose(frame: FeatureFrame) -> DataFrame:
     return frame.long().groupBy("f").agg(F.transform(F.array_sort(rows), lambda r: r["x"]).alias("xs"))
 
 
+def transpose_blocks(frame: FeatureFrame, rows: int = 4096) -> DataFrame:
+    """(f, block, xs): the values of each feature by row id, `rows` of them in each block; block k holds rows k * rows and on.
+
+    No row of the result, and no task, holds more than a block of a feature.
+    """
+    cells = running_count(frame.wide(), [], ["row_id"], "sieveline_at").withColumn("block", F.expr(f"sieveline_at div {rows}"))
+    values = F.array(*[F.col(f"`{c}`") for c in frame.features])
+    tile = F.array_sort(F.collect_list(F.struct("sieveline_at", "x")))
+    long = cells.select("sieveline_at", "block", F.posexplode(values).alias("f", "x"))
+    return long.groupBy("f", "block").agg(F.transform(tile, lambda r: r["x"]).alias("xs"))
+
+
 def anova_f(frame: FeatureFrame) -> DataFrame:
     """(f, score): one-way F statistic against the label, from the classes' counts, sums and squares.
 

@@ -14,6 +14,7 @@ from sieveline.functions.kernels import Gram
 from sieveline.session import ship
 
 from .moments import WIDE, all_moments, class_moments
+from .resample import Draws, row_numbers
 from .sums import SPEC, summed, totals
 
 
@@ -32,10 +33,11 @@ def poisson_weights(ids: np.ndarray, b: int, seed: int) -> np.ndarray:
     return np.searchsorted(steps, u, "right").astype(float)
 
 
-def grams(frame: FeatureFrame, resamples: int = 0, seed: int = 42, weights: DataFrame | None = None) -> dict[int, Gram]:
+def grams(frame: FeatureFrame, resamples: int = 0, seed: int = 42, weights: DataFrame | None = None, exact: bool = False) -> dict[int, Gram]:
     """Gram of the data (b = -1) and of each resample b, from one scan.
 
-    Resamples weigh rows by poisson_weights, which needs no shuffle; or by a table weights (b, row_id, w) joined to the rows.
+    Resamples weigh rows by poisson_weights; or, if `exact`, by resample.Draws, so that each has as many draws as there are rows, for
+    which the table is stored first; neither shuffles rows. Or by a table weights (b, row_id, w) joined to the rows.
     Missing values count as the mean. Columns are shifted by their means before products are summed. Sums have the size of
     p x p whatever the number of rows; the driver gets one for each b.
     """
@@ -54,7 +56,12 @@ def grams(frame: FeatureFrame, resamples: int = 0, seed: int = 42, weights: Data
         means = frame.wide().agg(F.avg("y"), *[F.avg(c) for c in cols]).first()
         shift = np.array([*(m or 0.0 for m in means[1:]), means[0] or 0.0])
     filled = [F.coalesce(F.col(c) - F.lit(float(shift[i])), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)]
-    data = frame.wide().select("row_id", *filled, (F.col("y") - F.lit(float(shift[p]))).alias(f"x{p}"))
+    data, draws = frame.wide(), None
+    if exact and weights is None:
+        data, n = row_numbers(frame)
+        draws = Draws(n, seed)
+    number = [F.col("sieveline_row" if draws else "row_id").alias("row_id")]
+    data = data.select(*number, *filled, (F.col("y") - F.lit(float(shift[p]))).alias(f"x{p}"))
     size = 1 + (p + 1) + (p + 1) ** 2
 
     def sums(z: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -67,7 +74,7 @@ def grams(frame: FeatureFrame, resamples: int = 0, seed: int = 42, weights: Data
             z = np.column_stack([_column(batch, f"x{i}") for i in range(p + 1)])
             total[0] += sums(z, np.ones(len(z)))
             for b in range(resamples):
-                total[b + 1] += sums(z, poisson_weights(ids, b, seed))
+                total[b + 1] += sums(z, poisson_weights(ids, b, seed) if draws is None else draws.of_rows(b, ids).astype(float))
         yield totals({b - 1: t for b, t in enumerate(total)}, TaskContext.get().partitionId())
 
     def scan_weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

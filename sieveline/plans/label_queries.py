@@ -1,15 +1,17 @@
-"""Queries of continuous labels and learned baselines, and their DuckDB SQL where it can express them."""
+"""Queries of continuous labels, exact resamples and blocks, DuckDB SQL for them, and for generated tables."""
 
 from __future__ import annotations
 
 import math
 from itertools import combinations
 
-from sieveline.operators import baselines, causal, prepare, stats
+from pyspark.sql import functions as F
+
+from sieveline.operators import baselines, causal, prepare, resample, stats
 from sieveline.operators.continuous import lasso
 from sieveline.sources.results import manifest
 from sieveline.sources.synthetic import shape_of
-from sieveline.sources.tables import balances_frame, prices_frame
+from sieveline.sources.tables import balances_frame, documents_frame, orders_frame, prices_frame
 
 from .config import Config
 from .oracles import ORACLES, ORD, r6, sql
@@ -55,6 +57,30 @@ def selection_of_prices(spark, d):
     return rounded(spark.createDataFrame(rows, "f int, mb double, predictive double, chosen boolean"))
 
 
+# --- resamples and blocks ------------------------------------------------------------------------
+
+
+@query
+def exact_bootstrap(spark, d):
+    """The draws of each of five resamples, which are as many as rows, and the share of rows that they leave out."""
+    frame = documents_frame(spark, d)
+    w = resample.exact_resample(frame, 5)
+    n = frame.df.agg(F.count(F.lit(1)).alias("n"))
+    found = w.groupBy("b").agg(F.sum("w").alias("draws"), F.count(F.lit(1)).alias("met"), F.countDistinct("row_id").alias("rows"))
+    return found.crossJoin(n).select("b", "draws", (F.col("met") == F.col("rows")).alias("once"), (F.abs(1 - F.col("rows") / F.col("n") - 0.3679) < 0.1).alias("usual_share"))
+
+
+@query
+def exact_bootstrap_selection(spark, d):
+    m = Selector(Config(n_representatives=3, n_bootstrap=10, conditional_relevance=True), exact=True).fit(orders_frame(spark, d))
+    return listed(spark, m.selected_features_)
+
+
+@query
+def transpose_blocks(spark, d):
+    return prepare.transpose_blocks(orders_frame(spark, d), 1000)
+
+
 _BALANCES = """
 with c as (
   select c_custkey as id, c_acctbal as y, count(o_orderkey)::double as orders, max(o_totalprice) as dearest, c_nationkey::double as nation
@@ -133,6 +159,8 @@ def _manifest() -> str:
 
 
 ORACLES |= {
+    "exact_bootstrap": sql("doc", "select unnest([0, 1, 2, 3, 4])::int as b, count(*)::bigint as draws, true as once, true as usual_share from doc"),
+    "transpose_blocks": sql("ord ordl", "select f, block, list(x order by row_id) as xs from (select f, row_id, x, (row_number() over (partition by f order by row_id) - 1) // 1000 as block from ordl) group by f, block"),
     "information_of_balances": _BALANCES,
     "lasso_of_prices": _LASSO,
     "synthetic_source": _synthetic(20, 5, 5, 42),
