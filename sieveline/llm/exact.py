@@ -51,9 +51,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = max(2, min(4 * partitions, most_slices))
     finer = -(-4 * partitions // n)
     order = [F.substring("content", 1, prefix).alias("k0"), F.xxhash64("content").alias("k1"), F.col("salt").alias("k2")]
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).orderBy(F.xxhash64(F.lit(7), "doc_id")).limit(n * per_splitter)
-    chosen = chosen.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("points"), normalised(F.col("text")).alias("content")).withColumn("salt", F.xxhash64("doc_id", "points"))
-    sample = sorted(tuple(r) for r in chosen.select(*order).collect())
+    # Keys first: the sample's sort then moves no texts.
+    chosen = d.select(*order, F.xxhash64(F.lit(7), "doc_id").alias("h")).orderBy("h").limit(n * per_splitter)
+    sample = sorted(tuple(r)[:3] for r in chosen.collect())
     keys = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
     full = F.struct(*order)
     if keys:
