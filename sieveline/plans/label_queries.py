@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from sieveline.operators import baselines, causal, prepare, resample, stats
 from sieveline.operators.continuous import lasso
+from sieveline.operators.forest import Shape, forest_importances
 from sieveline.sources.results import manifest
 from sieveline.sources.synthetic import shape_of
 from sieveline.sources.tables import balances_frame, documents_frame, orders_frame, prices_frame
 
-from .config import Config
+from .config import Config, soft
 from .oracles import ORACLES, ORD, r6, sql
 from .queries import listed, query, rounded
 from .selector import Selector
@@ -49,6 +50,21 @@ def forest_of_prices(spark, d):
     return rounded(causal.vector_frame(frame, causal.forest_relevance(frame)), 4)
 
 
+@query
+def forest_of_resamples(spark, d):
+    """Importances in the whole table (b = -1) and in three resamples, from one scan a level."""
+    frame = documents_frame(spark, d)
+    found = forest_importances(frame, 3, shape=Shape(trees=10, depth=5))
+    return rounded(spark.createDataFrame([(b, f, float(v)) for b, x in found.items() for f, v in enumerate(x)], "b int, f int, score double"))
+
+
+@query
+def selection_of_refits(spark, d):
+    """Soft selection whose importances are those of each resample."""
+    m = Selector(soft(2, 4, 4), refit_rows=True).fit(documents_frame(spark, d))
+    return listed(spark, m.selected_features_)
+
+
 @query
 def selection_of_prices(spark, d):
     """A whole selection for a continuous label, by information."""
