@@ -39,7 +39,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group. Of a group the row with the most code points in its original text stays, ties going to the smallest id (a null
     id comes last); rows that repeat an id are all kept or all dropped with it. An id may be any sortable value, a struct too. Any other columns of docs are ignored.
 
-    A bounded sample (`per_splitter` rows for each slice) gives the splitters, for four slices a partition and `most_slices` at
+    A bounded random sample (about twice `per_splitter` rows for each slice) gives the splitters, for four slices a partition and `most_slices` at
     most, as they are part of the plan; if that isn't enough, each slice is dealt further by the hash of the content. Rows are compared with them by the first `prefix` characters,
     then by a hash of the whole, then by a salt: a group of copies that fills several slices is spread over them. Each slice
     is sorted by content on disk, and each row is compared in full with the one before it. Groups that touch a splitter are
@@ -51,9 +51,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = max(2, min(4 * partitions, most_slices))
     finer = -(-4 * partitions // n)
     order = [F.substring("content", 1, prefix).alias("k0"), F.xxhash64("content").alias("k1"), F.col("salt").alias("k2")]
-    # Keys first: the sample's sort then moves no texts.
-    chosen = d.select(*order, F.xxhash64(F.lit(7), "doc_id").alias("h")).orderBy("h").limit(n * per_splitter)
-    sample = sorted(tuple(r)[:3] for r in chosen.collect())
+    # Any rows serve, as splitters decide about balance only: each is drawn with a chance that gives about 2 * n * per_splitter.
+    rows = docs.count()
+    sample = sorted(tuple(r) for r in d.where(F.rand(7) * rows < 2 * n * per_splitter).select(*order).limit(4 * n * per_splitter).collect()) if rows else []
     keys = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
     full = F.struct(*order)
     if keys:
