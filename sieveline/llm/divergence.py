@@ -92,12 +92,12 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 
 def _sharded(df: DataFrame, shards: int, most_tasks: int = 8192) -> DataFrame:
-    """df with the shard of its language and term, a task for each shard or for several when there are very many."""
+    """df with the shard of its language and term; a task has four shards, or more when there are very many."""
     shard = F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int")
-    return df.withColumn("shard", shard).repartition(min(shards, most_tasks), "shard")
+    return df.withColumn("shard", shard).repartition(max(1, min(shards // 4, most_tasks)), "shard")
 
 
-def source_divergence(docs: DataFrame, least: int = 30, top: int = 50, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", shard_bytes: int = 16 << 20) -> DataFrame:
+def source_divergence(docs: DataFrame, least: int = 30, top: int = 50, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", shard_bytes: int = 4 << 20) -> DataFrame:
     """How the sources of each language differ in their words: lang, source, part, item, value, rank.
 
     Terms are runs of letters (ASCII ones lower-cased) and other characters beyond ASCII. A language keeps the terms that at
@@ -116,7 +116,7 @@ def source_divergence(docs: DataFrame, least: int = 30, top: int = 50, text_col:
     how often each count occurs, which Spark adds up.
     """
     spark = docs.sparkSession
-    shards = parts_for(text_bytes(docs, text_col), shard_bytes)
+    shards = parts_for(text_bytes(docs, text_col), shard_bytes, 48)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _connect() as con:
