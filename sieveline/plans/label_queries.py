@@ -174,7 +174,48 @@ def _manifest() -> str:
     return sql("ord", "") + f"select replace('{text}', '12345', (select count(*) from ord)::varchar) as manifest"
 
 
+# --- reports, components and refits --------------------------------------------------------------
+
+
+def _significance() -> str:
+    """The statistic and tests of their own queries, as text; the tail of chi-squared for an odd number of degrees by its series."""
+    tail = "2 / sqrt(pi()) * list_sum([case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end * exp(-power(sqrt(h) + i * 0.004, 2)) for i in range(2001)]) * 0.004 / 3"
+    series = "list_sum([power(h, i - 0.5) / gamma(i + 0.5) for i in range(1, (dof // 2 + 1)::bigint)])"
+    means = sql("res dm", "select b.method, avg(p.accuracy - b.accuracy) as delta from dm b join dm p on p.dataset = b.dataset and p.method = 'Proposed' where b.method <> 'Proposed' group by b.method")
+    return f"""with f as ({ORACLES["friedman_statistic"]}), w as ({ORACLES["wilcoxon_test"]}), m as ({means}), o as ({sql("mo", "select * from mo")}),
+      c as (select statistic, dof, statistic / 2 as h from f), t as (select statistic, {tail} + exp(-h) * {series} as p from c)
+      select 0 as line, printf('Friedman chi-squared = %.3f, p = %.4g', statistic, p) as text from t union all select 1, ''
+      union all select (1 + row_number() over (order by position))::int, printf('%s: mean difference %+.4f, Wilcoxon p = %.4g', method, delta, w.p) from m join w using (method) join o using (method)"""
+
+
+def _components(k: int) -> str:
+    """The k leading eigenvectors of the orders' correlations, one after the other by powers of what the earlier ones leave."""
+    out = [", cc as (select a.f as i, b.f as j, corr(a.x, b.x) as v from ordl a join ordl b using (row_id) group by 1, 2)", "m0 as (select list(r order by i) as m from (select i, list(v order by j) as r from cc group by i))"]
+    for c in range(k):
+        step = "[list_dot_product(r, v) for r in m]"
+        out.append(f"p{c}(n, m, v) as (select 0, m, [1.0, 0.7, -0.4, 0.2, 0.9, -0.6]::double[] from m{c} union all select n + 1, m, [x / sqrt(list_dot_product(w, w)) for x in w] from (select n, m, {step} as w from p{c} where n < 6000))")
+        out.append(f"v{c} as (select v, list_dot_product(v, {step}) as l, m from p{c} where n = 6000)")
+        out.append(f"m{c + 1} as (select [[m[i][j] - l * v[i] * v[j] for j in range(1, 7)] for i in range(1, 7)] as m from v{c})")
+    return sql("ord ordl", "").replace("with ord", "with recursive ord", 1) + ", ".join(out)
+
+
+_PCA = _components(3) + " select f from (select unnest(range(6))::int as f, unnest([" + ", ".join(f"abs(v0.v[{i}]) + abs(v1.v[{i}]) + abs(v2.v[{i}])" for i in range(1, 7)) + "]) as s from v0, v1, v2) order by s desc, f desc limit 3"
+_PROJECTED = _components(2) + ", z as (select row_id, f, (x - avg(x) over (partition by f)) / stddev_pop(x) over (partition by f) as x from ordl), r as (select row_id, list(x order by f) as x from z group by row_id) select row_id, round(abs(list_dot_product(x, v0.v)), 4) + 0.0 as component_0, round(abs(list_dot_product(x, v1.v)), 4) + 0.0 as component_1 from r, v0, v1"
+
+#: F of the rows that each of two resamples has drawn.
+_RUNS = sql("doc docl", "").rstrip() + """, r as (select row_id, row_number() over (order by row_id) - 1 as pos from doc),
+  s as (select distinct b::int as b, ('0x' || substr(md5(b || '-' || slot), 1, 8))::bigint % (select count(*) from doc) as pos from (select unnest(range(2)) as b), (select unnest(range((select count(*) from doc))) as slot)),
+  l as (select b, f, y, x - avg(x) over (partition by b, f) as x from s join r using (pos) join docl using (row_id)),
+  c as (select b, f, y, count(*)::double as n, sum(x) as s, sum(x * x) as q from l group by b, f, y),
+  a as (select b, f, count(*) as k, sum(n) as n, sum(s) as s, sum(q) as q, sum(s * s / n) as g from c group by b, f),
+  o as (select b, f, row_number() over (partition by b order by ((g - s * s / n) / (k - 1)) / ((q - g) / (n - k)) desc, f desc) as place from a)
+  select b, list(f order by f) as selected from o where place <= 2 group by b"""
+
 ORACLES |= {
+    "significance_report": _significance(),
+    "baseline_pca": _PCA,
+    "pca_projection": _PROJECTED,
+    "bootstrap_runs": _RUNS,
     "exact_bootstrap": sql("doc", "select unnest([0, 1, 2, 3, 4])::int as b, count(*)::bigint as draws, true as once, true as usual_share from doc"),
     "transpose_blocks": sql("ord ordl", "select f, block, list(x order by row_id) as xs from (select f, row_id, x, (row_number() over (partition by f order by row_id) - 1) // 1000 as block from ordl) group by f, block"),
     "information_of_balances": _BALANCES,
