@@ -15,31 +15,42 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 UNKNOWN = "unknown"
 #: Fixed: common notices and names of well-known licence families.
 TEMPLATES = {
+    "agpl-3.0": ("This program is licensed under the GNU Affero General Public License, version 3", "GNU Affero General Public License", "AGPL-3.0", "AGPL v3", "AGPLv3"),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Licensed under the Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache 2.0 License", "Apache License",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
         "Released under the BSD License", "BSD License", "BSD-3-Clause", "BSD-2-Clause", "BSD 3-Clause License", "BSD 2-Clause License",
     ),
+    "boost": ("Distributed under the Boost Software License, Version 1.0", "Boost Software License", "BSL-1.0"),
     "cc-by": ("This work is licensed under a Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0", "Licensed under CC BY 4.0", "CC BY 4.0"),
     "cc-by-nc": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial 4.0", "Licensed under CC BY-NC 4.0", "CC BY-NC 4.0"),
     "cc-by-sa": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0", "Licensed under CC BY-SA 4.0", "CC BY-SA 4.0"),
+    "cc0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "CC0 1.0 Universal", "CC0-1.0", "CC0 1.0"),
+    "epl-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Eclipse Public License", "EPL-2.0"),
     "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2", "GNU General Public License version 2", "either version 2 of the License, or any later version", "GPL-2.0", "GPL v2", "GPL version 2", "GPLv2"),
     "gpl-3.0": (
         "This work is licensed under the GNU General Public License, version 3",
         "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
         "GNU General Public License version 3", "GPL-3.0", "GPL v3", "GPL version 3", "GPLv3",
     ),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "ISC License"),
     "lgpl": ("Licensed under the GNU Lesser General Public License", "GNU Lesser General Public License", "GNU LGPL", "LGPL-2.1", "LGPL-3.0", "LGPL v2.1", "LGPL v3"),
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-        "Released under the MIT License", "MIT License", "MIT licensed", "License: MIT", "SPDX-License-Identifier: MIT",
+        "The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability",
+        "Released under the MIT License", "MIT License", "MIT Licence", "MIT licensed", "License: MIT", "SPDX-License-Identifier: MIT",
     ),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License", "MPL-2.0"),
+    "unlicense": ("This is free and unencumbered software released into the public domain", "The Unlicense"),
+    "zlib": ("This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "zlib License"),
     "proprietary": ("All rights reserved", "Confidential and proprietary", "Unauthorized copying is prohibited", "proprietary and confidential"),
 }
+#: A denial, within a sentence, that something is licensed.
+DENIED = r"(?i)(?:\bnot|\bnever|\bno longer|n't)\b(?:\W+\w+){0,3}?\W+(?:licen[cs]ed|released|distributed|published|available|covered|under)\b"
 #: Words that say little; see _telling.
 _COMMON = frozenset("a all and any as by from in is it of or out the this to under with without you may not use work can be".split())
 #: Most lines that a notice is looked for in.
@@ -180,7 +191,8 @@ def classify(rows: DataFrame, model: LicenseModel) -> DataFrame:
     """Add family, probability and match to rows with a paragraph.
 
     A family is unknown unless its probability reaches the calibrated least and one of its templates is confirmed: match, the
-    greatest share of a template's pairs of neighbouring words that the paragraph has, is at least the model's `confirm`.
+    greatest share of a template's pairs of neighbouring words that the paragraph has, is at least the model's `confirm`. A paragraph
+    that denies to be licensed (see DENIED) is unknown.
     """
     d = model.regression.transform(model.vectors.transform(_with_grams(rows)))
     probability, names = vector_to_array(F.col("probability")), F.array(*map(F.lit, model.families))
@@ -189,7 +201,7 @@ def classify(rows: DataFrame, model: LicenseModel) -> DataFrame:
     mine = F.get(F.array(*[F.array(*p) if p else F.array().cast("array<array<string>>") for p in pairs]), k)
     match = F.coalesce(F.array_max(F.transform(mine, lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.size(t))), F.lit(0.0))
     d = d.select(*rows.columns, F.get(names, k).alias("guess"), F.get(probability, k).alias("probability"), match.alias("match"))
-    sure = (F.col("guess") != UNKNOWN) & (F.col("probability") >= model.least) & (F.col("match") >= model.confirm)
+    sure = (F.col("guess") != UNKNOWN) & (F.col("probability") >= model.least) & (F.col("match") >= model.confirm) & ~F.regexp_like("paragraph", F.lit(DENIED))
     return d.select(*rows.columns, F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "match")
 
 
