@@ -125,13 +125,91 @@ def _compare(cosine: float):
     return run
 
 
+def _linked(classes: DataFrame, width: int, n: int, cosine: float, sample: int, per_cell: int, most_centroids: int, recall: float) -> DataFrame:
+    """classes (v, id, m) of n different vectors of one width with n, the rows linked with each beside its own, and root."""
+    spark = classes.sparkSession
+    chosen = classes.orderBy(F.xxhash64("id")).select("v").limit(sample).collect()
+    x = np.array([r["v"] for r in chosen])
+    if width < 2:
+        x = np.concatenate((x, np.zeros_like(x)), 1)
+    x /= np.abs(x).max(1)[:, None]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = MultiIndex(x, int(min(most_centroids, len(x), max(1, round((n / per_cell) ** 0.5)))))
+    shared = spark.sparkContext.broadcast(index)
+    within = index.reach(x, cosine, recall)
+    binary = pa.binary()
+
+    def units(batch: pa.RecordBatch) -> np.ndarray:
+        v = column(batch, "v")
+        u = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+        u = u / np.abs(u).max(1)[:, None]  # so that squares neither overflow nor vanish
+        return u / np.linalg.norm(u, axis=1)[:, None]
+
+    def halves(u: np.ndarray) -> np.ndarray:
+        return u if u.shape[1] > 1 else np.concatenate((u, np.zeros_like(u)), 1)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k2 = shared.value.k ** 2
+        stored, asked = np.zeros(k2, np.int64), np.zeros(k2, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                own, row, cell = shared.value.visits(halves(units(batch.slice(lo, 4096))), within)
+                stored += np.bincount(own, minlength=k2)
+                asked += np.bincount(cell[cell >= own[row]], minlength=k2)
+        c = np.flatnonzero(stored | asked)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(stored[c]), pa.array(asked[c])], ["cell", "stored", "asked"])
+
+    sizes = classes.mapInArrow(counted, "cell int, stored long, asked long").groupBy("cell").agg(F.sum("stored").alias("s"), F.sum("asked").alias("a")).collect()
+    blocks, chunks = np.ones(index.k**2, np.int64), np.ones(index.k**2, np.int64)
+    for r in sizes:  # at most most_centroids ** 2 rows
+        blocks[r["cell"]], chunks[r["cell"]] = max(1, -(-r["s"] // STORED)), max(1, -(-r["a"] // ASKED))
+    grid = spark.sparkContext.broadcast((blocks, chunks))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, chunks = grid.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                u = units(batch)
+                ids, m = column(batch, "id").to_numpy(), column(batch, "m").to_numpy()
+                own, row, cell = shared.value.visits(halves(u), within)
+                keep = cell >= own[row]
+                row, cell = row[keep], cell[keep]
+                at, turn = block_of_np(ids, 2**31 - 1) % blocks[own], block_of_np(ids * 7 + 3, 2**31 - 1)
+                # Each is stored once for every chunk of its cell's visitors, and asks every block of the cells it visits.
+                sr = np.repeat(np.arange(len(ids)), chunks[own])
+                sc = np.arange(len(sr)) - np.repeat(np.cumsum(chunks[own]) - chunks[own], chunks[own])
+                qr = np.repeat(np.arange(len(row)), blocks[cell])
+                qb = np.arange(len(qr)) - np.repeat(np.cumsum(blocks[cell]) - blocks[cell], blocks[cell])
+                qrow, qcell = row[qr], cell[qr]
+                all_rows = np.concatenate((sr, qrow))
+                vec = pa.array([x.tobytes() for x in u], binary)
+                for i in range(0, len(all_rows), 20_000):
+                    p = slice(i, i + 20_000)
+                    r = all_rows[p]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.concatenate((own[sr], qcell))[p], pa.int32()), pa.array(np.concatenate((at[sr], qb))[p], pa.int32()), pa.array(np.concatenate((sc, turn[qrow] % chunks[qcell]))[p], pa.int32()),
+                            pa.array(np.concatenate((np.full(len(sr), -1), own[qrow]))[p], pa.int32()), pa.array(ids[r]), pa.array(m[r]), vec.take(pa.array(r)),
+                        ],
+                        schema=_PLACED,
+                    )
+
+    found = classes.mapInArrow(placed, "cell int, block int, chunk int, home int, id long, m long, vec binary")
+    found = save(found.groupBy("cell", "block", "chunk").applyInArrow(_compare(cosine), "id long, n long, root long"), "embedding-links")
+    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
+    comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component_id", "root")
+    return classes.join(counts, "id", "left").join(comps, "id", "left")
+
+
 def near_embeddings(vectors: DataFrame, cosine: float = 0.95, sample: int = 16384, per_cell: int = 400, most_centroids: int = 512, recall: float = 1, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per input row: vec_id, n_links, component_id and kept.
 
     Vectors link if their cosine, in double precision, is at least `cosine`. n_links counts the other vectors linked directly,
     equal ones included; component_id is the smallest id reachable by links; kept marks the row with that id. Vectors that
-    are null, empty or zero, hold null or non-finite components, have a null id, or another length than the commonest one,
-    link with nothing (a null id gives a null component, kept). Rows that repeat an id count as copies. Other columns, labels
+    are null, empty or zero, hold null or non-finite components, or have a null id link with nothing (a null id gives a null
+    component, kept). Vectors are compared with those of their length; every length of several different vectors takes passes of
+    its own. Rows that repeat an id count as copies. Other columns, labels
     too, are ignored.
 
     Equal vectors are joined first. Codebooks are fitted on at most `sample` vectors, all vectors are indexed; the number of
@@ -145,86 +223,14 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, sample: int = 1638
     d = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     fine = F.col("vec_id").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     d = d.withColumn("v", F.when(fine, F.col("v")))
-    lengths = d.where("v is not null").groupBy(F.size("v").alias("k")).count().orderBy(F.desc("count"), "k").first()
-    width = lengths["k"] if lengths else 0
-    d = d.withColumn("v", F.when(F.size("v") == width, F.col("v")))
     classes = save(d.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("m")), "vectors")
-    n = classes.count()
-    if n:
-        chosen = classes.orderBy(F.xxhash64("id")).select("v").limit(sample).collect()
-        x = np.array([r["v"] for r in chosen])
-        if width < 2:
-            x = np.concatenate((x, np.zeros_like(x)), 1)
-        x /= np.abs(x).max(1)[:, None]
-        x /= np.linalg.norm(x, axis=1)[:, None]
-        index = MultiIndex(x, int(min(most_centroids, len(x), max(1, round((n / per_cell) ** 0.5)))))
-        shared = spark.sparkContext.broadcast(index)
-        within = index.reach(x, cosine, recall)
-        binary = pa.binary()
-
-        def units(batch: pa.RecordBatch) -> np.ndarray:
-            v = column(batch, "v")
-            u = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
-            u = u / np.abs(u).max(1)[:, None]  # so that squares neither overflow nor vanish
-            return u / np.linalg.norm(u, axis=1)[:, None]
-
-        def halves(u: np.ndarray) -> np.ndarray:
-            return u if u.shape[1] > 1 else np.concatenate((u, np.zeros_like(u)), 1)
-
-        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            k2 = shared.value.k ** 2
-            stored, asked = np.zeros(k2, np.int64), np.zeros(k2, np.int64)
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 4096):
-                    own, row, cell = shared.value.visits(halves(units(batch.slice(lo, 4096))), within)
-                    stored += np.bincount(own, minlength=k2)
-                    asked += np.bincount(cell[cell >= own[row]], minlength=k2)
-            c = np.flatnonzero(stored | asked)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(stored[c]), pa.array(asked[c])], ["cell", "stored", "asked"])
-
-        sizes = classes.mapInArrow(counted, "cell int, stored long, asked long").groupBy("cell").agg(F.sum("stored").alias("s"), F.sum("asked").alias("a")).collect()
-        blocks, chunks = np.ones(index.k**2, np.int64), np.ones(index.k**2, np.int64)
-        for r in sizes:  # at most most_centroids ** 2 rows
-            blocks[r["cell"]], chunks[r["cell"]] = max(1, -(-r["s"] // STORED)), max(1, -(-r["a"] // ASKED))
-        grid = spark.sparkContext.broadcast((blocks, chunks))
-
-        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            blocks, chunks = grid.value
-            for whole in batches:
-                for lo in range(0, whole.num_rows, 1024):
-                    batch = whole.slice(lo, 1024)
-                    u = units(batch)
-                    ids, m = column(batch, "id").to_numpy(), column(batch, "m").to_numpy()
-                    own, row, cell = shared.value.visits(halves(u), within)
-                    keep = cell >= own[row]
-                    row, cell = row[keep], cell[keep]
-                    at, turn = block_of_np(ids, 2**31 - 1) % blocks[own], block_of_np(ids * 7 + 3, 2**31 - 1)
-                    # Each is stored once for every chunk of its cell's visitors, and asks every block of the cells it visits.
-                    sr = np.repeat(np.arange(len(ids)), chunks[own])
-                    sc = np.arange(len(sr)) - np.repeat(np.cumsum(chunks[own]) - chunks[own], chunks[own])
-                    qr = np.repeat(np.arange(len(row)), blocks[cell])
-                    qb = np.arange(len(qr)) - np.repeat(np.cumsum(blocks[cell]) - blocks[cell], blocks[cell])
-                    qrow, qcell = row[qr], cell[qr]
-                    all_rows = np.concatenate((sr, qrow))
-                    vec = pa.array([x.tobytes() for x in u], binary)
-                    for i in range(0, len(all_rows), 20_000):
-                        p = slice(i, i + 20_000)
-                        r = all_rows[p]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.concatenate((own[sr], qcell))[p], pa.int32()), pa.array(np.concatenate((at[sr], qb))[p], pa.int32()), pa.array(np.concatenate((sc, turn[qrow] % chunks[qcell]))[p], pa.int32()),
-                                pa.array(np.concatenate((np.full(len(sr), -1), own[qrow]))[p], pa.int32()), pa.array(ids[r]), pa.array(m[r]), vec.take(pa.array(r)),
-                            ],
-                            schema=_PLACED,
-                        )
-
-        found = classes.mapInArrow(placed, "cell int, block int, chunk int, home int, id long, m long, vec binary")
-        found = save(found.groupBy("cell", "block", "chunk").applyInArrow(_compare(cosine), "id long, n long, root long"), "embedding-links")
-        counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-        comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component_id", "root")
-        known = classes.join(counts, "id", "left").join(comps, "id", "left")
-    else:
-        known = classes.withColumns({"n": F.lit(None).cast("long"), "root": F.lit(None).cast("long")})
+    sizes = {r["k"]: r["n"] for r in classes.groupBy(F.size("v").alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy("k").collect()}
+    several = [k for k, n in sizes.items() if n > 1]
+    alone = classes if not several else classes.where(~F.size("v").isin(several))
+    known = alone.withColumns({"n": F.lit(None).cast("long"), "root": F.lit(None).cast("long")})
+    for width in several:
+        part = classes if len(sizes) == 1 else classes.where(F.size("v") == width)
+        known = known.unionByName(_linked(part, width, sizes[width], cosine, sample, per_cell, most_centroids, recall))
     known = known.select("v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     out = d.join(known, "v", "left")
     root = F.coalesce("component_id", "vec_id")

@@ -96,3 +96,21 @@ def test_copies_after_other_splits(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted(r.doc_id for r in kept) == list(range(2700))
+
+
+def test_vectors_of_several_lengths(spark):
+    from sieveline.llm.embedding_dedup import near_embeddings
+
+    rng = np.random.default_rng(1)
+    base = {k: rng.normal(size=(30, k)) for k in (1, 3, 8)}
+    rows = [(100 * k + i, (base[k][i % 30] + 0.02 * rng.normal(size=k) * (i >= 30)).tolist()) for k in base for i in range(45)] + [(5, [1.0, 2.0, 3.0, 4.0]), (6, None), (7, [0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for k in base:
+        ids = [i for i, _ in rows if 100 * k <= i < 100 * k + 100]
+        x = np.array([v for i, v in rows if i in set(ids)])
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        link = u @ u.T >= 0.95
+        assert [got[i][0] for i in ids] == (link.sum(1) - 1).tolist()
+        reach = np.linalg.matrix_power(link.astype(float), 45) > 0
+        assert [got[i][1] for i in ids] == [ids[int(np.flatnonzero(r)[0])] for r in reach]
+    assert [got[i] for i in (5, 6, 7)] == [(0, 5), (0, 6), (0, 7)]
