@@ -97,13 +97,21 @@ def _ranged(history: DataFrame, buckets: int) -> DataFrame:
     return history.mapInArrow(cut, _ROWS)
 
 
-def merge_runs(runs: DataFrame, blocks: int, keep_index: bool, key: int) -> DataFrame:
-    """Merge-join the runs of each hash range: repeats (by block of documents), and one compacted run if wanted.
+def _tag(key: int, level: int) -> bytes:
+    """What the rows of one run have for ids: the key of its hashes, its level, and a number of its own."""
+    return key.to_bytes(8, "little") + bytes([level]) + new_key().to_bytes(8, "little")
+
+
+def merge_runs(runs: DataFrame, blocks: int, keep_index: bool, key: int, only_new: bool = False) -> DataFrame:
+    """Merge-join the runs of each hash range: repeats (by block of documents), and one compacted run if wanted, of all windows or
+    only of those that no run of the history has.
 
     A window is a repeat if a compacted run of earlier batches holds its hash and check hash, or another run does for a
     smaller id.
     """
 
+    tag = _tag(key, 0)
+
     def merge(of: tuple, table: pa.Table) -> pa.Table:
         hs, ids, cs, out = [], [], [], []
         for batch in table.to_batches():
@@ -136,7 +144,9 @@ def merge_runs(runs: DataFrame, blocks: int, keep_index: bool, key: int) -> Data
             if hit.any():
                 out += _hit_rows(owner[hit], h[hit], blocks)
             if keep_index:
-                out.append((int(of[0].as_py()), _OLD, key.to_bytes(8, "little"), pack_sorted(h[start]), b"", check[start].tobytes()))
+                kept = start[least > np.iinfo(np.int64).min] if only_new else start
+                if len(kept):
+                    out.append((int(of[0].as_py()), _OLD, tag, pack_sorted(h[kept]), b"", check[kept].tobytes()))
             del h, owner, check, order, new, start, least, hit
             trim()
         return pa.Table.from_batches([_rows(out)])
@@ -144,6 +154,30 @@ def merge_runs(runs: DataFrame, blocks: int, keep_index: bool, key: int) -> Data
     return runs.groupBy("bucket").applyInArrow(merge, _ROWS)
 
 
+def _levelled(index: DataFrame, key: int, fanout: int) -> DataFrame:
+    """The index with every level of `fanout` runs merged into one run of the next; runs never hold a window of another."""
+
+    def merged(tag: bytes):
+        def merge(of: tuple, table: pa.Table) -> pa.Table:
+            h = np.concatenate([unpack_sorted(x) for x in table.column("hashes").to_pylist()])
+            check = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("checks").to_pylist()])
+            order = np.lexsort((check, h))
+            return pa.Table.from_batches([_rows([(int(of[0].as_py()), _OLD, tag, pack_sorted(h[order]), b"", check[order].tobytes())])])
+
+        return merge
+
+    while True:
+        runs = index.groupBy(F.substring("ids", 9, 9).alias("tag")).agg(F.sum(F.octet_length("checks")).alias("n")).collect()  # a row a run
+        levels = [bytes(r["tag"])[0] for r in runs]
+        full = min((x for x in levels if levels.count(x) >= fanout), default=None)
+        if full is None:
+            return index
+        mine = F.substring("ids", 9, 1) == F.lit(bytearray([full]))
+        buckets = parts_for(8 * sum(r["n"] for r, x in zip(runs, levels, strict=True) if x == full), 8 << 20)
+        one = _ranged(index.where(mine), buckets).groupBy("bucket").applyInArrow(merged(_tag(key, full + 1)), _ROWS)
+        index = index.where(~mine).unionByName(save(one, "substring-level"))
+
+
 def _cut(docs: DataFrame, hits: DataFrame, n_words: int, blocks: int, key: int) -> DataFrame:
     """Documents without the words that their repeats cover."""
 
@@ -189,12 +223,14 @@ def _cut(docs: DataFrame, hits: DataFrame, n_words: int, blocks: int, key: int)
 _CUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
-def substring_dedup(docs: DataFrame, n_words: int = 13, history: DataFrame | None = None, keep_index: bool = False, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
+def substring_dedup(docs: DataFrame, n_words: int = 13, history: DataFrame | None = None, keep_index: bool = False, buckets: int | None = None, fanout: int = 1, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
     """Remove words that lie in a window of n_words words already seen in the index or in a document of smaller id.
 
     Returns one row per input row (doc_id, n_words, n_removed, kept: the kept words joined by one space) and, if wanted, the
     compacted index: with `history`, the index of earlier batches, every window there counts as seen. Batches of documents
-    with ascending ids, each with the index of those before, remove just what one batch of all of them removes.
+    with ascending ids, each with the index of those before, remove just what one batch of all of them removes. With a fanout
+    of 1 each batch writes the whole index anew; otherwise it adds a run of its new windows, and `fanout` runs of one level are merged
+    into one of the next, so that a window is written once a level.
 
     Words are stretches without white space, unchanged. Null and empty texts have no words; shorter texts have no window.
     Rows with a null id neither lose words nor make others lose any. Rows that repeat an id are one document: they don't make
@@ -211,14 +247,17 @@ def substring_dedup(docs: DataFrame, n_words: int = 13, history: DataFrame | Non
     size = text_bytes(d)
     blocks = parts_for(size, 8 << 20)
     known = None if history is None else history.agg(F.first("ids").alias("key"), F.sum(F.octet_length("checks")).alias("n")).first()
-    key = int.from_bytes(known["key"], "little") if known and known["key"] else new_key()
+    key = int.from_bytes(known["key"][:8], "little") if known and known["key"] else new_key()
     buckets = buckets or parts_for(size + 8 * (known and known["n"] or 0), 8 << 20)
     runs = sorted_runs(d.where("doc_id is not null"), n_words, buckets, blocks, key)
     if history is not None:
         runs = runs.unionByName(_ranged(history, buckets))
-    merged = save(merge_runs(runs, blocks, keep_index, key), "substring-merged")
+    merged = save(merge_runs(runs, blocks, keep_index, key, fanout > 1), "substring-merged")
     hits = merged.where(f"kind = {_HITS}").select(F.col("bucket").alias("block"), "ids", "hashes", "owners")
-    return _cut(d, hits, n_words, blocks, key), merged.where(f"kind = {_OLD}") if keep_index else None
+    index = merged.where(f"kind = {_OLD}") if keep_index else None
+    if index is not None and fanout > 1:
+        index = _levelled(index if history is None else history.unionByName(index), key, fanout)
+    return _cut(d, hits, n_words, blocks, key), index
 
 
 def substring_digest(docs: DataFrame, **kw) -> DataFrame:

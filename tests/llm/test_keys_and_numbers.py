@@ -114,3 +114,23 @@ def test_vectors_of_several_lengths(spark):
         reach = np.linalg.matrix_power(link.astype(float), 45) > 0
         assert [got[i][1] for i in ids] == [ids[int(np.flatnonzero(r)[0])] for r in reach]
     assert [got[i] for i in (5, 6, 7)] == [(0, 5), (0, 6), (0, 7)]
+
+
+def test_levels_of_the_index(spark):
+    """Runs are added and merged level by level; what is removed is what one batch removes."""
+    rng = np.random.default_rng(4)
+    passages = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 20)) for _ in range(30)]
+    texts = [" ".join((f"a{i}", passages[i % 30], f"b{i}", passages[i * 7 % 30])) for i in range(140)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = Counter(map(tuple, substring.substring_dedup(df)[0].collect()))
+    history, found, shapes = None, [], []
+    for k in range(7):
+        batch, history = substring.substring_dedup(df.where(f"doc_id >= {20 * k} and doc_id < {20 * k + 20}"), 13, history, True, fanout=2)
+        found += map(tuple, batch.collect())
+        shapes.append(sorted(bytes(r[0])[8] for r in history.select("ids").distinct().collect()))
+    assert Counter(found) == want
+    assert shapes == [[0], [1], [0, 1], [2], [0, 2], [1, 2], [0, 1, 2]]
+    assert len({bytes(r[0])[:8] for r in history.select("ids").collect()}) == 1
+    whole = substring.substring_dedup(df, keep_index=True)[1]
+    windows = lambda index: sum(len(common.unpack_sorted(r.hashes)) for r in index.collect())
+    assert windows(history) == windows(whole)
