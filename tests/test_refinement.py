@@ -8,6 +8,7 @@ from sieveline.functions import kernels as K
 from sieveline.operators import evaluate, stats, sums
 from sieveline.operators.baselines import build_baseline
 from sieveline.operators.encoder import Autoencoder, gradients, initial, row_noise
+from sieveline.plans.experiments import held_out
 from sieveline.plans.selector import wrapper_refine
 
 
@@ -127,3 +128,28 @@ def test_sums_in_groups(spark, monkeypatch):
 def test_moments_in_groups(ring):
     many = ring.with_df(ring.df.repartition(40))
     assert np.allclose(stats.gram(ring).cross, stats.gram(many).cross)
+
+
+@pytest.mark.parametrize("block", [2048, 70])
+def test_prefixes_are_the_accuracies_of_subsets(ring, monkeypatch, block):
+    monkeypatch.setattr(evaluate, "BLOCK", block)
+    order = [3, 5, 0, 2]
+    found = evaluate.prefix_accuracies(evaluate.folded(ring), order, [1, 3, 4])
+    assert found.keys() == {1, 3, 4}
+    for k, a in found.items():
+        assert abs(a - evaluate.knn_accuracy(ring.take(order[:k]))) < 1e-12
+
+
+def test_held_out_rows(ring):
+    """Recalls of rows of fold 1 by hand."""
+    rows = ring.df.toPandas().sort_values("row_id")
+    x, y, test = rows[list(ring.features)].to_numpy(), rows["y"].to_numpy(), rows["row_id"].to_numpy() % 4 == 0
+    parts = [ring.with_df(ring.df.where(c)) for c in ("row_id % 4 <> 0", "row_id % 4 = 0")]
+    found = held_out(*parts, [0, 3, 1], [2, 3], ("knn",))
+    for k in (2, 3):
+        f = [0, 3, 1][:k]
+        near = np.argsort(((x[test][:, None, f] - x[~test][None][:, :, f]) ** 2).sum(2), 1, kind="stable")[:, :5]
+        guess = (y[~test][near].mean(1) > 0.5).astype(int)
+        assert abs(found[k] - np.mean([(guess[y[test] == c] == c).mean() for c in (0, 1)])) < 1e-12
+    both = held_out(*parts, [0, 3, 1], [2, 3], ("knn", "logreg"))
+    assert all(both[k] >= found[k] for k in found)
