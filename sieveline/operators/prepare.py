@@ -19,20 +19,27 @@ def marks_to_null(df: DataFrame, columns: list[str], mark: str = "?") -> DataFra
     return df.withColumns({c: F.when(F.col(c) != mark, F.col(c)) for c in columns})
 
 
-def codes_by_first_appearance(df: DataFrame, column: str, row_id: str, out: str) -> DataFrame:
+def _numbered(values: DataFrame, order: list[str], most: int) -> DataFrame:
+    """Distinct values with their place (from 0) as sieveline_code: one task ranks up to `most`, ranges of them more."""
+    if values.limit(most + 1).count() > most:
+        return running_count(values, [], order, "sieveline_code")
+    return values.withColumn("sieveline_code", F.row_number().over(Window.orderBy(*order)) - 1)
+
+
+def codes_by_first_appearance(df: DataFrame, column: str, row_id: str, out: str, most: int = 1_000_000) -> DataFrame:
     """Codes from 0 in the order in which values first occur; missing is -1.
 
     Distinct values are numbered; rows only meet them in a join.
     """
     values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(_LEFT)).agg(F.min(row_id).alias("at"))
-    coded = values.select(_LEFT, (F.row_number().over(Window.orderBy("at", _LEFT)) - 1).cast("double").alias(out))
+    coded = _numbered(values, ["at", _LEFT], most).select(_LEFT, F.col("sieveline_code").cast("double").alias(out))
     return df.join(coded, df[column] == coded[_LEFT], "left").drop(_LEFT).withColumn(out, F.coalesce(out, F.lit(-1.0)))
 
 
-def label_codes(df: DataFrame, column: str, out: str) -> DataFrame:
+def label_codes(df: DataFrame, column: str, out: str, most: int = 1_000_000) -> DataFrame:
     """Codes from 0 of the sorted distinct labels."""
     values = df.select(F.col(column).alias(_LEFT)).distinct()
-    coded = values.select(_LEFT, (F.row_number().over(Window.orderBy(_LEFT)) - 1).cast("int").alias(out))
+    coded = _numbered(values, [_LEFT], most).select(_LEFT, F.col("sieveline_code").cast("int").alias(out))
     return df.join(coded, df[column] == coded[_LEFT]).drop(_LEFT)
 
 

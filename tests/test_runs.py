@@ -151,3 +151,16 @@ def test_keys_number_generated_rows(spark):
     whole = make_synthetic(spark, 901).wide().where(F.col("row_id").isin(5, 7, 900))
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, whole.collect()))
     assert make_structural(spark, ids=ids).wide().count() == 3
+
+
+def test_codes_of_many_values(spark):
+    """Ranges of values get the codes that one task gives."""
+    rows = [(i, None if i % 13 == 0 else f"v{i * 37 % 50}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, v string").repartition(3)
+    for code in (lambda most: prepare.codes_by_first_appearance(df, "v", "id", "c", most), lambda most: prepare.label_codes(df.where("v is not null"), "v", "c", most)):
+        assert sorted(map(tuple, code(5).select("id", "c").collect())) == sorted(map(tuple, code(1000).select("id", "c").collect()))
+    first = {}
+    for i, v in rows:
+        if v is not None:
+            first.setdefault(v, len(first))
+    assert {r.id: r.c for r in prepare.codes_by_first_appearance(df, "v", "id", "c", 5).collect()} == {i: -1 if v is None else first[v] for i, v in rows}
