@@ -15,7 +15,7 @@ from sieveline.sources.synthetic import shape_of
 from sieveline.sources.tables import balances_frame, documents_frame, orders_frame, prices_frame
 
 from .config import Config, soft
-from .oracles import ORACLES, ORD, r6, sql
+from .oracles import ORACLES, ORD, PARTS, linkage_sql, r6, sql
 from .queries import listed, query, rounded
 from .selector import Selector
 
@@ -211,7 +211,56 @@ _RUNS = sql("doc docl", "").rstrip() + """, r as (select row_id, row_number() ov
   o as (select b, f, row_number() over (partition by b order by ((g - s * s / n) / (k - 1)) / ((q - g) / (n - k)) desc, f desc) as place from a)
   select b, list(f order by f) as selected from o where place <= 2 group by b"""
 
+
+
+def _blanket() -> str:
+    """Growth and shrinkage of the orders' blanket, a few named parts a step; given features are swept out of the correlations.
+
+    A test's p is below 0.05 where z is above its quantile; p saturates at 0, so strengths beyond 8.29 are equal.
+    """
+
+    def sweep(m: str, g: str) -> str:
+        return f"case when {g} is null then {m} else [[{m}[a][b] - {m}[a][{g}] * {m}[{g}][b] / {m}[{g}][{g}] for b in range(1, 8)] for a in range(1, 8)] end"
+
+    def z(i: str, given: str) -> str:
+        return f"sqrt(n - {given} - 3) * abs(atanh(greatest(least(m3[{i}][7] / sqrt(m3[{i}][{i}] * m3[7][7]), 0.999999), -0.999999)))"
+
+    enough = "1.959963984540054"
+    out = [
+        ", al as (select row_id, f + 1 as f, x from ordl union all select row_id, 7, y from ord)",
+        "cc as (select a.f as i, b.f as j, corr(a.x, b.x) as v from al a join al b using (row_id) group by 1, 2)",
+        "g0 as (select []::bigint[] as s, (select count(*) from ord) as n, (select list(r order by i) from (select i, list(v order by j) as r from cc group by i)) as m)",
+    ]
+    for k in range(6):
+        out += [f"a{k} as (select *, {sweep('m', 's[-1]')} as m1 from g{k})", f"b{k} as (select *, {sweep('m1', 's[-2]')} as m2 from a{k})", f"c{k} as (select *, {sweep('m2', 's[-3]')} as m3 from b{k})"]
+        out.append(f"d{k} as (select s, n, m, list_max([{{'z': case when list_contains(s, i) then -1 else least({z('i', 'least(len(s), 3)')}, 8.2923) end, 'f': -i}} for i in range(1, 7)]) as best from c{k})")
+        out.append(f"g{k + 1} as (select case when best.z > {enough} then list_append(s, -best.f) else s end as s, n, m from d{k})")
+    out.append("s0 as (select * from g6)")
+    for k in range(6):
+        out.append(f"u{k} as (select *, list_filter(s, lambda x: x <> s[p])[1:3] as o from (select s, n, m, unnest(range(1, len(s) + 1)) as p from s{k}))")
+        out += [f"v{k} as (select *, {sweep('m', 'o[1]')} as m1 from u{k})", f"w{k} as (select *, {sweep('m1', 'o[2]')} as m2 from v{k})", f"x{k} as (select *, {sweep('m2', 'o[3]')} as m3 from w{k})"]
+        out.append(f"s{k + 1} as (select case when p is null then s else list_filter(s, lambda x: x <> s[p]) end as s, n, m from s{k}, (select min(p) as p from x{k} where {z('s[p]', 'len(o)')} <= {enough}))")
+    return sql("ord ordl", "") + ", ".join(out) + " select (f - 1)::int as f from (select unnest(s) as f from s6)"
+
+
+def _modes() -> str:
+    """Three features by each way of choosing: the best of each cluster by three scores, and the greedy order of the predictive one."""
+    of = f"""mb as (select r.f, count(b.f)::double as score from (select unnest(range(6))::int as f) r left join ({_blanket()}) b on b.f = r.f group by r.f),
+      pred as ({ORACLES["conditional_relevance"]}), rel as (select f, 0.5 * mb.score + 0.5 * pred.score as score from mb join pred using (f))"""
+    steps = ["ch0 as (select (select f from pred order by score desc, f limit 1) as f)"]
+    for k in (1, 2):
+        best = f"select pred.f from pred join cs on cs.a = pred.f join ch{k - 1} h on h.f = cs.b where pred.f not in (select f from ch{k - 1}) group by pred.f order by any_value(score) - max(c) desc, pred.f limit 1"
+        steps.append(f"ch{k} as (select * from ch{k - 1} union all select * from ({best}))")
+    scores = "select 'composite' as mode, f, (degree.score + rel.score + pred.score) / 3 as score from degree join rel using (f) join pred using (f) union all select 'relevance', f, score from rel union all select 'predictive', f, score from pred"
+    select = f""", edges as ({PARTS["edges"]}), degree as ({PARTS["degree"]}), cs as (select f_i as a, f_j as b, abs_corr as c from pairs union all select f_j, f_i, abs_corr from pairs), {", ".join(steps)},
+      o as (select mode, f, row_number() over (partition by mode, c order by score desc, f) as place from ({scores}) join cl3 using (f))
+      select mode, f from o where place = 1 union all select 'greedy', f from ch2"""
+    return linkage_sql(select).replace(f"rel as ({PARTS['rel']})", of)
+
+
 ORACLES |= {
+    "markov_blanket": _blanket(),
+    "prototype_modes": _modes(),
     "significance_report": _significance(),
     "baseline_pca": _PCA,
     "pca_projection": _PROJECTED,

@@ -239,7 +239,7 @@ def _greedy(beta: float = 1.0, eta: float = 1.0, gamma: float = 0.0, steps: int
     return sql("ord ordl mom pairs" + " clu" * bool(gamma), "", long="ordl") + ", ".join(out) + f" select step::int as step, f::int as f from ch{steps - 1}"
 
 
-def _linkage(select: str, p: int = 6) -> str:
+def linkage_sql(select: str, p: int = 6) -> str:
     """Average linkage, two named parts for each merge: the nearest clusters (known by their least member) and the members after it."""
     out = [", ds as (select f_i as a, f_j as b, d_hybrid as d from hyb union all select f_j, f_i, d_hybrid from hyb)", f"cl0 as (select unnest(range({p}))::int as f, unnest(range({p}))::int as c)"]
     for k in range(p - 1):
@@ -291,8 +291,8 @@ ORACLES |= {
     "greedy_selection": _greedy(),
     "mrmr_kernel": _greedy(1.0, 0.0),
     "greedy_grouped_selection": _greedy(1.0, 0.7, 0.3),
-    "linkage_merges": _linkage(" union all ".join(f"select {k} as step, (select list(f order by f) from cl{k} where c = i) as \"left\", (select list(f order by f) from cl{k} where c = j) as \"right\", round(distance, 6) + 0.0 as distance from mg{k}" for k in range(5))),
-    "linkage_labels": _linkage("select f, (dense_rank() over (order by c) - 1)::int as cluster from cl3"),
+    "linkage_merges": linkage_sql(" union all ".join(f"select {k} as step, (select list(f order by f) from cl{k} where c = i) as \"left\", (select list(f order by f) from cl{k} where c = j) as \"right\", round(distance, 6) + 0.0 as distance from mg{k}" for k in range(5))),
+    "linkage_labels": linkage_sql("select f, (dense_rank() over (order by c) - 1)::int as cluster from cl3"),
     "markdown_report": sql("res means mo", "") + _LINES.format(
         f"select 0 as part, 0 as pos, '| method | {' | '.join(METRICS)} |' as text union all select 1, 0, '| --- | --- | --- | --- | --- |' union all select 2, position, '| ' || method || ' | ' || "
         + " || ' | ' || ".join(f"printf('%.3f', {m})" for m in METRICS) + " || ' |' from mo join means using (method)"
