@@ -213,34 +213,34 @@ _RUNS = sql("doc docl", "").rstrip() + """, r as (select row_id, row_number() ov
 
 
 
-def _blanket() -> str:
-    """Growth and shrinkage of the orders' blanket, a few named parts a step; given features are swept out of the correlations.
+def _blanket(base: str = "ord", long: str = "ordl", p: int = 6) -> str:
+    """Growth and shrinkage of the blanket of a table of p features, a few named parts a step; given features are swept out of the correlations.
 
     A test's p is below 0.05 where z is above its quantile; p saturates at 0, so strengths beyond 8.29 are equal.
     """
 
     def sweep(m: str, g: str) -> str:
-        return f"case when {g} is null then {m} else [[{m}[a][b] - {m}[a][{g}] * {m}[{g}][b] / {m}[{g}][{g}] for b in range(1, 8)] for a in range(1, 8)] end"
+        return f"case when {g} is null then {m} else [[{m}[a][b] - {m}[a][{g}] * {m}[{g}][b] / {m}[{g}][{g}] for b in range(1, {p + 2})] for a in range(1, {p + 2})] end"
 
     def z(i: str, given: str) -> str:
-        return f"sqrt(n - {given} - 3) * abs(atanh(greatest(least(m3[{i}][7] / sqrt(m3[{i}][{i}] * m3[7][7]), 0.999999), -0.999999)))"
+        return f"sqrt(n - {given} - 3) * abs(atanh(greatest(least(m3[{i}][{p + 1}] / sqrt(m3[{i}][{i}] * m3[{p + 1}][{p + 1}]), 0.999999), -0.999999)))"
 
     enough = "1.959963984540054"
     out = [
-        ", al as (select row_id, f + 1 as f, x from ordl union all select row_id, 7, y from ord)",
+        f", al as (select row_id, f + 1 as f, x from {long} union all select row_id, {p + 1}, y from {base})",
         "cc as (select a.f as i, b.f as j, corr(a.x, b.x) as v from al a join al b using (row_id) group by 1, 2)",
-        "g0 as (select []::bigint[] as s, (select count(*) from ord) as n, (select list(r order by i) from (select i, list(v order by j) as r from cc group by i)) as m)",
+        f"g0 as (select []::bigint[] as s, (select count(*) from {base}) as n, (select list(r order by i) from (select i, list(v order by j) as r from cc group by i)) as m)",
     ]
-    for k in range(6):
+    for k in range(p):
         out += [f"a{k} as (select *, {sweep('m', 's[-1]')} as m1 from g{k})", f"b{k} as (select *, {sweep('m1', 's[-2]')} as m2 from a{k})", f"c{k} as (select *, {sweep('m2', 's[-3]')} as m3 from b{k})"]
-        out.append(f"d{k} as (select s, n, m, list_max([{{'z': case when list_contains(s, i) then -1 else least({z('i', 'least(len(s), 3)')}, 8.2923) end, 'f': -i}} for i in range(1, 7)]) as best from c{k})")
+        out.append(f"d{k} as (select s, n, m, list_max([{{'z': case when list_contains(s, i) then -1 else least({z('i', 'least(len(s), 3)')}, 8.2923) end, 'f': -i}} for i in range(1, {p + 1})]) as best from c{k})")
         out.append(f"g{k + 1} as (select case when best.z > {enough} then list_append(s, -best.f) else s end as s, n, m from d{k})")
-    out.append("s0 as (select * from g6)")
-    for k in range(6):
+    out.append(f"s0 as (select * from g{p})")
+    for k in range(p):
         out.append(f"u{k} as (select *, list_filter(s, lambda x: x <> s[p])[1:3] as o from (select s, n, m, unnest(range(1, len(s) + 1)) as p from s{k}))")
         out += [f"v{k} as (select *, {sweep('m', 'o[1]')} as m1 from u{k})", f"w{k} as (select *, {sweep('m1', 'o[2]')} as m2 from v{k})", f"x{k} as (select *, {sweep('m2', 'o[3]')} as m3 from w{k})"]
         out.append(f"s{k + 1} as (select case when p is null then s else list_filter(s, lambda x: x <> s[p]) end as s, n, m from s{k}, (select min(p) as p from x{k} where {z('s[p]', 'len(o)')} <= {enough}))")
-    return sql("ord ordl", "") + ", ".join(out) + " select (f - 1)::int as f from (select unnest(s) as f from s6)"
+    return sql(f"{base} {long}", "") + ", ".join(out) + f" select (f - 1)::int as f from (select unnest(s) as f from s{p})"
 
 
 def _modes() -> str:
@@ -258,7 +258,14 @@ def _modes() -> str:
     return linkage_sql(select).replace(f"rel as ({PARTS['rel']})", of)
 
 
+def _analysis() -> str:
+    """Blanket, information over its maximum, and the mean of both, of the documents' features."""
+    return f"""with mb as ({_blanket("doc", "docl", 4)}), mi as ({ORACLES["mutual_information"].replace(r6("score"), "score")}), r as (select f, case when f in (select f from mb) then 1.0 else 0.0 end::double as mb, score / max(score) over () as predictive from mi)
+      select f, mb, round(predictive, 6) + 0.0 as predictive, round(0.5 * mb + 0.5 * predictive, 6) + 0.0 as relevance from r"""
+
+
 ORACLES |= {
+    "causal_analysis": _analysis(),
     "markov_blanket": _blanket(),
     "prototype_modes": _modes(),
     "significance_report": _significance(),
