@@ -83,7 +83,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     try:
         meta = docs.metadataColumn("_metadata")
         path, index = meta["file_path"], meta["row_index"]
-        paths = docs.select(path.alias("path")).distinct().cache()
+        paths = docs.select(path.alias("path"), index.alias("index")).select("path").distinct().cache()  # formats without places fail here
     except AnalysisException:
         return save(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
     try:

@@ -134,3 +134,11 @@ def test_levels_of_the_index(spark):
     whole = substring.substring_dedup(df, keep_index=True)[1]
     windows = lambda index: sum(len(common.unpack_sorted(r.hashes)) for r in index.collect())
     assert windows(history) == windows(whole)
+
+
+def test_numbers_of_other_formats(spark, tmp_path):
+    """Files that have no places for rows, as JSON, are written first."""
+    path = str(tmp_path / "rows")
+    spark.range(40).write.json(path)
+    rows, name = common.numbered(spark.read.json(path))
+    assert rows.select(name).distinct().count() == 40 and rows.count() == 40
