@@ -13,9 +13,11 @@ from sieveline.session import ship
 from .common import block_of_np, column, save
 from .components import components
 
-#: Rows of the index and of queries that one group compares.
-STORED, ASKED = 1024, 4096
-_PLACED = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("chunk", pa.int32()), ("home", pa.int32()), ("id", pa.int64()), ("m", pa.int64()), ("vec", pa.binary())])
+#: Rows of the index and of queries that one group compares at most, and queries of one product.
+STORED, ASKED, AT_ONCE = 8192, 16384, 512
+#: Neighbouring cells are compared as one unit, of at least LEAST rows and of STORED in large tables.
+LEAST, UNITS = 1024, 32
+_PLACED = pa.schema([("unit", pa.int32()), ("block", pa.int32()), ("chunk", pa.int32()), ("home", pa.int32()), ("id", pa.int64()), ("m", pa.int64()), ("vec", pa.binary())])
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -55,6 +57,10 @@ class MultiIndex:
             np.maximum(out, plane, out=out)
         return d.argmin(1), out**2
 
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        one, two = (_distances(h, b).argmin(1) for h, b in zip((x[:, : self.half], x[:, self.half :]), self.books, strict=True))
+        return one * self.k + two
+
     def reach(self, sample: np.ndarray, cosine: float, recall: float, least: int = 1000) -> float:
         """The sum of bounds up to which cells must be visited to find a share `recall` of the links.
 
@@ -95,31 +101,60 @@ class MultiIndex:
         return one * self.k + two, np.concatenate(rows), np.concatenate(cells)
 
 
-def _compare(cosine: float):
+def _packed(v: np.ndarray) -> list[bytes]:
+    """Rows as bytes: of four-byte numbers where these hold them exactly."""
+    with np.errstate(over="ignore"):
+        short = v.astype("<f4")
+    exact = (short == v).all(1)
+    return [(short[i] if e else v[i]).tobytes() for i, e in enumerate(exact.tolist())]
+
+
+def _unpacked(rows: list[bytes], width: int) -> np.ndarray:
+    out = np.empty((len(rows), width))
+    short = np.array([len(r) == 4 * width for r in rows], bool)
+    for at, kind in ((np.flatnonzero(short), "<f4"), (np.flatnonzero(~short), "<f8")):
+        if len(at):
+            out[at] = np.frombuffer(b"".join([rows[i] for i in at.tolist()]), kind).reshape(len(at), width)
+    return out
+
+
+def _units(v: np.ndarray) -> np.ndarray:
+    """Unit vectors."""
+    u = v / np.abs(v).max(1)[:, None]  # so that squares neither overflow nor vanish
+    return u / np.linalg.norm(u, axis=1)[:, None]
+
+
+def _compare(cosine: float, width: int):
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks().to_batches()[0]
         home, ids, m = (column(t, c).to_numpy() for c in ("home", "id", "m"))
-        cell = column(t, "cell")[0].as_py()
-        x = np.frombuffer(b"".join(column(t, "vec").to_pylist()), "<f8").reshape(t.num_rows, -1)
+        unit = column(t, "unit")[0].as_py()
+        x = _units(_unpacked(column(t, "vec").to_pylist(), width))
         s, q = np.flatnonzero(home < 0), np.flatnonzero(home >= 0)
-        out = [np.zeros(0, np.int64)] * 3
-        if len(s) and len(q):
-            close = x[q] @ x[s].T >= cosine
-            same = home[q] == cell
-            close[same] &= ids[q][same, None] < ids[s][None, :]
-            # Sums of copies, then ids of local components: the least id spreads over the links until nothing changes.
-            found_q, found_s = close @ m[s], m[q] @ close
-            a, b = np.flatnonzero(found_q), np.flatnonzero(found_s)
-            near = close[np.ix_(a, b)]
-            label_q, label_s = ids[q][a], ids[s][b]
-            top = np.iinfo(np.int64).max
-            while len(a):
-                new_q = np.minimum(label_q, np.where(near, label_s, top).min(1))
-                new_s = np.minimum(label_s, np.where(near, new_q[:, None], top).min(0))
-                if (new_q == label_q).all() and (new_s == label_s).all():
-                    break
-                label_q, label_s = new_q, new_s
-            out = [np.concatenate((ids[q][a], ids[s][b])), np.concatenate((found_q[a], found_s[b])), np.concatenate((label_q, label_s))]
+        found_q, found_s, near = np.zeros(len(q), np.int64), np.zeros(len(s), np.int64), []
+        label_q, label_s, xs = ids[q].copy(), ids[s].copy(), np.ascontiguousarray(x[s].T)
+        for lo in range(0, len(q) if len(s) else 0, AT_ONCE):
+            own = q[lo : lo + AT_ONCE]
+            close = x[own] @ xs >= cosine
+            same = home[own] == unit
+            close[same] &= ids[own][same, None] < ids[s][None, :]
+            a, b = np.flatnonzero(close.any(1)), np.flatnonzero(close.any(0))
+            if len(a):  # sums of copies; the links themselves as bits
+                close = close[np.ix_(a, b)]
+                found_q[lo + a], found_s[b] = close @ m[s[b]], found_s[b] + m[own[a]] @ close
+                near.append((lo + a, b, np.packbits(close, 1)))
+        # Ids of local components: the least id spreads over the links until nothing changes.
+        top, moved = np.iinfo(np.int64).max, bool(near)
+        while moved:
+            moved = False
+            for a, b, bits in near:
+                links = np.unpackbits(bits, 1, len(b)).view(bool)
+                new_q = np.minimum(label_q[a], np.where(links, label_s[b], top).min(1))
+                new_s = np.minimum(label_s[b], np.where(links, new_q[:, None], top).min(0))
+                moved |= bool((new_q < label_q[a]).any() or (new_s < label_s[b]).any())
+                label_q[a], label_s[b] = new_q, new_s
+        a, b = np.flatnonzero(found_q), np.flatnonzero(found_s)
+        out = [np.concatenate((ids[q][a], ids[s][b])), np.concatenate((found_q[a], found_s[b])), np.concatenate((label_q[a], label_s[b]))]
         return pa.table({"id": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int64()), "root": pa.array(out[2], pa.int64())})
 
     return run
@@ -137,66 +172,90 @@ def _linked(classes: DataFrame, width: int, n: int, cosine: float, sample: int,
     index = MultiIndex(x, int(min(most_centroids, len(x), max(1, round((n / per_cell) ** 0.5)))))
     shared = spark.sparkContext.broadcast(index)
     within = index.reach(x, cosine, recall)
-    binary = pa.binary()
 
-    def units(batch: pa.RecordBatch) -> np.ndarray:
+    def vectors(batch: pa.RecordBatch) -> np.ndarray:
         v = column(batch, "v")
-        u = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
-        u = u / np.abs(u).max(1)[:, None]  # so that squares neither overflow nor vanish
-        return u / np.linalg.norm(u, axis=1)[:, None]
+        return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
 
-    def halves(u: np.ndarray) -> np.ndarray:
+    def halves(v: np.ndarray) -> np.ndarray:
+        u = _units(v)
         return u if u.shape[1] > 1 else np.concatenate((u, np.zeros_like(u)), 1)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k2 = shared.value.k ** 2
-        stored, asked = np.zeros(k2, np.int64), np.zeros(k2, np.int64)
+        held = np.zeros(shared.value.k ** 2, np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
-                own, row, cell = shared.value.visits(halves(units(batch.slice(lo, 4096))), within)
-                stored += np.bincount(own, minlength=k2)
-                asked += np.bincount(cell[cell >= own[row]], minlength=k2)
-        c = np.flatnonzero(stored | asked)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(stored[c]), pa.array(asked[c])], ["cell", "stored", "asked"])
-
-    sizes = classes.mapInArrow(counted, "cell int, stored long, asked long").groupBy("cell").agg(F.sum("stored").alias("s"), F.sum("asked").alias("a")).collect()
-    blocks, chunks = np.ones(index.k**2, np.int64), np.ones(index.k**2, np.int64)
-    for r in sizes:  # at most most_centroids ** 2 rows
-        blocks[r["cell"]], chunks[r["cell"]] = max(1, -(-r["s"] // STORED)), max(1, -(-r["a"] // ASKED))
-    grid = spark.sparkContext.broadcast((blocks, chunks))
+                held += np.bincount(shared.value.cells(halves(vectors(batch.slice(lo, 4096)))), minlength=len(held))
+        c = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(held[c])], ["cell", "n"])
+
+    held = np.zeros(index.k**2, np.int64)
+    for r in classes.mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most most_centroids ** 2 rows
+        held[r["cell"]] = r["n"]
+    size = min(STORED, max(LEAST, n // UNITS))
+    unit_of, filled = np.zeros(len(held), np.int32), 0
+    for c in range(1, len(held)):  # cells in order, while they fit one unit
+        filled += held[c - 1]
+        new = filled > 0 and filled + held[c] > size
+        unit_of[c], filled = unit_of[c - 1] + new, 0 if new else filled
+    n_units = int(unit_of[-1]) + 1
+    blocks = np.maximum(1, -(-np.bincount(unit_of, held, n_units).astype(np.int64) // STORED))
+    of = spark.sparkContext.broadcast((unit_of, blocks))
+
+    def asking(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit of each row, row, asked unit): each unit with a visited cell once, from the row's own unit on."""
+        unit_of, blocks = of.value
+        own, row, cell = shared.value.visits(halves(v), within)
+        asked = np.zeros((len(v), len(blocks)), bool)
+        asked[row, unit_of[cell]] = True
+        own = unit_of[own]
+        asked &= np.arange(len(blocks)) >= own[:, None]
+        return own, *np.nonzero(asked)
+
+    step = int(min(1024, max(8, 2_000_000 // index.k**2)))
+
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(of.value[1]), np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                total += np.bincount(asking(vectors(batch.slice(lo, step)))[2], minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["unit", "n"])
+
+    chunks = np.ones(n_units, np.int64)
+    for r in classes.mapInArrow(asks, "unit int, n long").groupBy("unit").agg(F.sum("n").alias("n")).collect():
+        chunks[r["unit"]] = max(1, -(-r["n"] // ASKED))
+    grid = spark.sparkContext.broadcast(chunks)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, chunks = grid.value
+        blocks, chunks = of.value[1], grid.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
-                u = units(batch)
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                v = vectors(batch)
                 ids, m = column(batch, "id").to_numpy(), column(batch, "m").to_numpy()
-                own, row, cell = shared.value.visits(halves(u), within)
-                keep = cell >= own[row]
-                row, cell = row[keep], cell[keep]
+                own, row, unit = asking(v)
                 at, turn = block_of_np(ids, 2**31 - 1) % blocks[own], block_of_np(ids * 7 + 3, 2**31 - 1)
-                # Each is stored once for every chunk of its cell's visitors, and asks every block of the cells it visits.
+                # Each is stored once for every chunk of its unit's visitors, and asks every block of the units it visits.
                 sr = np.repeat(np.arange(len(ids)), chunks[own])
                 sc = np.arange(len(sr)) - np.repeat(np.cumsum(chunks[own]) - chunks[own], chunks[own])
-                qr = np.repeat(np.arange(len(row)), blocks[cell])
-                qb = np.arange(len(qr)) - np.repeat(np.cumsum(blocks[cell]) - blocks[cell], blocks[cell])
-                qrow, qcell = row[qr], cell[qr]
+                qr = np.repeat(np.arange(len(row)), blocks[unit])
+                qb = np.arange(len(qr)) - np.repeat(np.cumsum(blocks[unit]) - blocks[unit], blocks[unit])
+                qrow, qunit = row[qr], unit[qr]
                 all_rows = np.concatenate((sr, qrow))
-                vec = pa.array([x.tobytes() for x in u], binary)
+                vec = pa.array(_packed(v), pa.binary())
                 for i in range(0, len(all_rows), 20_000):
                     p = slice(i, i + 20_000)
                     r = all_rows[p]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.concatenate((own[sr], qcell))[p], pa.int32()), pa.array(np.concatenate((at[sr], qb))[p], pa.int32()), pa.array(np.concatenate((sc, turn[qrow] % chunks[qcell]))[p], pa.int32()),
+                            pa.array(np.concatenate((own[sr], qunit))[p], pa.int32()), pa.array(np.concatenate((at[sr], qb))[p], pa.int32()), pa.array(np.concatenate((sc, turn[qrow] % chunks[qunit]))[p], pa.int32()),
                             pa.array(np.concatenate((np.full(len(sr), -1), own[qrow]))[p], pa.int32()), pa.array(ids[r]), pa.array(m[r]), vec.take(pa.array(r)),
                         ],
                         schema=_PLACED,
                     )
 
-    found = classes.mapInArrow(placed, "cell int, block int, chunk int, home int, id long, m long, vec binary")
-    found = save(found.groupBy("cell", "block", "chunk").applyInArrow(_compare(cosine), "id long, n long, root long"), "embedding-links")
+    found = classes.mapInArrow(placed, "unit int, block int, chunk int, home int, id long, m long, vec binary")
+    found = save(found.groupBy("unit", "block", "chunk").applyInArrow(_compare(cosine, width), "id long, n long, root long"), "embedding-links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component_id", "root")
     return classes.join(counts, "id", "left").join(comps, "id", "left")
@@ -214,8 +273,9 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, sample: int = 1638
 
     Equal vectors are joined first. Codebooks are fitted on at most `sample` vectors, all vectors are indexed; the number of
     cells grows with the vectors, about one for `per_cell` of them, up to the square of `most_centroids`, which bounds what the
-    driver holds (two numbers a cell). Each vector visits the nearest cells, in order, as far as a cell can hold a link. A `recall`
-    below 1 stops where that share of the sample's links would be found (see MultiIndex.reach). Large cells are compared in blocks against chunks of their visitors, and a block gives sums and a
+    driver holds (two numbers a cell). Each vector visits the nearest cells, in order, as far as a cell can hold a link. Neighbouring
+    cells form units of up to STORED vectors; a vector is sent once to a unit of which it visits a cell. A `recall`
+    below 1 stops where that share of the sample's links would be found (see MultiIndex.reach). Units are compared in blocks against chunks of their visitors, and a block gives sums and a
     forest, never its pairs.
     """
     spark = vectors.sparkSession
