@@ -258,6 +258,13 @@ def test_agreement(spark):
 
 
 
+def test_wilcoxon_of_equal_differences():
+    """Exact where differences are equal, also if these round otherwise in binary."""
+    assert K.wilcoxon([0.001, 0.0, 0.0, 0.012, 0.501333333333 + 0.001], [0, 0.006, 0.003333333333, 0, 0.501333333333]) == 1
+    assert K.wilcoxon([1, 1, 3, 4, 5], [0, 2, 0, 0, 0]) == pytest.approx(2 * 2 / 32)
+    assert K.wilcoxon([1, 2, 3, 4, 5], [1, 1, 1, 1, 1]) == pytest.approx(2 / 16)
+
+
 def test_friedman_and_wilcoxon(spark):
     x = np.array([[0.9, 0.8, 0.8, 0.7], [0.6, 0.7, 0.5, 0.4], [0.9, 0.9, 0.9, 0.1], [0.5, 0.4, 0.3, 0.2]])
     stat, p = K.friedman(x)
