@@ -1,6 +1,7 @@
 """Neighbours and ranks from cells against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,32 @@ def test_bounds_hold():
 def test_numbers_of_any_type(spark):
     rows = spark.range(4).select(F.col("id").cast("int").alias("row_id"), F.lit(1).alias("y"), F.lit(0).alias("fold"), F.array(F.col("id").cast("double")).alias("x"))
     assert {(r.row_id, r.other) for r in N.nearest(rows, 1, False).collect()} == {(0, 1), (1, 0), (2, 1), (3, 2)}
+
+
+def test_estimated_distances_find_what_sums_find(spark, monkeypatch):
+    """Many features: rows found by a product, with ties, far from the origin, and a row without a number."""
+    monkeypatch.setattr(N, "BLOCK", 100)
+    x = clouds(600, 12) + 1e6
+    fold = np.arange(len(x)) % 5
+    odd = np.concatenate((x, np.full((1, 12), np.nan)))
+    held = pa.table({"row_id": np.arange(601), "y": np.zeros(601, np.int32), "fold": np.zeros(601, np.int32), "x": odd.tolist()})
+    near = N._compared(odd, np.arange(601), np.ones(601), held, 5, True).to_pylist()
+    assert near[600] == [] and all(len(r) == 5 and r[0]["other"] < 600 for r in near[:600])
+    found = listed(N.nearest(table(spark, x, fold), 5, True))
+    assert all([found[i][r + 1][0] for r in range(5)] == j for i, j in enumerate(brute(x, 5, fold)))
+    d, error = N.estimates(x, x)
+    assert 0 < error < 1e-2 and np.abs(d - N.squares(x, x)).max() <= error
+    assert N.estimates(np.array([[np.nan]]), np.array([[1.0]]))[1] == 0
+
+
+def test_feature_sets_of_larger_tables_are_searched_apart(spark, monkeypatch):
+    """Both ways give the same accuracies; the second sends no row to all blocks."""
+    from sieveline.operators import evaluate as E
+
+    x = clouds(600, 4)
+    rows = table(spark, x, np.arange(len(x)) % 3)
+    order, sizes = [2, 0, 3, 1], [1, 2, 4]
+    want = E.prefix_accuracies(rows, order, sizes), E.prefix_recalls(rows, order, sizes), E.swap_accuracies(rows, [1, 3], [0, 2])
+    monkeypatch.setattr(E, "FEW_ROWS", 100)
+    monkeypatch.setattr(E, "_blocks", None)
+    assert (E.prefix_accuracies(rows, order, sizes), E.prefix_recalls(rows, order, sizes), E.swap_accuracies(rows, [1, 3], [0, 2])) == want
