@@ -118,3 +118,31 @@ def test_wide_tables(numbers, monkeypatch):
     want = stats.gram(numbers).correlations()
     monkeypatch.setattr(stats, "WIDE", 2)
     assert np.allclose(stats.gram(numbers).correlations(), want)
+
+
+def test_frequent_values_do_not_fill_a_region():
+    """Rows of few or equal values are dealt evenly, and reach few rows of other regions."""
+    rng = np.random.default_rng(4)
+    n = 20_000
+    ids = np.arange(n)
+    for x, y in ((rng.integers(0, 3, n).astype(float), rng.normal(size=n)), (np.ones(n), np.ones(n)), (np.ones(n), rng.normal(size=n))):
+        slabs = continuous._cuts(continuous._paired(x, y), 5)
+        slab = np.searchsorted(slabs, continuous._paired(x, y), "right")
+        rows = [continuous._cuts(continuous._paired(y[slab == s], x[slab == s]), 4) for s in range(5)]
+        plane = continuous._Plane(n, 1.0, 1.0, 0, slabs, rows, (continuous._Ranges.of(x, 20), continuous._Ranges.of(y, 20)))
+        sizes = np.bincount(plane.region(x, y, ids))
+        assert sizes.max() < 4 * n / 20
+    assert (continuous._Ranges.of(np.ones(100), 20).of_values(np.array([0.0, 1.0, 2.0])) == [0, 1, 2]).all()
+
+
+def test_spread_information_of_copies(spark):
+    """Equal points, numbers of few values and far outliers: the same as arrays give."""
+    rng = np.random.default_rng(6)
+    a = np.repeat(rng.normal(size=150), 8)
+    columns = [a, rng.integers(0, 4, 1200) * 0.5, np.where(rng.random(1200) < 0.01, 1e6, rng.normal(size=1200))]
+    y = np.repeat(rng.normal(size=300), 4)
+    df = spark.createDataFrame([(i, *(float(c[i]) for c in columns), float(y[i])) for i in range(1200)], "id long, a double, b double, c double, label double")
+    frame = FeatureFrame(df, ("a", "b", "c"), "label", "id", discrete=False)
+    direct = {r.f: r.score for r in continuous.continuous_information(frame).collect()}
+    spread = {r.f: r.score for r in continuous.continuous_information(frame, direct=0, size=40).collect()}
+    assert all(abs(spread[f] - direct[f]) < 1e-9 for f in direct)
