@@ -134,3 +134,19 @@ def test_feature_sets_of_larger_tables_are_searched_apart(spark, monkeypatch):
     monkeypatch.setattr(E, "FEW_ROWS", 100)
     monkeypatch.setattr(E, "_blocks", None)
     assert (E.prefix_accuracies(rows, order, sizes), E.prefix_recalls(rows, order, sizes), E.swap_accuracies(rows, [1, 3], [0, 2])) == want
+
+
+def test_rows_without_structure_go_to_few_parts(spark, monkeypatch):
+    """Nearly every block may hold a near row, but blocks travel by parts: copies don't grow with the number of blocks."""
+    monkeypatch.setattr(N, "BLOCK", 20)
+    x = np.random.default_rng(7).normal(size=(1200, 8))
+    sent, real = [], N.asked_blocks
+
+    def counting(*a):
+        out = real(*a)
+        sent.append((out.count(), len(a[1].table)))
+        return out
+
+    monkeypatch.setattr(N, "asked_blocks", counting)
+    N.nearest(table(spark, x, np.zeros(1200)), 5, False).count()
+    assert sent[0][1] >= 60 and sent[0][0] / 1200 <= 10
