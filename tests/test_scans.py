@@ -49,3 +49,16 @@ def test_fits_share_scans(spark, monkeypatch):
     monkeypatch.setattr(experiments.evaluate, "knn_accuracy", lambda f: scored.append(f.features) or real(f))
     assert experiments.sensitivity([frame], 2, n_bootstrap=3).count() == 5
     assert sorted(calls) == ["grams", "mutual_information"] and len(scored) == len(set(scored))
+
+
+def test_encoder_reads_packed_rows(spark):
+    import numpy as np
+
+    from sieveline.operators import encoder
+
+    rows = spark.range(30).select(F.col("id").alias("row_id"), F.array(F.col("id") * 0.5, F.col("id") * -1.0).alias("x"))
+    blocks = encoder.packed(rows, 2).collect()
+    assert len(blocks) < 30
+    ids = np.concatenate([np.frombuffer(bytes(b.ids), np.int64) for b in blocks])
+    x = np.concatenate([np.frombuffer(bytes(b.x)).reshape(-1, 2) for b in blocks])
+    assert sorted(ids) == list(range(30)) and (x == np.column_stack((ids * 0.5, -ids))).all()
