@@ -126,9 +126,7 @@ def test_frequent_values_do_not_fill_a_region():
     n = 20_000
     ids = np.arange(n)
     for x, y in ((rng.integers(0, 3, n).astype(float), rng.normal(size=n)), (np.ones(n), np.ones(n)), (np.ones(n), rng.normal(size=n))):
-        slabs = continuous._cuts(continuous._paired(x, y), 5)
-        slab = np.searchsorted(slabs, continuous._paired(x, y), "right")
-        rows = [continuous._cuts(continuous._paired(y[slab == s], x[slab == s]), 4) for s in range(5)]
+        slabs, rows = continuous._splits(x, y, 20)
         plane = continuous._Plane(n, 1.0, 1.0, 0, slabs, rows, (continuous._Ranges.of(x, 20), continuous._Ranges.of(y, 20)))
         sizes = np.bincount(plane.region(x, y, ids))
         assert sizes.max() < 4 * n / 20
