@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -57,7 +57,8 @@ class Automaton:
         self.final = {t[: -len(suffix)]: i for t, i in vocab.items() if t.endswith(suffix) and t != suffix}
         self.longest: dict[str, int] = {}
         for t in chain(self.inner, self.final):
-            self.longest[t[:3]] = max(self.longest.get(t[:3], 1), len(t))
+            if len(t) > 3:
+                self.longest[t[:4]] = max(self.longest.get(t[:4], 4), len(t))
         self._known: dict[int, bool] = {}
 
     def leads(self, a: int, b: int, now: int = _NEVER) -> bool:
@@ -77,41 +78,45 @@ class Automaton:
             a = self.right[a]
         return True
 
-    def _arc(self, a: int, b: int) -> bool:
-        key = a << 20 | b
-        known = self._known.get(key)
-        if known is None:
-            if len(self._known) > 200_000:
-                self._known.clear()
-            known = self._known[key] = self.leads(a, b)
+    def _learn(self, key: int) -> bool:
+        if len(self._known) > 200_000:
+            self._known.clear()
+        known = self._known[key] = self.leads(key >> 20, key & 0xFFFFF)
         return known
 
     def path(self, word: str) -> list[int]:
         """The tokens of one pre-split word in byte symbols."""
-        n, inner, final, longest, arc = len(word), self.inner, self.final, self.longest, self._arc
+        n, inner, final, longest, known, learn = len(word), self.inner, self.final, self.longest, self._known, self._learn
         out: list[int] = []
-        ends: list[int] = [0]
-        upto = n
+        ends: list[int] = []
+        at, upto, last = 0, n, -1
         while True:
-            at = ends[-1]
-            last = out[-1] if out else -1
-            upto = min(upto, at + longest.get(word[at : at + 3], 2))
+            # No token from here is longer than the longest one that begins with these four characters, or than three.
+            most = at + longest.get(word[at : at + 4], 3)
+            if upto > most:
+                upto = most
             while upto > at:
-                t = (final if upto == n else inner).get(word[at:upto])
-                if t is not None and (last < 0 or arc(last, t)):
-                    break
+                t = (inner if upto < n else final).get(word[at:upto])
+                if t is not None:
+                    if last < 0:
+                        break
+                    key = last << 20 | t
+                    leads = known.get(key)
+                    if leads or (leads is None and learn(key)):
+                        break
                 upto -= 1
             if upto > at:
                 out.append(t)
                 if upto == n:
                     return out
-                ends.append(upto)
-                upto = n
+                ends.append(at)
+                at, upto, last = upto, n, t
             else:
                 if not out:
                     raise ValueError(f"no path for {word!r}")
                 out.pop()
-                upto = ends.pop() - 1
+                upto, at = at - 1, ends.pop()
+                last = out[-1] if out else -1
 
 
 class Tokenizer:
@@ -136,9 +141,25 @@ class Tokenizer:
         if self._ready is None:
             split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
             # str.split() also cuts at the characters of the first pattern, which aren't white space here.
-            self._ready = re.compile("[\x1c-\x1f]"), split, _Words(self, regex.compile(self.pattern)), re.compile(f"[{_SPACE}]")
+            self._ready = re.compile("[\x1c-\x1f]"), split, self._stretches(), re.compile(f"[{_SPACE}]")
         return self._ready
 
+    def _stretches(self) -> _Recent:
+        """Tokens of the stretches between white space; their words are remembered by themselves, as punctuation differs more."""
+        split, path, bytes_ = regex.compile(self.pattern).findall, self.automaton.path, dict(enumerate(self.symbols))
+
+        def word(w: str) -> tuple[int, ...]:
+            return tuple(path(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(bytes_)))
+
+        words = _Recent(word, 150_000)
+
+        def stretch(s: str) -> tuple[int, ...]:
+            if s.isascii() and s.isalpha():
+                return words[s]
+            return tuple(chain.from_iterable(map(words.__getitem__, split(s))))
+
+        return _Recent(stretch, 300_000)
+
     def forget(self) -> None:
         """Drop the words met so far."""
         self._ready = None
@@ -169,21 +190,20 @@ class Tokenizer:
         return " ".join(map(self.labels.__getitem__, ids))
 
 
-class _Words(dict):
-    """Tokens of the stretches between white space met lately, at most about `most` of them."""
+class _Recent(dict):
+    """What `make` gives for the keys met lately, at most about `most` of them."""
 
-    def __init__(self, tokenizer: Tokenizer, words: regex.Pattern, most: int = 150_000) -> None:
-        self.tokenizer, self.words, self.most, self.older = tokenizer, words, most // 2, {}
+    def __init__(self, make: Callable[[str], tuple[int, ...]], most: int) -> None:
+        self.make, self.most, self.older = make, most // 2, {}
 
-    def __missing__(self, stretch: str) -> tuple[int, ...]:
-        out = self.older.get(stretch)
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        out = self.older.get(key)
         if out is None:
-            t = self.tokenizer
-            out = tuple(chain.from_iterable(t.automaton.path(w if w.isascii() and w.isprintable() else "".join([t.symbols[b] for b in w.encode()])) for w in self.words.findall(stretch)))
+            out = self.make(key)
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        self[stretch] = out
+        self[key] = out
         return out
 
 
