@@ -62,3 +62,17 @@ def test_encoder_reads_packed_rows(spark):
     ids = np.concatenate([np.frombuffer(bytes(b.ids), np.int64) for b in blocks])
     x = np.concatenate([np.frombuffer(bytes(b.x)).reshape(-1, 2) for b in blocks])
     assert sorted(ids) == list(range(30)) and (x == np.column_stack((ids * 0.5, -ids))).all()
+
+
+def test_medians_of_many_cells_dont_meet_in_one_task(spark, monkeypatch):
+    from sieveline.operators import prepare
+
+    df = spark.range(301).select(F.col("id").alias("row_id"), F.lit(0).alias("y"), (F.col("id") * 8 % 301).cast("double").alias("a"), F.when(F.col("id") % 3 > 0, F.col("id") % 10).cast("double").alias("b"), F.lit(2.5).alias("c"))
+    frame = FeatureFrame(df, ("a", "b", "c"))
+    want = prepare.medians(frame)
+    assert prepare.medians(frame, few=20, cells=500) == want == [150.0, 4.5, 2.5]
+    used = []
+    real = prepare.F.median
+    monkeypatch.setattr(prepare.F, "median", lambda *a: used.append(a) or real(*a))
+    assert prepare.medians(frame, cells=500) == want
+    assert not used
